@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .fixtures import Inputs, with_fixtures
 
-SECTIONS = ("sources", "rows")
+SECTIONS = ("sources", "rows", "writes", "alignment", "template_queries", "lookups", "monitoring")
 
 
 def _collect(attribute: str) -> dict:
