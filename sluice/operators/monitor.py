@@ -218,13 +218,15 @@ def deliver(alarms: DataFrame, robots: DataFrame, seq: str = "alarm_id") -> Data
     joined = alarms.join(known, "robot")
     n = F.size("receives")
     pick = F.pmod(java_hash(F.col(seq).cast("string")).bitwiseAND(F.lit(0x7FFFFFFF)), n).cast("int")
-    polled = number_rows(joined.filter(F.col("mode") == "POLLING"), [seq], ["robot"], out="_counter")
-    chosen = [
-        joined.filter(F.col("mode") == "BROADCAST").withColumn("receiver", F.explode("receives")),
-        joined.filter(F.col("mode") == "RANDOM").withColumn("receiver", F.get("receives", pick)),
-        polled.withColumn("receiver", F.get("receives", F.pmod("_counter", n).cast("int"))).drop("_counter"),
-    ]
-    return chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).drop("mode", "receives")
+    at_once = F.when(F.col("mode") == "BROADCAST", F.col("receives")).when(
+        F.col("mode") == "RANDOM", F.array(F.get("receives", pick))
+    )
+    polled = number_rows(joined.filter(F.col("mode") == "POLLING"), [seq], ["robot"], out="_counter").withColumn(
+        "receiver", F.get("receives", F.pmod("_counter", n).cast("int"))
+    )
+    return (
+        joined.withColumn("receiver", F.explode(at_once)).unionByName(polled.drop("_counter")).drop("mode", "receives")
+    )
 
 
 # Reasons of a failed alarm and the longest reason kept.

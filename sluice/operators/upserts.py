@@ -15,8 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A batch of at most this many keys is small enough to send to every executor.
+# Measured net changes up to these bounds are sent to every executor.
 BROADCAST_KEYS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def required(col: Column, name: str) -> Column:
@@ -111,30 +112,36 @@ def net_changes(
     )
 
 
-def apply_net(target: DataFrame, net: DataFrame, keys: Sequence[str], net_keys: int | None = None) -> DataFrame:
+def fits_broadcast(net: DataFrame) -> bool:
+    """Measure written net changes: their number and their size as text."""
+    rows, size = net.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return rows <= BROADCAST_KEYS and (size or 0) <= BROADCAST_BYTES
+
+
+def apply_net(target: DataFrame, net: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
     """Target after one net change per key.
 
-    By default one full outer join shuffles both sides on the key. If the caller has counted
-    the net changes (``net_keys``) and they are few, the target is not shuffled at all: it is
-    joined with the broadcast net, and new rows are found against the few keys that matched.
+    By default one full outer join shuffles both sides on the key. If the caller has measured
+    that the net changes are ``small`` (:func:`fits_broadcast`), the target is not shuffled at
+    all: it is joined with the broadcast net, and new rows are found against the few keys that matched.
     """
     def value(c: str) -> Column:
         return F.col(c) if c in keys else F.when(F.col("_state").isNull(), F.col(c)).otherwise(F.col(f"_new.`{c}`")).alias(c)
 
-    if net_keys is None or net_keys > BROADCAST_KEYS:
+    if not small:
         both = target.withColumn("_old", F.lit(True)).join(net, list(keys), "full_outer")
         kept = (
             F.col("_state").isNull() | (F.col("_state") == "PUT")
             | ((F.col("_state") == "PATCH") & F.col("_old").isNotNull())
         )
         return both.filter(kept).select(*[value(c) for c in target.columns])
-    small = F.broadcast(net)
+    sent = F.broadcast(net)
     survivors = (
-        target.join(small, list(keys), "left")
+        target.join(sent, list(keys), "left")
         .filter(F.col("_state").isNull() | (F.col("_state") != "DROP"))
         .select(*[value(c) for c in target.columns])
     )
-    known = target.select(*keys).join(small, list(keys), "left_semi")
+    known = target.select(*keys).join(sent, list(keys), "left_semi")
     fresh = net.filter(F.col("_state") == "PUT").join(known, list(keys), "left_anti").select("_new.*")
     return survivors.unionByName(fresh)
 

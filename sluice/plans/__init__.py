@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .fixtures import Inputs, with_fixtures
 
-SECTIONS = ("sources", "rows", "writes", "alignment", "template_queries", "lookups", "monitoring")
+SECTIONS = ("sources", "rows", "writes", "alignment", "template_queries", "lookups", "monitoring", "sql_classes")
 
 
 def _collect(attribute: str) -> dict:

@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.upserts import apply_net, net_changes
+from ..operators.upserts import apply_net, fits_broadcast, net_changes
 from ..session import stage
 
 
@@ -64,7 +64,7 @@ def merge_batch(
     """Apply a batch of ordered changes to a file table written by :func:`commit_version`.
 
     For use in ``foreachBatch``: a batch that is already in is skipped, so replays after a
-    restart are harmless. The net changes are staged and counted; few of them are broadcast and
+    restart are harmless. The net changes are staged and measured; few of them are broadcast and
     the target is not shuffled. File tables are rewritten per batch; where the table format has
     MERGE, run :func:`merge_statement` instead.
     """
@@ -73,7 +73,7 @@ def merge_batch(
         return
     target = read_current(spark, path)
     net = stage(net_changes(target, changes, keys, seq, before=before, after=after), "net")
-    commit_version(apply_net(target, net, keys, net_keys=net.count()), path, batch_id + 1)
+    commit_version(apply_net(target, net, keys, small=fits_broadcast(net)), path, batch_id + 1)
 
 
 def merge_statement(target: str, net: str, keys: Sequence[str], columns: Sequence[str]) -> str:
