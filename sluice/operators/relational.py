@@ -20,8 +20,9 @@ def distinct_join(
 
     ``joins`` = (table, its column, column so far) in order, the first entry only names the start
     table. ``filters`` run before the joins. Column names are unique over the tables. Columns that are
-    needed neither later nor in the result are dropped and duplicates removed after each step,
-    which keeps many-to-many links from multiplying.
+    needed neither later nor in the result are dropped and duplicates removed after each step.
+    Start with the table that holds the kept codes: its links then shrink to distinct codes
+    before the many rows of the last table meet them, and pairs never multiply.
     """
     def source(name: str) -> DataFrame:
         df = tables[name]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -71,24 +71,36 @@ def normalize_document(df: DataFrame, col: str, schema: T.StructType | str, zone
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    return df.withColumn(col, _document_value(F.try_parse_json(F.col(col)), schema, zone))
+    # parsed once per row, and each nested value is bound once for all its readings
+    parsed = df.withColumn(col, F.try_parse_json(F.col(col)))
+    return parsed.withColumn(col, _bind(F.col(col), lambda v: _document_value(v, schema, zone)))
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _document_value(value: Column, kind: T.DataType, zone: str) -> Column:
     if isinstance(kind, T.StructType):
-        members = [
-            _document_value(F.try_variant_get(value, f"$['{f.name}']", "variant"), f.dataType, zone).alias(f.name)
-            for f in kind.fields
-        ]
-        return F.when(value.isNotNull(), F.struct(*members))
+        def member(members: Column, field: T.StructField) -> Column:
+            inside = F.try_element_at(members, F.lit(field.name))
+            return _bind(inside, lambda v: _document_value(v, field.dataType, zone)).alias(field.name)
+
+        return _bind(
+            F.try_variant_get(value, "$", "map<string,variant>"),
+            lambda m: F.when(m.isNotNull(), F.struct(*[member(m, field) for field in kind.fields])),
+        )
     if isinstance(kind, T.ArrayType):
         items = F.try_variant_get(value, "$", "array<variant>")
         return F.transform(items, lambda item: _document_value(item, kind.elementType, zone))
-    members = F.try_variant_get(value, "$", "map<string,variant>")
-    wrapped = F.size(members) == 1
+    return _bind(F.try_variant_get(value, "$", "map<string,variant>"), lambda m: _document_leaf(value, m, kind, zone))
+
 
+def _document_leaf(value: Column, members: Column, kind: T.DataType, zone: str) -> Column:
+    """A plain value, or the only member of a wrapper object."""
     def inner(key: str, as_type: str) -> Column:
-        return F.when(wrapped, F.try_variant_get(value, f"$['{key}']", as_type))
+        return F.when(F.size(members) == 1, F.try_variant_get(F.try_element_at(members, F.lit(key)), "$", as_type))
 
     if isinstance(kind, _TIMES):
         millis = F.coalesce(inner("$date", "bigint"), inner("$date", "string").try_cast("bigint"))

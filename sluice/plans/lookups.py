@@ -21,7 +21,7 @@ NOW = "2024-01-31 00:00:00"
 
 def _user_permissions(t: Inputs):
     tables = {"users": t["users"], "role_permissions": t["role_permissions"], "permissions": t["permissions"]}
-    joins = [("users", "", ""), ("role_permissions", "link_role", "role"), ("permissions", "permission_id", "link_permission")]
+    joins = [("permissions", "", ""), ("role_permissions", "link_permission", "permission_id"), ("users", "role", "link_role")]
     return distinct_join(tables, joins, {"permissions": "enabled = 1"}, ["user_id", "permission"])
 
 

@@ -48,9 +48,10 @@ def parse_change_events(
     kinds = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])
     parts = F.split(F.col(topic), r"\.")
     named = F.size(parts) > 2
+    # a generator row keeps the later filter from parsing the text again for each image field
+    parsed = df.select(*[c for c in df.columns if c != value], F.explode(F.array(F.from_json(value, envelope))).alias("_e"))
     return (
-        df.withColumn("_e", F.from_json(value, envelope))
-        .withColumns({
+        parsed.withColumns({
             "src_schema": F.when(named, parts[1]),
             "src_table": F.when(named, F.try_element_at(parts, F.lit(3))),
             "op": F.try_element_at(kinds, F.col("_e.op")),
@@ -58,7 +59,7 @@ def parse_change_events(
             "after": F.col("_e.after"),
         })
         .filter(F.col("op").isNotNull() & ~(_is_empty("before", image_schema) & _is_empty("after", image_schema)))
-        .drop("_e", topic, value)
+        .drop("_e", topic)
     )
 
 
