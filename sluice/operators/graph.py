@@ -57,7 +57,7 @@ def reachable(edges: DataFrame, max_depth: int = 100) -> DataFrame:
     One frontier join per level; nodes already visited are dropped, so cycles end. Levels are
     staged, which cuts the lineage. A graph deeper than ``max_depth`` is an error, not a shorter result.
     """
-    links = edges.select("design", F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    links = stage(edges.select("design", F.col("source").alias("node"), F.col("target").alias("next")).distinct(), "links")
     roots = graph_roots(edges)
     visited = frontier = stage(
         roots.select("design", F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")), "reach"

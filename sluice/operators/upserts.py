@@ -114,8 +114,10 @@ def net_changes(
 
 def fits_broadcast(net: DataFrame) -> bool:
     """Measure written net changes: their number and their size as text."""
-    rows, size = net.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
-    return rows <= BROADCAST_KEYS and (size or 0) <= BROADCAST_BYTES
+    if net.count() > BROADCAST_KEYS:
+        return False
+    size = net.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
 
 
 def apply_net(target: DataFrame, net: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:

@@ -87,8 +87,8 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber)""",
     "k5_frames": """
         SELECT event_id,
-               sum(event_id) OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id
-                                   ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS three,
+               cast(sum(event_id) OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id
+                                        ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS three,
                count(*) OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts
                               RANGE BETWEEN interval '10' minute PRECEDING AND CURRENT ROW) AS in_ten_minutes,
                max(value) OVER (PARTITION BY user_id, date_trunc('hour', ts)) AS top_value
@@ -148,17 +148,17 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         FROM events""",
     ),
     "k9_math_functions": """
-        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, floor(l_extendedprice) AS low, ceil(l_extendedprice) AS high,
-               abs(l_quantity - 25) AS distance, l_orderkey % 7 AS modulo, sign(l_quantity - 25) AS side,
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(floor(l_extendedprice) AS BIGINT) AS low, cast(ceil(l_extendedprice) AS BIGINT) AS high,
+               abs(l_quantity - 25) AS distance, l_orderkey % 7 AS modulo, cast(sign(l_quantity - 25) AS INT) AS side,
                greatest(l_discount, l_tax) AS top, least(l_discount, l_tax) AS bottom, sqrt(l_quantity * l_quantity) AS same
         FROM lineitem""",
     "k10_json_functions": (
         """
-        SELECT event_id, cast(get_json_object(props, '$.k') AS INT) AS k, json_array_length('[1,2,3]') AS n,
+        SELECT event_id, cast(get_json_object(props, '$.k') AS INT) AS k, cast(json_array_length('[1,2,3]') AS INT) AS n,
                array_join(json_object_keys(props), ',') AS names
         FROM events""",
         """
-        SELECT event_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k, json_array_length('[1,2,3]') AS n,
+        SELECT event_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k, cast(json_array_length('[1,2,3]') AS INT) AS n,
                array_to_string(json_keys(props), ',') AS names
         FROM events""",
     ),
@@ -178,11 +178,11 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     ),
     "k10_map_functions": (
         """
-        SELECT p_partkey, element_at(m, 'brand') AS brand, element_at(m, 'none') AS absent, cardinality(m) AS n,
+        SELECT p_partkey, element_at(m, 'brand') AS brand, element_at(m, 'none') AS absent, cast(cardinality(m) AS INT) AS n,
                array_join(map_keys(m), ',') AS names
         FROM (SELECT p_partkey, map('brand', p_brand, 'type', p_type) AS m FROM part)""",
         """
-        SELECT p_partkey, m['brand'] AS brand, m['none'] AS absent, cardinality(m) AS n, array_to_string(map_keys(m), ',') AS names
+        SELECT p_partkey, m['brand'] AS brand, m['none'] AS absent, cast(cardinality(m) AS INT) AS n, array_to_string(map_keys(m), ',') AS names
         FROM (SELECT p_partkey, MAP {'brand': p_brand, 'type': p_type} AS m FROM part)""",
     ),
     "k10_explode": (
