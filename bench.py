@@ -10,7 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice import plans
-from sluice.operators.upserts import apply_changes, upsert
+from sluice.operators.upserts import upsert
 from sluice.session import build_session, stage, staging_path
 from sluice.sinks import commit_version, read_current
 from sluice.sources import read_stream_query

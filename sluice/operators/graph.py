@@ -44,7 +44,10 @@ def graph_roots(edges: DataFrame) -> DataFrame:
 
 
 def successor_groups(edges: DataFrame) -> DataFrame:
-    """Per node its successors as a list of groups, by edge order; targets sorted within a group."""
+    """Per node its successors as a list of groups, by edge order; targets sorted within a group.
+
+    Targets are made distinct before the shuffle; a list is as long as the fan-out of its node.
+    """
     groups = edges.groupBy("design", "source", "order").agg(F.sort_array(F.collect_set("target")).alias("targets"))
     return groups.groupBy("design", "source").agg(
         F.sort_array(F.collect_list(F.struct("order", "targets"))).alias("successors")

@@ -23,6 +23,8 @@ def dedupe_messages(
     are no problem; after the first round only keys with later copies remain. There are at most
     (time span / hold time) + 1 rounds.
     """
+    if hold_minutes < 1:
+        raise ValueError("the hold time is at least one minute")
     hold = F.expr(f"interval {int(hold_minutes)} minutes")
     order = F.struct(arrival, tie_break)
     accepted, rest = None, df

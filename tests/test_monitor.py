@@ -1,7 +1,5 @@
 from datetime import date, datetime
 
-from pyspark.sql import functions as F
-
 from sluice.operators import monitor as m
 
 T0 = datetime(2024, 1, 1, 10, 0, 0)

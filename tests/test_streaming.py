@@ -4,8 +4,6 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from sluice.operators.monitor import alarm_statistics_stream, flow_series_stream
 from sluice.sinks import commit_version, read_current
 from sluice.streaming import (
@@ -40,6 +38,11 @@ def test_dedupe_bound_and_late_rows(spark):
     assert sorted(r["n"] for r in dedupe_messages(df, ["id"], "at", "n", 60).collect()) == [1, 3, 4]
 
 
+def test_dedupe_needs_a_hold_time(spark):
+    with pytest.raises(ValueError):
+        dedupe_messages(spark.createDataFrame([("a", T0, 1)], "id string, at timestamp_ntz, n int"), ["id"], "at", "n", 0)
+
+
 def wait_for(query, path, spark, n, seconds=90):
     for _ in range(seconds):
         time.sleep(1)
