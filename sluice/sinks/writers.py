@@ -90,6 +90,22 @@ def merge_statement(target: str, net: str, keys: Sequence[str], columns: Sequenc
     )
 
 
+def merge_into(
+    table: str, changes: DataFrame, keys: Sequence[str], seq: str = "seq", before: str | None = "before",
+    after: str = "after",
+) -> None:
+    """Apply a batch of ordered changes to a table whose format has MERGE.
+
+    Only the files of touched rows are rewritten. Every image replaces a whole row, so running the same
+    batch again changes nothing.
+    """
+    spark = changes.sparkSession
+    target = spark.table(table)
+    net = stage(net_changes(target, changes, keys, seq, before=before, after=after), "net")
+    net.createOrReplaceTempView("net_changes")
+    spark.sql(merge_statement(table, "net_changes", keys, target.columns))
+
+
 def fan_out(batch: DataFrame, groups: Sequence[Sequence[Callable[[DataFrame], None]]]) -> None:
     """Give one batch to several sinks: groups in order, the sinks of a group at the same time.
 

@@ -35,15 +35,17 @@ def run_changes(
     envelopes: DataFrame, image_schema: str, keys: Sequence[str], path: str, checkpoint: str, seq: str = "seq",
     ops: Sequence[str] = ("CREATE", "UPDATE", "DELETE", "READ"),
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = True,
+    write: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Change envelopes of a stream applied to the file table at ``path``, batch by batch.
 
-    The checkpoint restarts after the last finished batch and each batch is applied once.
+    The checkpoint restarts after the last finished batch and each batch is applied once. Pass
+    ``write`` to put the batches elsewhere, as with :func:`sluice.sinks.merge_into`.
     """
     changes = prepare(parse_change_events(envelopes, image_schema, ops))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def merge(batch: DataFrame, batch_id: int) -> None:
         merge_batch(path, batch, keys, batch_id, seq)
 
-    writer = changes.writeStream.foreachBatch(with_retry(write)).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(with_retry(write or merge)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
