@@ -112,14 +112,13 @@ def instance_series(samples: DataFrame, now, minutes: int = 10) -> DataFrame:
     The arrays hold one entry per sample of the interval, so their size is fixed by the sampling rate.
     """
     until = F.lit(now).cast("timestamp_ntz")
-    known = samples.filter(F.col("ts") <= until)
-    latest = known.groupBy("instance").agg(F.max_by("value", "ts").alias("latest"))
-    recent = known.filter(F.col("ts") > until - F.expr(f"interval {int(minutes)} minutes"))
-    series = recent.groupBy("instance").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("_s"))
-    label = F.transform("_s.ts", lambda t: F.date_format(t, "HH:mm:ss"))
-    return latest.join(series, "instance", "left").select(
-        "instance", "latest", label.alias("labels"), F.col("_s.value").alias("series")
+    recent = F.col("ts") > until - F.expr(f"interval {int(minutes)} minutes")
+    per_instance = samples.filter(F.col("ts") <= until).groupBy("instance").agg(
+        F.max_by("value", "ts").alias("latest"),
+        F.sort_array(F.collect_list(F.when(recent, F.struct("ts", "value")))).alias("_s"),
     )
+    label = F.transform("_s.ts", lambda t: F.date_format(t, "HH:mm:ss"))
+    return per_instance.select("instance", "latest", label.alias("labels"), F.col("_s.value").alias("series"))
 
 
 def live_instances(heartbeats: DataFrame, now, seconds: int = 30) -> DataFrame:

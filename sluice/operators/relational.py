@@ -209,6 +209,18 @@ def ordered_group_columns(df: DataFrame, group: Sequence[str], seq: str, col: st
     )
 
 
+def catalog_tables(spark: SparkSession, exclude: Sequence[str] = ("information_schema", "sys")) -> dict[str, DataFrame]:
+    """Tables of the session catalog outside system schemas, as ``schema.table``; views of the session by name."""
+    found = {}
+    for schema in spark.catalog.listDatabases():
+        if schema.name in exclude:
+            continue
+        for table in spark.catalog.listTables(schema.name):
+            name = table.name if table.isTemporary else f"{schema.name}.{table.name}"
+            found[name] = spark.table(name)
+    return found
+
+
 def describe_source(
     spark: SparkSession, tables: Mapping[str, DataFrame], exclude: Sequence[str] = (), count_nulls: bool = False
 ) -> DataFrame:

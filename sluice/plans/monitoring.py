@@ -186,7 +186,7 @@ ORACLES = {
             SELECT instance, string_agg(strftime(ts, '%H:%M:%S'), ',' ORDER BY ts) AS labels,
                    string_agg(cast(value AS STRING), ',' ORDER BY ts) AS series
             FROM samples WHERE ts > timestamp '2024-01-28 02:00:00' GROUP BY instance)
-        SELECT s.instance, arg_max(s.value, s.ts) AS latest, any_value(labels) AS labels, any_value(series) AS series
+        SELECT s.instance, arg_max(s.value, s.ts) AS latest, coalesce(any_value(labels), '') AS labels, coalesce(any_value(series), '') AS series
         FROM samples s LEFT JOIN recent r ON r.instance = s.instance GROUP BY s.instance""",
     "i6_live_instances": f"""
         SELECT instance, max(ts) AS last_beat FROM ({_SAMPLES}) GROUP BY instance

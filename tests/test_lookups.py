@@ -131,6 +131,13 @@ def test_describe_source(spark, rows):
     assert rows(r.describe_source(spark, tables, ["sys"], True), "column_name", "nulls") == [("a", 0), ("b", 1)]
 
 
+def test_catalog_tables(spark):
+    spark.range(3).createOrReplaceTempView("listed_view")
+    tables = r.catalog_tables(spark)
+    assert tables["listed_view"].count() == 3
+    assert "listed_view" not in r.catalog_tables(spark, exclude=[d.name for d in spark.catalog.listDatabases()])
+
+
 def test_record_authority(spark, rows):
     users = spark.createDataFrame([(1,), (2,)], "user_id int")
     grants = spark.createDataFrame([(1, "FLOW", 5, True, False), (2, "FLOW", 6, True, True)], "user_id int, record_type string, record_id int, can_write boolean, can_publish boolean")

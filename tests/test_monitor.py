@@ -117,4 +117,4 @@ def test_instance_series(spark):
     samples = spark.createDataFrame([("a", datetime(2024, 1, 1, 9, 55), 2.0), ("a", datetime(2024, 1, 1, 9, 58), 1.0), ("a", datetime(2024, 1, 1, 9, 50), 7.0), ("b", datetime(2024, 1, 1, 8), 3.0), ("a", datetime(2024, 1, 1, 11), 9.0)],
                                     "instance string, ts timestamp_ntz, value double")
     got = {r["instance"]: tuple(r)[1:] for r in m.instance_series(samples, T0).collect()}
-    assert got == {"a": (1.0, ["09:55:00", "09:58:00"], [2.0, 1.0]), "b": (3.0, None, None)}
+    assert got == {"a": (1.0, ["09:55:00", "09:58:00"], [2.0, 1.0]), "b": (3.0, [], [])}
