@@ -2,21 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.llm.bottomk import near_duplicates
-from sluice.llm.common import stage
+from sluice.llm.common import read_table, stage
+from sluice.llm.decontam import contaminated
+from sluice.llm.langid import held_out, identify
+from sluice.llm.linefreq import drop_boilerplate
+from sluice.llm.piece_lattice import encode_pieces
+from sluice.llm.queries import public_tokenizer
 
-STAGES: list = []
-# language models, similarity classes and token lattices are beyond SQL; the stages are tested against brute force
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; those that the models reject go. Learned from the rows that are not held out."""
+    rejected = identify(docs, ~held_out()).where("rejected").select("doc_id").distinct()
+    return _without(docs, rejected)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source; n_chars follows the text."""
+    return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays (five-word shingles, similarity 0.8)."""
+    dropped = near_duplicates(docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
+    return _without(docs, dropped)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, with the scores of its four best segmentations."""
+    return encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not listed; a null id stays. The ids are written first, so Catalyst knows their size."""
+    return docs.join(stage(ids, "dropped"), "doc_id", "left_anti").select(COLUMNS)
+
+
+STAGES = [
+    ("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate), ("encode", encode),
+]
+# language models, similarity classes and piece lattices are beyond SQL: the stages are tested against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents, each written and reread before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, fn) in enumerate(STAGES):
-        docs = fn(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline-{name}")
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, fn in STAGES[:-1]:
+        docs = stage(fn(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

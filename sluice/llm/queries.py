@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import linefreq
 from .bottomk import near_duplicates
 from .common import read_table
+from .decontam import contaminated
+from .langid import held_out, identify
+from .linefreq import drop_boilerplate
+from .piece_lattice import encode_pieces
+
+
+def op2_pigeonhole_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a run of words within the edit budget of a benchmark item."""
+    return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+def public_tokenizer(name: str) -> str:
+    """Path of a public vocabulary file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_piece_nbest(spark: SparkSession, folder: str) -> DataFrame:
+    """Best segmentation of every document over the piece lattice, with the scores of the four best."""
+    docs = read_table(spark, folder, "documents")
+    return encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"), with_ids=False)
 
 
 def op4_bottomk_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,5 +36,18 @@ def op4_bottomk_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read_table(spark, folder, "documents"), num=85)
 
 
-QUERIES = {"op4_bottomk_dedup": op4_bottomk_dedup}
-ORACLES: dict[str, str] = {}
+def op5_kneser_ney_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    out = identify(read_table(spark, folder, "documents"), ~held_out())
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "cross_entropy", "rejected")
+
+
+def op9_site_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines that a tenth of their source repeats."""
+    return drop_boilerplate(read_table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+QUERIES = {fn.__name__: fn for fn in (
+    op2_pigeonhole_decontam, op3_piece_nbest, op4_bottomk_dedup, op5_kneser_ney_langid, op9_site_boilerplate,
+)}
+ORACLES: dict[str, str] = {"op9_site_boilerplate": linefreq.ORACLE}
