@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import linefreq
+from . import licences, linefreq
 from .bottomk import near_duplicates
 from .common import read_table
 from .decontam import contaminated
 from .langid import held_out, identify
+from .licences import licence_scan
 from .linefreq import drop_boilerplate
 from .piece_lattice import encode_pieces
+from .slots import shard_by_slots
 
 
 def op2_pigeonhole_decontam(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,12 +44,25 @@ def op5_kneser_ney_langid(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "cross_entropy", "rejected")
 
 
+def op6_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards of near equal bytes by virtual slots; the map's second version."""
+    rows, _ = shard_by_slots(read_table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def op9_site_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that a tenth of their source repeats."""
     return drop_boilerplate(read_table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op10_licence_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of whole documents and of their lines."""
+    return licence_scan(read_table(spark, folder, "documents"))
+
+
 QUERIES = {fn.__name__: fn for fn in (
-    op2_pigeonhole_decontam, op3_piece_nbest, op4_bottomk_dedup, op5_kneser_ney_langid, op9_site_boilerplate,
+    op2_pigeonhole_decontam, op3_piece_nbest, op4_bottomk_dedup, op5_kneser_ney_langid,
+    op6_virtual_slots, op9_site_boilerplate, op10_licence_digests,
 )}
-ORACLES: dict[str, str] = {"op9_site_boilerplate": linefreq.ORACLE}
+ORACLES: dict[str, str] = {"op9_site_boilerplate": linefreq.ORACLE, "op10_licence_digests": licences.oracle()}
