@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, stage, text_batches
+from .common import arrow_map, near_rows, stage, text_batches
 from .components import components
 
 _MASK = (1 << 64) - 1
@@ -158,21 +158,20 @@ def near_duplicates(
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs of classes that pass the estimate and then the full comparison."""
-        sized = classes.select("rep", "n", "sketch")
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sized = near_rows(classes, "rep", involved, "rep").select("rep", "n", "sketch")
         pairs = (pairs.join(sized.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
                  .join(sized.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
                  .where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"))
         likely = stage(arrow_map(pairs.select("a", "b", "s_a", "s_b"), estimate_filter(k, num, den), "a long, b long"), "likely")
         named = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        texts = (docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-                 .join(named, "rep").groupBy("rep").agg(F.min("text").alias("text")))
-        texts = stage(texts, "texts")
+        texts = stage(_texts_of(docs, id_col, text_col, stage(named, "named")), "texts")
         full = (likely.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("t_a")), "a")
                 .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("t_b")), "b"))
         return arrow_map(full.select("a", "b", "t_a", "t_b"), exact_filter(width, num, den), "a long, b long")
 
     centres = lists.groupBy("value").agg(F.min("rep").alias("a"))
-    first = lists.join(centres, "value").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    first = stage(lists.join(centres, "value").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = stage(linked(first), "links")
     labels = stage(components(links), "labels")
 
@@ -187,7 +186,8 @@ def near_duplicates(
     rest = left.join(right, "value").where(
         f"a < b AND l_a <> l_b AND {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b").distinct()
     long_links = _compare_blocks(docs, id_col, text_col, open_lists.where(F.col("members") > SHORT_LIST), width, num, den)
-    more = stage(linked(rest.join(first, ["a", "b"], "left_anti")).union(long_links), "links")
+    rest = stage(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = stage(linked(rest).union(long_links), "links")
     if not more.isEmpty():
         labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
 
@@ -200,6 +200,12 @@ def near_duplicates(
         F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
 
 
+def _texts_of(docs: DataFrame, id_col: str, text_col: str, named: DataFrame) -> DataFrame:
+    """(rep, text) of the named documents; with a repeated id the least text."""
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    return near_rows(texts, "rep", named, "rep").join(named, "rep").groupBy("rep").agg(F.min("text").alias("text"))
+
+
 def _compare_blocks(
     docs: DataFrame, id_col: str, text_col: str, members: DataFrame, width: int, num: int, den: int,
 ) -> DataFrame:
@@ -208,9 +214,7 @@ def _compare_blocks(
     A list is dealt into blocks of about ``BLOCK`` members, and each pair of blocks is one bounded task that counts all
     its intersections by matrix products. Of what is linked a task returns the ties of each member to the smallest it reaches.
     """
-    reps = members.select("rep").distinct()
-    texts = (docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-             .join(reps, "rep").groupBy("rep").agg(F.min("text").alias("text")))
+    texts = _texts_of(docs, id_col, text_col, stage(members.select("rep").distinct(), "named"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in text_batches(batches, 1):
@@ -260,10 +264,10 @@ def _prefix_lists(classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     listed are the ``shared - need + 1`` rarest shared values, where ``need`` is the least overlap of sketches that a link leaves.
     """
     least = least_shared(k, num, den)
-    entries = classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    entries = classes.select("rep", F.explode("sketch").alias("value"))
     counts = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(counts, "value").groupBy("rep").agg(
-        F.min("n").alias("n"), F.min("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("found"))
+    shared = entries.join(counts, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("found"))
+    shared = shared.join(classes.select("rep", "n", F.size("sketch").alias("size")), "rep")
     need = F.least(F.lit(least), F.ceil(F.col("size") * num / den)).cast("int")
     return (shared.withColumn("take", F.size("found") - need + 1).where("take > 0")
             .select("rep", "n", F.explode(F.slice("found", F.lit(1), F.col("take"))).alias("e"))

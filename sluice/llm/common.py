@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import stage, staging_path
 
-__all__ = ["ROW_ID", "arrow_map", "offsets", "read_table", "scratch_name", "stage", "staging_path", "text_batches"]
+__all__ = ["ROW_ID", "arrow_map", "near_rows", "offsets", "read_table", "scratch_name", "stage", "staging_path", "text_batches"]
 
 ROW_ID = "__row"
 # texts handed to one step of a Python task: a batch is cut so that working arrays stay small
@@ -52,6 +52,18 @@ def offsets(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, buckets: int = 1 << 20) -> DataFrame:
+    """Rows of ``df`` that can have a wanted key: all that do, and those whose key hashes to the same bucket.
+
+    Sifts wide rows in the scan, before a join would shuffle them. What is broadcast are the buckets in use, ``buckets`` integers
+    at most whatever the data; the more keys are wanted the less is sifted out, and nothing is ever lost.
+    """
+    bucket = scratch_name("bucket")
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias(bucket)
+    used = wanted.select(of(wanted_key)).distinct()
+    return df.select("*", of(key)).join(F.broadcast(used), bucket, "left_semi").drop(bucket)
+
+
 def crc32_of_id(column: str | Column) -> Column:
     """Unsigned crc32 of an id written as text."""
     return F.crc32((F.col(column) if isinstance(column, str) else column).cast("string").cast("binary"))

@@ -11,15 +11,13 @@ from .decontam import contaminated
 from .langid import held_out, identify
 from .licences import licence_scan
 from .linefreq import drop_boilerplate
+from .linkrank import url_verdicts
+from .outliers import quality_outliers
 from .piece_lattice import encode_pieces
+from .repair import token_blocks
 from .slots import shard_by_slots
 
 
-def op2_pigeonhole_decontam(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with a run of words within the edit budget of a benchmark item."""
-    return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
-
-
 def public_tokenizer(name: str) -> str:
     """Path of a public vocabulary file on the driver."""
     import public_tokenizers
@@ -27,6 +25,16 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repair_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written as grammar-compressed blocks in id order and read back."""
+    return token_blocks(read_table(spark, folder, "documents"), public_tokenizer("byte_bpe_50k.json"), 2)
+
+
+def op2_pigeonhole_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a run of words within the edit budget of a benchmark item."""
+    return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op3_piece_nbest(spark: SparkSession, folder: str) -> DataFrame:
     """Best segmentation of every document over the piece lattice, with the scores of the four best."""
     docs = read_table(spark, folder, "documents")
@@ -51,6 +59,20 @@ def op6_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+# (verdict, host and path)
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op7_link_trust(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page: by rule, else by trust and distrust of its host."""
+    return url_verdicts(read_table(spark, folder, "pages"), URL_RULES)
+
+
+def op8_mcd_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Text statistics of every document, and whether the rules and the robust distance keep it."""
+    return quality_outliers(read_table(spark, folder, "documents"))
+
+
 def op9_site_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that a tenth of their source repeats."""
     return drop_boilerplate(read_table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
@@ -62,7 +84,7 @@ def op10_licence_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {fn.__name__: fn for fn in (
-    op2_pigeonhole_decontam, op3_piece_nbest, op4_bottomk_dedup, op5_kneser_ney_langid,
-    op6_virtual_slots, op9_site_boilerplate, op10_licence_digests,
+    op1_repair_tokens, op2_pigeonhole_decontam, op3_piece_nbest, op4_bottomk_dedup, op5_kneser_ney_langid,
+    op6_virtual_slots, op7_link_trust, op8_mcd_outliers, op9_site_boilerplate, op10_licence_digests,
 )}
 ORACLES: dict[str, str] = {"op9_site_boilerplate": linefreq.ORACLE, "op10_licence_digests": licences.oracle()}
