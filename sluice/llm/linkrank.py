@@ -33,7 +33,7 @@ def host_links(pages: DataFrame, url_col: str, html_col: str, affiliation: float
     """(src, dst, w): links between different hosts, counted per pair, and ties between a host and the hosts above it.
 
     Links without a host stay on their page's host and carry nothing between hosts, so they are left out in the scan. A host and a
-    parent domain that is a host of pages too are tied both ways with weight ``affiliation``.
+    parent domain of two labels or more that is a host of pages too are tied both ways with weight ``affiliation``.
     """
     host, _ = host_and_path(F.col(url_col))
     found = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_LINK), 1)).alias("link"))
@@ -43,7 +43,7 @@ def host_links(pages: DataFrame, url_col: str, html_col: str, affiliation: float
     labels = F.split("h", r"\.")
     above = hosts.select("h", F.explode(F.transform(
         F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.array_join(F.slice(labels, i, F.greatest(F.size(labels), F.lit(1))), "."))).alias("up"))
-    ties = above.join(hosts.select(F.col("h").alias("up")), "up", "left_semi").where("h <> up")
+    ties = above.join(hosts.select(F.col("h").alias("up")), "up", "left_semi").where("h <> up AND instr(up, '.') > 0")
     both = ties.select(F.explode(F.array(F.struct(F.col("h").alias("src"), F.col("up").alias("dst")), F.struct(F.col("up").alias("src"), F.col("h").alias("dst")))).alias("e"))
     both = both.select("e.src", "e.dst", F.lit(float(affiliation)).alias("w"))
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
