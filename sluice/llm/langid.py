@@ -16,8 +16,8 @@ from .common import arrow_map, crc32_of_id, offsets, stage, text_batches
 # word boundary in a character sequence, and the start value of its rolling hash
 EDGE = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-# distinct grams a counting task holds before it passes them on, and distinct words a scoring task remembers
-TASK_GRAMS, TASK_WORDS = 400_000, 200_000
+# distinct grams a counting task holds before it passes them on, distinct words a scoring task remembers, and words scored at once
+TASK_GRAMS, TASK_WORDS, STEP_WORDS = 300_000, 200_000, 30_000
 # margins are calibrated in so many bins
 BINS, BIN_WIDTH = 40, 50
 # least standard deviation (nats per character) that a text's distance from its language is measured by
@@ -203,8 +203,8 @@ def cross_entropies(docs: DataFrame, text_col: str, keep: list[str], model: dict
                         known[word] = len(known)
                         fresh.append(word)
                     rows.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
-                if fresh:
-                    more, lengths = word_scores(model, [w.encode() for w in fresh])
+                for lo in range(0, len(fresh), STEP_WORDS):
+                    more, lengths = word_scores(model, [w.encode() for w in fresh[lo:lo + STEP_WORDS]])
                     scores, sizes = np.concatenate([scores, more]), np.concatenate([sizes, lengths])
                 ids, ends = np.concatenate(rows), offsets(np.array(counts))
                 sums = np.concatenate([np.zeros((1, langs)), np.cumsum(scores[ids], axis=0)])
