@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush, nsmallest
@@ -18,7 +19,7 @@ SPACE = "▁"
 # penalty of a character without a piece, below the worst piece, as in the library's own lattice
 UNKNOWN_PENALTY = 10.0
 # distinct units a Python worker remembers
-CACHED_UNITS = 300_000
+CACHED_UNITS = 600_000
 
 
 def load_pieces(path: str) -> dict:
@@ -47,7 +48,9 @@ def load_pieces(path: str) -> dict:
             spelled.append(piece.replace(SPACE, " ").encode())
     worst = min(s for s in scores.values() if s > -1e8)
     scores = {p: (s if s > -1e8 else worst) for p, s in scores.items()}
-    return {"ids": ids, "scores": scores, "bytes": bytes_of, "spelled": spelled, "longest": max(map(len, ids)), "unknown": worst - UNKNOWN_PENALTY,
+    # every beginning of a piece, so that a search from a place can stop: piece to (score, ids), other beginnings to (None, None)
+    table = {p[:i]: (None, None) for p in ids for i in range(1, len(p))} | {p: (scores[p], [ids[p]]) for p in ids}
+    return {"table": table, "ids": ids, "scores": scores, "bytes": bytes_of, "spelled": spelled, "longest": max(map(len, ids)), "unknown": worst - UNKNOWN_PENALTY,
             "breaks": "\n" not in {c for p in ids for c in p}}
 
 
@@ -83,6 +86,47 @@ def segmentations(unit: str, model: dict) -> Iterator[tuple[float, tuple[int, ..
             heappush(heap, (-(best[start] + score + done), start, own + tail, score + done))
 
 
+def best_two(unit: str, model: dict) -> tuple[float, list[int], float]:
+    """(score and ids of the best segmentation, score of the second best or -inf).
+
+    What :func:`segmentations` gives first and second, without its queue: the second best leaves the best path at one place, and
+    from there on the Viterbi scores complete it.
+    """
+    table, n = model["table"], len(unit)
+    best = [0.0] + [float("-inf")] * n
+    arcs: list[list] = [[] for _ in range(n + 1)]
+    for start in range(n):
+        so_far, end, known = best[start], start + 1, False
+        while end <= n:
+            hit = table.get(unit[start:end])
+            if hit is None:
+                break
+            if hit[0] is not None:
+                known = known or end == start + 1
+                score = so_far + hit[0]
+                arcs[end].append((score, start, hit))
+                if score > best[end]:
+                    best[end] = score
+            end += 1
+        if not known:
+            score = so_far + model["unknown"]
+            arcs[start + 1].append((score, start, (model["unknown"], [model["bytes"][b] for b in unit[start].encode()])))
+            if score > best[start + 1]:
+                best[start + 1] = score
+    at, done, second, tail = n, 0.0, float("-inf"), []
+    while at:
+        chosen, top = None, best[at]
+        for arc in arcs[at]:
+            if chosen is None and arc[0] == top:
+                chosen = arc
+            elif arc[0] + done > second:
+                second = arc[0] + done
+        tail.append(chosen[2][1])
+        done += chosen[2][0]
+        at = chosen[1]
+    return best[n], [i for ids in reversed(tail) for i in ids], second
+
+
 class Encoder:
     """Encodes whole texts; what it learns about units is kept for the next text."""
 
@@ -104,10 +148,9 @@ class Encoder:
             found = self.seats[unit] = len(self.blobs)
             if found == len(self.score):
                 self.score, self.gap = np.concatenate([self.score, self.score]), np.concatenate([self.gap, self.gap])
-            first, *second = islice(segmentations(unit, self.model), 2)
-            self.blobs.append(np.array(first[1], dtype="<u4").tobytes())
-            self.score[found] = first[0]
-            self.gap[found] = first[0] - second[0][0] if second else np.inf
+            best, ids, second = best_two(unit, self.model)
+            self.blobs.append(struct.pack(f"<{len(ids)}I", *ids))
+            self.score[found], self.gap[found] = best, best - second
         return found
 
     def encode(self, text: str) -> tuple[bytes, list[float]]:

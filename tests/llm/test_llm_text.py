@@ -218,6 +218,15 @@ def test_n_best_is_that_of_all_segmentations(pieces, text):
     assert piece_lattice.decode(ids, pieces) == text
 
 
+def test_best_two_is_the_start_of_the_search(pieces):
+    rng = random.Random(6)
+    for _ in range(400):
+        unit = "▁" + "".join(rng.choice("theandr☃▁é1") for _ in range(rng.randint(1, 14)))
+        found = [s for s, _ in zip(piece_lattice.segmentations(unit, pieces), range(2))]
+        best, ids, second = piece_lattice.best_two(unit, pieces)
+        assert (best, tuple(ids)) == found[0] and second == (found[1][0] if len(found) > 1 else float("-inf"))
+
+
 def test_long_runs_do_not_blow_up(pieces):
     for text in ("a" * 20_000, " " * 20_000, "☃" * 5_000):
         ids, best = piece_lattice.Encoder(pieces, 4).encode(text)
