@@ -15,9 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Measured net changes up to these bounds are sent to every executor.
-BROADCAST_KEYS = 200_000
-BROADCAST_BYTES = 64 << 20
+from .transforms import resolve_columns
 
 
 def required(col: Column, name: str) -> Column:
@@ -29,10 +27,19 @@ def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumns({k: required(F.col(k), k) for k in keys})
 
 
-def _image(target: DataFrame, given: Collection[str], prefix: str = "") -> Column:
+def _names(target: DataFrame, given: Collection[str], ignore_case: bool) -> dict[str, str]:
+    """Target column to the given column that fills it; an equal name goes before one that differs by case."""
+    folded = {n.lower(): n for n in given} if ignore_case else {}
+    known = set(given)
+    found = {c: c if c in known else folded.get(c.lower()) for c in target.columns}
+    return {c: n for c, n in found.items() if n is not None}
+
+
+def _image(target: DataFrame, given: Collection[str], prefix: str = "", ignore_case: bool = True) -> Column:
     """All target columns as a struct, taken from ``prefix``; columns not given are null."""
+    names = _names(target, given, ignore_case)
     return F.struct(*[
-        (F.col(f"{prefix}`{f.name}`") if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f"{prefix}`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in target.schema.fields
     ])
 
@@ -48,20 +55,39 @@ def latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return last.select(*[F.col(c) if c in keys else F.col(f"_last.`{c}`") for c in rows.columns])
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
+def single(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows, failing the job if a key comes twice: without an order none of them is the last."""
+    others = [c for c in rows.columns if c not in keys]
+    twice = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"several rows for one value of {list(keys)}, and no seq"))).otherwise(
+        F.first(F.struct(F.lit(1).alias("_one"), *others)))
+    found = rows.groupBy(*keys).agg(twice.alias("_only"))
+    return found.select(*[F.col(c) if c in keys else F.col(f"_only.`{c}`") for c in rows.columns])
+
+
+def _net_rows(target: DataFrame, rows: DataFrame, keys: Sequence[str], seq: str | None, ignore_case: bool) -> DataFrame:
+    """One checked row per key under the names of the target."""
+    rows = resolve_columns(rows, [*target.columns, *([seq] if seq else [])], ignore_case)
+    rows = _with_keys(rows, keys)
+    return _aligned(target, latest(rows, keys, seq) if seq else single(rows, keys))
+
+
+def upsert(
+    target: DataFrame, rows: DataFrame, keys: Sequence[str], seq: str | None = None, ignore_case: bool = True,
+) -> DataFrame:
     """Insert rows; an existing key has all its other columns replaced.
 
-    ``rows`` holds a key once, unless ``seq`` says which row of a key is last.
+    Columns are matched ignoring case unless told otherwise. ``seq`` says which row of a key is last; without it a
+    key that comes twice fails the job, and so does a null key.
     """
-    rows = latest(rows, keys, seq) if seq else rows
-    net = _with_keys(_aligned(target, rows), keys).select(*keys, F.struct(*target.columns).alias("_new"))
+    net = _net_rows(target, rows, keys, seq, ignore_case).select(*keys, F.struct(*target.columns).alias("_new"))
     return apply_net(target, net.withColumn("_state", F.lit("PUT")), keys)
 
 
-def update_rows(target: DataFrame, rows: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
-    """Replace all other columns of keys that exist (absent ones become null); unknown keys are ignored."""
-    rows = latest(rows, keys, seq) if seq else rows
-    net = _aligned(target, rows).select(*[F.col(k) for k in keys], F.struct(*target.columns).alias("_new"))
+def update_rows(
+    target: DataFrame, rows: DataFrame, keys: Sequence[str], seq: str | None = None, ignore_case: bool = True,
+) -> DataFrame:
+    """Replace all other columns of keys that exist (absent ones become null); unknown keys are ignored, null keys refused."""
+    net = _net_rows(target, rows, keys, seq, ignore_case).select(*keys, F.struct(*target.columns).alias("_new"))
     joined = target.join(net, list(keys), "left")
     return joined.select(*[
         F.col(c) if c in keys
@@ -71,14 +97,14 @@ def update_rows(target: DataFrame, rows: DataFrame, keys: Sequence[str], seq: st
 
 
 def delete_rows(target: DataFrame, rows: DataFrame, keys: Sequence[str], image: str | None = None) -> DataFrame:
-    """Remove the keys of ``rows``, taken from their ``image`` (the state before) if given."""
-    gone = rows.select(*[F.col(f"{image}.{k}" if image else k).alias(k) for k in keys])
+    """Remove the keys of ``rows``, taken from their ``image`` (the state before) if given; null keys are refused."""
+    gone = _with_keys(rows.select(*[F.col(f"{image}.{k}" if image else k).alias(k) for k in keys]), keys)
     return target.join(gone, list(keys), "left_anti")
 
 
 def net_changes(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str = "seq", op: str = "op",
-    before: str | None = "before", after: str = "after",
+    before: str | None = "before", after: str = "after", ignore_case: bool = True,
 ) -> DataFrame:
     """One row per key: ``_state`` PUT, DROP or PATCH (only if the row exists) and the image ``_new``.
 
@@ -86,13 +112,16 @@ def net_changes(
     ``before=None`` changes are flat rows whose columns are the image.
     """
     if before is None:
-        key_of = {k: F.col(k) for k in keys}
-        new = _image(target, changes.columns)
+        given = _names(target, changes.columns, ignore_case)
+        key_of = {k: F.col(f"`{given.get(k, k)}`") for k in keys}
+        new = _image(target, changes.columns, "", ignore_case)
     else:
+        old, now = (_names(target, changes.schema[c].dataType.names, ignore_case) for c in (before, after))
         key_of = {
-            k: F.when(F.col(op) == "DELETE", F.col(f"{before}.`{k}`")).otherwise(F.col(f"{after}.`{k}`")) for k in keys
+            k: F.when(F.col(op) == "DELETE", F.col(f"{before}.`{old.get(k, k)}`")).otherwise(F.col(f"{after}.`{now.get(k, k)}`"))
+            for k in keys
         }
-        new = _image(target, changes.schema[after].dataType.names, f"{after}.")
+        new = _image(target, changes.schema[after].dataType.names, f"{after}.", ignore_case)
     events = changes.select(
         *[required(v, k).cast(target.schema[k].dataType).alias(k) for k, v in key_of.items()],
         required(F.col(seq), seq).alias("_seq"),
@@ -112,51 +141,43 @@ def net_changes(
     )
 
 
-def fits_broadcast(net: DataFrame) -> bool:
-    """Measure written net changes: their number and their size as text."""
-    if net.count() > BROADCAST_KEYS:
-        return False
-    size = net.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
-    return (size or 0) <= BROADCAST_BYTES
-
-
-def apply_net(target: DataFrame, net: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
+def apply_net(target: DataFrame, net: DataFrame, keys: Sequence[str], lookup: bool = False) -> DataFrame:
     """Target after one net change per key.
 
-    By default one full outer join shuffles both sides on the key. If the caller has measured
-    that the net changes are ``small`` (:func:`fits_broadcast`), the target is not shuffled at
-    all: it is joined with the broadcast net, and new rows are found against the few keys that matched.
+    By default one full outer join shuffles both sides on the key, once. With ``lookup`` the target is looked up in the net
+    changes instead, and new rows are those whose key the target lacks: for net changes that have been written, so that
+    Catalyst knows their size. It then sends small ones to the target, which is not shuffled; large ones cost a second, narrow
+    shuffle of the target's keys.
     """
     def value(c: str) -> Column:
         return F.col(c) if c in keys else F.when(F.col("_state").isNull(), F.col(c)).otherwise(F.col(f"_new.`{c}`")).alias(c)
 
-    if not small:
+    if not lookup:
         both = target.withColumn("_old", F.lit(True)).join(net, list(keys), "full_outer")
         kept = (
             F.col("_state").isNull() | (F.col("_state") == "PUT")
             | ((F.col("_state") == "PATCH") & F.col("_old").isNotNull())
         )
         return both.filter(kept).select(*[value(c) for c in target.columns])
-    sent = F.broadcast(net)
     survivors = (
-        target.join(sent, list(keys), "left")
+        target.join(net, list(keys), "left")
         .filter(F.col("_state").isNull() | (F.col("_state") != "DROP"))
         .select(*[value(c) for c in target.columns])
     )
-    known = target.select(*keys).join(sent, list(keys), "left_semi")
+    known = target.select(*keys).join(net, list(keys), "left_semi")
     fresh = net.filter(F.col("_state") == "PUT").join(known, list(keys), "left_anti").select("_new.*")
     return survivors.unionByName(fresh)
 
 
 def apply_changes(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str = "seq", op: str = "op",
-    before: str | None = "before", after: str = "after",
+    before: str | None = "before", after: str = "after", ignore_case: bool = True,
 ) -> DataFrame:
     """Target after an ordered batch of INSERT, UPDATE and DELETE changes, equal to replaying them.
 
     Every image replaces the whole row: columns it lacks become null.
     """
-    return apply_net(target, net_changes(target, changes, keys, seq, op, before, after), keys)
+    return apply_net(target, net_changes(target, changes, keys, seq, op, before, after, ignore_case), keys)
 
 
 _VARIABLE = re.compile(r"\$\{(\w+)\}")
@@ -194,6 +215,7 @@ def custom_write(
     Operations without a template act as in :func:`apply_changes`. Values depend on the change
     alone, so per column the last setting event decides, and everything combines before the shuffle.
     """
+    changes = resolve_columns(changes, [*target.columns, seq, op], ignore_case)
     values = {o: _template_columns(t, target, changes, ignore_case) for o, t in templates.items()}
     plain = {
         c: F.col(f"`{c}`").cast(target.schema[c].dataType) if c in changes.columns

@@ -1,11 +1,11 @@
 from .payloads import kafka_payload, kafka_send
 from .writers import (
-    commit_version, fan_out, jdbc_write_options, merge_batch, merge_into, merge_statement, read_current, with_retry, write_batch,
-    write_table,
+    clean_versions, commit_version, fan_out, jdbc_write_options, merge_batch, merge_into, merge_statement, read_current, with_retry,
+    write_batch, write_table,
 )
 
 __all__ = [
-    "commit_version", "fan_out", "jdbc_write_options", "kafka_payload", "kafka_send", "merge_batch", "merge_into",
+    "clean_versions", "commit_version", "fan_out", "jdbc_write_options", "kafka_payload", "kafka_send", "merge_batch", "merge_into",
     "merge_statement",
     "read_current", "with_retry", "write_batch", "write_table",
 ]

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import functools
+import json
 import time
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Collection, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators.upserts import apply_net, fits_broadcast, net_changes
+from ..operators.upserts import apply_net, net_changes
 from ..session import stage
 
 
@@ -39,41 +43,115 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def commit_version(df: DataFrame, path: str, version: int) -> None:
-    """Write the whole state of a table beside the old one, then name it current in one small file."""
-    df.write.mode("overwrite").parquet(f"{path}/data/version={version}")
-    df.sparkSession.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").json(
-        f"{path}/commits"
-    )
+COMMIT = (
+    "version long, run string, batch_id long, schema string, keys array<string>, n_buckets int, "
+    "buckets array<struct<bucket: int, version: long>>"
+)
+
+
+def commit_version(
+    df: DataFrame, path: str, version: int, keys: Sequence[str] = (), n_buckets: int = 1, run: str = "", batch_id: int | None = None,
+) -> None:
+    """Write the whole state of a table beside the old one, then name it current in one small file.
+
+    With ``keys`` the rows lie in ``n_buckets`` folders by the hash of their key, so that :func:`merge_batch` rewrites those it
+    touches only. ``n_buckets`` is for the size of the table: a bucket is what a change of one key rewrites.
+    """
+    _write_buckets(df, path, version, keys, n_buckets)
+    _commit(df.sparkSession, path, version, run, batch_id, df.schema, keys, n_buckets, dict.fromkeys(range(n_buckets), version))
+
+
+def _bucket(keys: Sequence[str], n_buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int") if keys else F.lit(0)
+
+
+def _write_buckets(df: DataFrame, path: str, version: int, keys: Sequence[str], n_buckets: int) -> None:
+    rows = df.withColumn("_bucket", _bucket(keys, n_buckets))
+    rows = rows.repartition("_bucket") if keys else rows
+    rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/version={version}")
+
+
+def _commit(
+    spark: SparkSession, path: str, version: int, run: str, batch_id: int | None, schema: StructType, keys: Sequence[str],
+    n_buckets: int, buckets: dict[int, int],
+) -> None:
+    row = (version, run, batch_id, schema.json(), list(keys), n_buckets, sorted(buckets.items()))
+    spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("append").json(f"{path}/commits")
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COMMIT).json(f"{path}/commits")
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    commits = spark.read.schema("version long").json(f"{path}/commits")
-    return commits.agg(F.max("version")).first()[0]
+    return _commits(spark, path).agg(F.max("version")).first()[0]
+
+
+def _read_buckets(spark: SparkSession, path: str, commit: Row, only: Collection[int] | None = None) -> DataFrame:
+    """Rows of a commit's buckets. Each version holds the folders of the buckets it rewrote."""
+    wanted = [b for b in commit["buckets"] if only is None or b["bucket"] in only]
+    base = f"{path}/data"
+    schema = StructType.fromJson(json.loads(commit["schema"]))
+    stored = StructType([*schema.fields, StructField("_bucket", IntegerType())])
+    by_version: dict[int, list[int]] = {}
+    for b in wanted:
+        by_version.setdefault(b["version"], []).append(b["bucket"])
+    parts = [
+        spark.read.schema(stored).parquet(f"{base}/version={v}")
+        .filter(F.col("_bucket").isin(buckets)).drop("_bucket") for v, buckets in by_version.items()
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """The last committed state; an unfinished write is never seen."""
-    return spark.read.parquet(f"{path}/data/version={current_version(spark, path)}")
+    return _read_buckets(spark, path, _commits(spark, path).orderBy(F.desc("version")).first())
+
+
+def clean_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Remove the version folders that none of the newest ``keep`` commits refers to; returns their numbers."""
+    commits = _commits(spark, path).orderBy(F.desc("version")).collect()
+    used = {b["version"] for c in commits[:keep] for b in c["buckets"]} | {c["version"] for c in commits[:keep]}
+    old = [v for v in {c["version"] for c in commits} - used]
+    jvm = spark.sparkContext._jvm
+    for version in old:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/data/version={version}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(old)
 
 
 def merge_batch(
     path: str, changes: DataFrame, keys: Sequence[str], batch_id: int, seq: str = "seq",
-    before: str | None = "before", after: str = "after",
+    before: str | None = "before", after: str = "after", run: str = "", keep: int | None = None,
 ) -> None:
     """Apply a batch of ordered changes to a file table written by :func:`commit_version`.
 
-    For use in ``foreachBatch``: a batch that is already in is skipped, so replays after a
-    restart are harmless. The net changes are staged and measured; few of them are broadcast and
-    the target is not shuffled. File tables are rewritten per batch; where the table format has
-    MERGE, run :func:`merge_statement` instead.
+    For use in ``foreachBatch``: ``run`` names the run that numbers the batches (its checkpoint), and a batch that this run has
+    already committed is skipped, so replays after a restart are harmless and a new run's batch 0 is applied. Versions are numbered
+    on their own. Only buckets that hold changed keys are read and written; a batch without changes writes nothing.
+    With ``keep`` versions outside the newest ``keep`` commits are removed.
+    Where the table format has MERGE, run :func:`merge_into` instead.
     """
     spark = changes.sparkSession
-    if current_version(spark, path) >= batch_id + 1:  # version 0 is the initial load
+    commits = _commits(spark, path)
+    done = commits.filter(F.col("run") == run).agg(F.max("batch_id")).first()[0]
+    if done is not None and done >= batch_id:
         return
-    target = read_current(spark, path)
-    net = stage(net_changes(target, changes, keys, seq, before=before, after=after), "net")
-    commit_version(apply_net(target, net, keys, small=fits_broadcast(net)), path, batch_id + 1)
+    last = commits.orderBy(F.desc("version")).first()
+    held, n_buckets = list(last["keys"] or ()), last["n_buckets"]
+    if held and held != list(keys):
+        raise ValueError(f"the table is kept by {held}")
+    like = _read_buckets(spark, path, last, only=())
+    net = stage(net_changes(like, changes, keys, seq, before=before, after=after).withColumn("_bucket", _bucket(held, n_buckets)), "net")
+    touched = {r[0] for r in net.select("_bucket").distinct().collect()}  # at most n_buckets
+    if not touched:
+        return
+    target, version = _read_buckets(spark, path, last, only=touched), last["version"] + 1
+    _write_buckets(apply_net(target, net.drop("_bucket"), keys, lookup=True), path, version, held, n_buckets)
+    buckets = {b["bucket"]: b["version"] for b in last["buckets"]} | dict.fromkeys(touched, version)
+    _commit(spark, path, version, run, batch_id, like.schema, held, n_buckets, buckets)
+    if keep is not None:
+        clean_versions(spark, path, keep)
 
 
 def merge_statement(target: str, net: str, keys: Sequence[str], columns: Sequence[str]) -> str:
@@ -102,8 +180,12 @@ def merge_into(
     spark = changes.sparkSession
     target = spark.table(table)
     net = stage(net_changes(target, changes, keys, seq, before=before, after=after), "net")
-    net.createOrReplaceTempView("net_changes")
-    spark.sql(merge_statement(table, "net_changes", keys, target.columns))
+    view = f"net_changes_{uuid.uuid4().hex}"  # sinks of one group share the session
+    net.createOrReplaceTempView(view)
+    try:
+        spark.sql(merge_statement(table, view, keys, target.columns))
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def fan_out(batch: DataFrame, groups: Sequence[Sequence[Callable[[DataFrame], None]]]) -> None:
