@@ -109,6 +109,16 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(ratio, digits).cast(f"decimal(9,{digits})")
 
 
+def total_cost(cost: Column) -> Column:
+    """Sum of costs at full scale, rounded once, as DECIMAL(18,2)."""
+    return F.round(F.sum(cost.cast("decimal(28,8)")), 2).cast("decimal(18,2)")
+
+
+def average_cost(cost: Column) -> Column:
+    """Sum of costs at full scale over the number of rows, rounded once, as DECIMAL(18,2)."""
+    return F.round(F.sum(cost.cast("decimal(28,8)")) / F.count(F.lit(1)).cast("decimal(18,0)"), 2).cast("decimal(18,2)")
+
+
 def render_template(template: Column, params: Column) -> Column:
     """Replace ``${key}`` by ``params[key]``; a missing or null value shows as nothing.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
@@ -15,6 +17,8 @@ DESIGN = (
 NODE_TYPES = (
     "job", "filter", "map", "eventDebezium", "queryMySQL", "writeMySQL", "kafkaSend", "kafkaReceive", "printLog",
 )
+# levels after which the visited nodes are put into one table
+LEVELS_PER_TABLE = 16
 NEEDS_SUCCESSOR = ("job", "queryMySQL", "kafkaReceive", "eventDebezium")
 
 
@@ -54,18 +58,18 @@ def successor_groups(edges: DataFrame) -> DataFrame:
     )
 
 
-def reachable(edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def reachable(edges: DataFrame) -> DataFrame:
     """Nodes reached from each root with their smallest depth (the root itself is depth 0).
 
-    One frontier join per level; nodes already visited are dropped, so cycles end. Levels are
-    staged, which cuts the lineage. A graph deeper than ``max_depth`` is an error, not a shorter result.
+    One frontier join per level; nodes already visited are dropped, so cycles end and every walk does, at whatever
+    depth. Levels are staged, which cuts the lineage; the roots come from the staged links too.
     """
     links = stage(edges.select("design", F.col("source").alias("node"), F.col("target").alias("next")).distinct(), "links")
-    roots = graph_roots(edges)
+    roots = graph_roots(links.select("design", F.col("node").alias("source"), F.col("next").alias("target")))
     visited = frontier = stage(
         roots.select("design", F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")), "reach"
     )
-    for depth in range(1, max_depth + 2):
+    for depth in count(1):
         step = (
             frontier.select("design", "root", "node").join(links, ["design", "node"])
             .select("design", "root", F.col("next").alias("node")).distinct()
@@ -76,7 +80,8 @@ def reachable(edges: DataFrame, max_depth: int = 100) -> DataFrame:
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
-    raise ValueError(f"a graph is deeper than {max_depth} levels")
+        if depth % LEVELS_PER_TABLE == 0:
+            visited = stage(visited, "reach")
 
 
 def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:

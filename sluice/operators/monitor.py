@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import java_hash, number_rows, percent, render_template
+from ..functions import average_cost, java_hash, number_rows, percent, render_template
 from .templates import dynamic_where
 
 STATUSES = {"success": "SUCCESS", "failed": "FAILED", "silent": "SILENT"}
@@ -71,11 +71,10 @@ def source_panel(checks: DataFrame, today: date) -> DataFrame:
 
 def _series_columns(seconds: int) -> list[Column]:
     total = F.sum("rows")
-    cost = F.sum(F.col("cost").cast("decimal(18,2)"))
     return [
         total.alias("total"),
         (total.cast("decimal(18,0)") / F.lit(seconds).cast("decimal(18,0)")).cast("decimal(18,4)").alias("rate"),
-        (cost / F.count(F.lit(1)).cast("decimal(18,0)")).cast("decimal(18,2)").alias("avg_cost"),
+        average_cost(F.col("cost")).alias("avg_cost"),
         F.count_if("error").alias("errors"),
     ]
 
@@ -190,37 +189,40 @@ def _silence_hits(text: Column, rules: Column, at: Column) -> Column:
     return F.slice(F.array_sort(F.filter(keywords, lambda k: F.contains(text, k))), 1, 5)
 
 
-def _rules_per_robot(rules: DataFrame) -> DataFrame:
+def _rules_per_robot(rules: DataFrame, scope: Sequence[str]) -> DataFrame:
     """All rules of a robot as one array: they are part of the robot's configuration record."""
-    return rules.groupBy("robot").agg(F.collect_list(F.struct("keywords", "expire")).alias("_rules"))
+    return rules.groupBy(*scope, "robot").agg(F.collect_list(F.struct("keywords", "expire")).alias("_rules"))
 
 
-def silence(alarms: DataFrame, rules: DataFrame) -> DataFrame:
+def silence(alarms: DataFrame, rules: DataFrame, scope: Sequence[str] = ("workspace",)) -> DataFrame:
     """Alarms with ``silent`` and the keywords found.
 
-    Alarms: ``robot, text, alarm_time``; rules: ``robot, keywords, expire`` (null never expires).
+    Alarms: ``workspace, robot, text, alarm_time``; rules: ``workspace, robot, keywords, expire`` (null never expires).
+    A robot's code is known within its ``scope`` only.
     Keywords are tested inside the row, so an alarm is never multiplied by its rules.
     """
-    joined = alarms.join(_rules_per_robot(rules), "robot", "left")
+    joined = alarms.join(_rules_per_robot(rules, scope), [*scope, "robot"], "left").select(*alarms.columns, "_rules")
     hits = F.coalesce(_silence_hits(F.col("text"), F.col("_rules"), F.col("alarm_time")), F.array().cast("array<string>"))
     return joined.withColumn("hits", hits).withColumn("silent", F.size("hits") > 0).drop("_rules")
 
 
-def deliver(alarms: DataFrame, robots: DataFrame, seq: str = "alarm_id") -> DataFrame:
+def deliver(
+    alarms: DataFrame, robots: DataFrame, seq: str = "alarm_id", scope: Sequence[str] = ("workspace",)
+) -> DataFrame:
     """One row per alarm and chosen ``receiver``.
 
     BROADCAST sends to all, POLLING to receiver ``counter % n`` (the counter of a robot starts at
     1 and follows ``seq``), RANDOM to one picked by the hash of ``seq``, so that a rerun agrees.
-    Robots: ``robot, mode, receives`` (array).
+    Robots: ``workspace, robot, mode, receives`` (array); a code and its counter belong to their ``scope``.
     """
-    known = robots.select("robot", "mode", "receives")
-    joined = alarms.join(known, "robot")
+    known = robots.select(*scope, "robot", "mode", "receives")
+    joined = alarms.join(known, [*scope, "robot"]).select(*alarms.columns, "mode", "receives")
     n = F.size("receives")
     pick = F.pmod(java_hash(F.col(seq).cast("string")).bitwiseAND(F.lit(0x7FFFFFFF)), n).cast("int")
     at_once = F.when(F.col("mode") == "BROADCAST", F.col("receives")).when(
         F.col("mode") == "RANDOM", F.array(F.get("receives", pick))
     )
-    polled = number_rows(joined.filter(F.col("mode") == "POLLING"), [seq], ["robot"], out="_counter").withColumn(
+    polled = number_rows(joined.filter(F.col("mode") == "POLLING"), [seq], [*scope, "robot"], out="_counter").withColumn(
         "receiver", F.get("receives", F.pmod("_counter", n).cast("int"))
     )
     return (
@@ -234,16 +236,20 @@ TEMPLATE_OFF = "模板未启用"
 REASON_LENGTH = 2000
 
 
-def alarm_outcome(alarms: DataFrame, robots: DataFrame, templates: DataFrame, rules: DataFrame) -> DataFrame:
+def alarm_outcome(
+    alarms: DataFrame, robots: DataFrame, templates: DataFrame, rules: DataFrame, scope: Sequence[str] = ("workspace",)
+) -> DataFrame:
     """The alarm log: status and reason of each alarm whose robot is on and records a log.
 
     Alarms: ``robot, template, workspace, alarm_time, params, …``; robots: ``robot, status, record_log``;
-    templates: ``template, template_content, status``. Alarms without a robot, or whose robot is off, are dropped.
+    templates: ``template, template_content, status``; all with the columns of ``scope``, in which codes are known.
+    Alarms without a robot, or whose robot is off, are dropped.
     """
-    active = robots.filter((F.col("status") == "ENABLE") & (F.col("record_log") == "ENABLE")).select("robot")
-    known = templates.select("template", "template_content", F.col("status").alias("_template_status"), F.lit(True).alias("_known"))
+    active = robots.filter((F.col("status") == "ENABLE") & (F.col("record_log") == "ENABLE")).select(*scope, "robot")
+    known = templates.select(*scope, "template", "template_content", F.col("status").alias("_template_status"), F.lit(True).alias("_known"))
     joined = (
-        alarms.join(active, "robot").join(known, "template", "left").join(_rules_per_robot(rules), "robot", "left")
+        alarms.join(active, [*scope, "robot"]).join(known, [*scope, "template"], "left")
+        .join(_rules_per_robot(rules, scope), [*scope, "robot"], "left")
     )
     rendered = render(joined)
     hits = F.coalesce(_silence_hits(F.col("text"), F.col("_rules"), F.col("alarm_time")), F.array().cast("array<string>"))
@@ -281,23 +287,23 @@ def expand_messages(messages: DataFrame, users: DataFrame, members: DataFrame, s
     return asked.join(audiences, ["scope", "target", "_part"]).select("message_id", "user_id").distinct()
 
 
-# How a log record starts, its header, and the longest record in lines.
+# How a log record starts, and its header.
 FIRST_LINE = r"^\d{4}-\d{2}-\d{2}[\s|T]\d{2}:\d{2}:\d{2}\.\d{3}\s+"
 HEADER = (
     r"^(\d{4}-\d{2}-\d{2}[\s|T]\d{2}:\d{2}:\d{2}\.\d{3})\s+(\w+)\s+(\d+)\s+---\s+\[([^\]]+)\]\s+\[([^\]]+)\]\s+"
     r"(?:\[(?:([a-f0-9]{32})|\s{32})\]\s+)?\[(?:([a-f0-9]{32})|\s{32})\]\s+([^\s]+)\s+:\s+"
 )
 HEADER_FIELDS = ("timestamp", "level", "process_id", "application", "thread", "flow_code", "request_id", "logger")
-MAX_LINES = 100
 
 
 def parse_log_lines(
-    lines: DataFrame, file: str = "file", line_no: str = "line_no", text: str = "text", chunk: int = 100_000
+    lines: DataFrame, file: str = "file", line_no: str = "line_no", text: str = "text", chunk: int = 100_000,
+    max_lines: int = 100,
 ) -> DataFrame:
     """Text lines to log records with their header fields.
 
-    A line that starts with a timestamp opens a record and the lines after it join, at most 100;
-    longer records continue in a further one without header. ``line_no`` counts lines of a file
+    A line that starts with a timestamp opens a record and the lines after it join, at most ``max_lines``;
+    longer records continue in further ones, which have the header fields of their first. ``line_no`` counts lines of a file
     from any start without gaps. A file is cut into chunks of lines; only the last record start of each
     chunk is carried over to the next ones, so a large file spreads over many tasks.
     """
@@ -315,19 +321,20 @@ def parse_log_lines(
         marked.withColumn("_start", F.max("_start").over(so_far))
         .join(carried, [file, "_chunk"])
         .withColumn("_start", F.coalesce("_start", "_carried", line_no))
-        .withColumn("_piece", F.floor((F.col(line_no) - F.col("_start")) / MAX_LINES))
+        .withColumn("_piece", F.floor((F.col(line_no) - F.col("_start")) / max_lines))
     )
     ordered = F.sort_array(F.collect_list(F.struct(line_no, text)))
     records = placed.groupBy(file, "_start", "_piece").agg(
         F.min(line_no).alias(line_no), F.count(F.lit(1)).alias("lines"), F.array_join(ordered[text], "\n").alias("record")
     )
     # the long text is searched once; the fields come from the short header
+    pieces = Window.partitionBy(file, "_start").orderBy("_piece")
     header = F.regexp_extract("record", HEADER, 0)
     fields = {
-        name: F.when(F.col("_header") != "", F.nullif(F.regexp_extract("_header", HEADER, i), F.lit("")))
+        name: F.when(F.col("_first") != "", F.nullif(F.regexp_extract("_first", HEADER, i), F.lit("")))
         for i, name in enumerate(HEADER_FIELDS, start=1)
     }
-    return records.withColumn("_header", header).select(
+    return records.withColumn("_header", header).withColumn("_first", F.first("_header").over(pieces)).select(
         file, line_no, "lines", *[c.alias(n) for n, c in fields.items()],
         F.substr("record", F.length("_header") + 1).alias("message"),
     )
@@ -338,6 +345,10 @@ def search_run_log(logs: DataFrame, params: Mapping, limit: int = 5000) -> DataF
 
     ``params``: ``flow_code, request_id, level, keywords, start, end``.
     """
+    def moment(text: Column) -> Column:
+        """A time as the log writes it: blank, T or bar between date and time."""
+        return F.translate(text.cast("string"), "|", " ").cast("timestamp_ntz")
+
     def all_words(words: Sequence[str]) -> Column:
         found = F.lit(True)
         for word in words:
@@ -349,7 +360,7 @@ def search_run_log(logs: DataFrame, params: Mapping, limit: int = 5000) -> DataF
         ("request_id", lambda v: F.col("request_id") == v),
         ("level", lambda v: F.col("level") == v),
         ("keywords", all_words),
-        ("start", lambda v: F.col("timestamp") >= v),
-        ("end", lambda v: F.col("timestamp") <= v),
+        ("start", lambda v: moment(F.col("timestamp")) >= moment(F.lit(v))),
+        ("end", lambda v: moment(F.col("timestamp")) <= moment(F.lit(v))),
     ], params)
     return rows.orderBy(F.desc("timestamp"), F.desc("file"), F.desc("line_no")).limit(limit)

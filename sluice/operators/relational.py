@@ -138,7 +138,8 @@ def json_values(df: DataFrame, json_col: str, field: str, out: str = "value") ->
     In valid JSON an unescaped quoted name before a colon is always a key, so one scan of the text
     finds every depth.
     """
-    pattern = rf'(?<!\\)"{field}"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    name = "\\Q" + field.replace("\\E", r"\E\\E\Q") + "\\E"  # the name as it is, not as a pattern
+    pattern = rf'(?<!\\)"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"'
     raw = F.regexp_extract_all(F.col(json_col), F.lit(pattern), F.lit(1))
     decoded = F.transform(raw, lambda t: F.get_json_object(F.concat(F.lit('{"v":"'), t, F.lit('"}')), "$.v"))
     found = F.array_distinct(F.filter(decoded, lambda v: F.length(F.trim(v)) > 0))

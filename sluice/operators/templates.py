@@ -7,14 +7,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import percent
+from ..functions import average_cost, percent
 from ..sources.paging import page_query
 
 _PLACEHOLDER = re.compile(r"\$\{(\w+)\}")
+_LITERAL = re.compile(r"""[rR]'[^']*'|[rR]"[^"]*"|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""")
 
 
 def template_query(spark: SparkSession, text: str, params: Mapping) -> DataFrame:
     """SQL text with ``${name}`` placeholders; values are bound, never spliced into the text."""
+    for literal in _LITERAL.findall(text):
+        if _PLACEHOLDER.search(literal):
+            raise ValueError(f"a placeholder inside a literal is not bound: {literal}")
     names = set(_PLACEHOLDER.findall(text))
     missing = sorted(names - set(params))
     if missing:
@@ -56,10 +60,16 @@ def _ordering(orders: Sequence[tuple[str, bool]]) -> list:
 def page_with_total(
     df: DataFrame, current: int = 1, size: int = 10, orders: Sequence[tuple[str, bool]] = ()
 ) -> DataFrame:
-    """One page with the total row count beside each row; ``orders`` are (column, descending)."""
-    total = query_count(df).scalar()
-    page = page_query(df, _ordering(orders), current, size) if orders else df.offset((current - 1) * size).limit(size)
-    return page.withColumn("total", total)
+    """One page with the total row count beside each row; ``orders`` are (column, descending) and required.
+
+    A page past the end is one row of nulls with the total.
+    """
+    if not orders:
+        raise ValueError("a page needs an order")
+    totals = query_count(df)
+    page = page_query(df, _ordering(orders), current, size).withColumn("total", totals.scalar())
+    empty = totals.filter(F.col("total") <= (current - 1) * size)
+    return page.unionByName(empty.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields], "total"))
 
 
 query_page = page_with_total
@@ -71,12 +81,11 @@ def query_log_stats(log: DataFrame) -> DataFrame:
     Expects ``template, cost, number, hit_cache, status``.
     """
     calls = F.count(F.lit(1))
-    cost = F.sum(F.col("cost").cast("decimal(18,2)"))
     return log.groupBy("template").agg(
         calls.alias("calls"),
         F.count_if(F.col("status") != "SUCCESS").alias("errors"),
         F.count_if(F.col("hit_cache")).alias("cache_hits"),
         percent(F.count_if(F.col("hit_cache")), calls).alias("hit_rate"),
         F.sum("number").alias("rows"),
-        (cost / calls.cast("decimal(18,0)")).cast("decimal(18,2)").alias("avg_cost"),
+        average_cost(F.col("cost")).alias("avg_cost"),
     )

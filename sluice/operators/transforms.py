@@ -156,14 +156,30 @@ SAFE_FUNCTIONS = frozenset(
 
 
 def safe_expr(df: DataFrame, name: str, sql_text: str, allow: Collection[str] = SAFE_FUNCTIONS) -> DataFrame:
-    """Add a user expression whose function calls are all on the allow-list."""
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", sql_text)
-    if any(mark in bare for mark in ("--", "/*", '"', ";")):
-        raise ValueError("comments, double quotes and several statements are not allowed")
-    called = {m.lower() for m in re.findall(r"([\w.]+)`?\s*\(", bare)}
-    refused = sorted(called - {a.lower() for a in allow})
-    if refused or re.search(r"\bselect\b", bare, re.I):
-        raise ValueError(f"not allowed in an expression: {refused or ['select']}")
+    """Add a user expression whose function calls are all on the allow-list.
+
+    The calls are taken from the parsed expression, so no quoting, comment or qualified name can hide one;
+    subqueries are refused.
+    """
+    allowed, refused = {a.lower() for a in allow}, set()
+    try:
+        open_nodes = [df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(sql_text)]
+    except Exception as error:
+        raise ValueError(f"not an expression: {sql_text}") from error
+    while open_nodes:
+        node = open_nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            parts = node.nameParts()
+            called = ".".join(parts.apply(i) for i in range(parts.size())).lower()
+            if called not in allowed:
+                refused.add(called)
+        elif "Subquery" in kind or kind in ("Exists", "ListQuery"):
+            refused.add("select")
+        children = node.children()
+        open_nodes += [children.apply(i) for i in range(children.size())]
+    if refused:
+        raise ValueError(f"not allowed in an expression: {sorted(refused)}")
     return df.withColumn(name, F.expr(sql_text))
 
 

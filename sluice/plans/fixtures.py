@@ -62,11 +62,11 @@ FIXTURES: dict[str, str | dict[str, str]] = {
         SELECT 'm' || cast(event_id AS STRING) AS id, event_type AS scope,
                ts + (3 + event_id % 4) * interval '1' day AS arrival, event_id AS n FROM events""",
     "save_points": """
-        SELECT user_id AS flow, event_id AS id, 'sp-' || cast(event_id % 50 AS STRING) AS name, props AS value,
+        SELECT 'ws' || cast(user_id % 4 AS STRING) AS workspace, user_id AS flow, 'c' || cast(event_id % 2 AS STRING) AS component, event_id AS id, 'sp-' || cast(event_id % 50 AS STRING) AS name, props AS value,
                ts + interval '3' day AS expire_time
         FROM events""",
     "flow_starts": """
-        SELECT c_custkey AS flow,
+        SELECT 'ws' || cast(c_custkey % 4 AS STRING) AS workspace, c_custkey AS flow, 'c' || cast(c_nationkey % 3 AS STRING) AS component,
                CASE c_custkey % 5 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'LAST_STORAGE' WHEN 2 THEN 'STOCK_AND_INCREASE'
                                   WHEN 3 THEN 'CUSTOM' ELSE 'INCREASE' END AS strategy,
                CASE WHEN c_custkey % 5 = 3 THEN 'sp-' || cast(c_custkey % 60 AS STRING) END AS save_point
@@ -190,22 +190,24 @@ FIXTURES: dict[str, str | dict[str, str]] = {
         FROM events""",
     "robots": {
         "spark": """
-            SELECT DISTINCT 'rb' || cast(c_nationkey % 6 AS STRING) AS robot,
-                   CASE c_nationkey % 6 WHEN 0 THEN 'BROADCAST' WHEN 1 THEN 'RANDOM' WHEN 5 THEN 'RANDOM' ELSE 'POLLING' END AS mode,
+            SELECT DISTINCT 'ws' || cast(c_nationkey % 4 AS STRING) AS workspace, 'rb' || cast(c_nationkey % 6 AS STRING) AS robot,
+                   CASE c_nationkey % 12 WHEN 0 THEN 'BROADCAST' WHEN 7 THEN 'BROADCAST' WHEN 1 THEN 'RANDOM' WHEN 5 THEN 'RANDOM'
+                                         ELSE 'POLLING' END AS mode,
                    CASE WHEN c_nationkey % 6 = 4 THEN 'DISABLE' ELSE 'ENABLE' END AS status,
                    CASE WHEN c_nationkey % 6 = 3 THEN 'DISABLE' ELSE 'ENABLE' END AS record_log,
                    array('a', 'b', 'c') AS receives
             FROM customer""",
         "duckdb": """
-            SELECT DISTINCT 'rb' || cast(c_nationkey % 6 AS STRING) AS robot,
-                   CASE c_nationkey % 6 WHEN 0 THEN 'BROADCAST' WHEN 1 THEN 'RANDOM' WHEN 5 THEN 'RANDOM' ELSE 'POLLING' END AS mode,
+            SELECT DISTINCT 'ws' || cast(c_nationkey % 4 AS STRING) AS workspace, 'rb' || cast(c_nationkey % 6 AS STRING) AS robot,
+                   CASE c_nationkey % 12 WHEN 0 THEN 'BROADCAST' WHEN 7 THEN 'BROADCAST' WHEN 1 THEN 'RANDOM' WHEN 5 THEN 'RANDOM'
+                                         ELSE 'POLLING' END AS mode,
                    CASE WHEN c_nationkey % 6 = 4 THEN 'DISABLE' ELSE 'ENABLE' END AS status,
                    CASE WHEN c_nationkey % 6 = 3 THEN 'DISABLE' ELSE 'ENABLE' END AS record_log,
                    ['a', 'b', 'c'] AS receives
             FROM customer""",
     },
     "silence_words": """
-        SELECT DISTINCT 'rb' || cast(c_nationkey % 5 AS STRING) AS robot,
+        SELECT DISTINCT 'ws' || cast(c_nationkey % 4 AS STRING) AS workspace, 'rb' || cast(c_nationkey % 5 AS STRING) AS robot,
                '"k": ' || cast(c_nationkey % 25 AS STRING) AS word, c_nationkey % 3 AS rule_no
         FROM customer""",
     "alarm_log": """

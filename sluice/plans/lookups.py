@@ -123,14 +123,14 @@ QUERIES = {
     "g17_nest_groups": _nest_groups,
     "g18_ordered_group_columns": _ordered_group_columns,
     "g19_describe_source": lambda t: describe_source(
-        t.spark, {name: t[name] for name in TABLES}, exclude=["embeddings"], count_nulls=True
+        t.spark, {name: t[name] for name in TABLES}, count_nulls=True
     ),
     "g20_record_authority": lambda t: record_authority(t["users"], t["grants"], "FLOW", 7),
     "h1_parse_design_nodes": lambda t: _design(t, 0),
     "h1_parse_design_edges": lambda t: _design(t, 1),
     "h2_graph_roots": lambda t: graph_roots(_edges(t)),
     "h3_successor_groups": _successors,
-    "h4_reachable": lambda t: reachable(_edges(t), 10),
+    "h4_reachable": lambda t: reachable(_edges(t)),
     "h5_dead_ends": _dead_ends,
 }
 
@@ -159,6 +159,7 @@ _COLUMNS = {
                 "l_shipdate:timestamp_ntz",
     "events": "event_id:bigint ts:timestamp_ntz user_id:bigint event_type:string value:double props:string",
     "documents": "doc_id:bigint text:string lang:string source:string n_chars:bigint",
+    "embeddings": "vec_id:bigint embedding:array<float> label:int",
     "pages": "page_id:bigint url:string html:string",
     "benchmark": "item_id:bigint text:string",
     "labels": "doc_id:bigint quality:int toxic:int",
@@ -218,7 +219,8 @@ ORACLES = {
         WITH found AS (
             SELECT * FROM op_log WHERE workspace = 'ws1' AND status = 'SUCCESS' AND action LIKE '%"k": 1%'
             AND create_time >= timestamp '2024-01-05' AND create_time <= timestamp '2024-01-25')
-        SELECT *, (SELECT count(*) FROM found) AS total FROM found ORDER BY create_time DESC, id DESC LIMIT 20 OFFSET 20""",
+        SELECT found.*, total FROM (SELECT count(*) AS total FROM found)
+        LEFT JOIN (SELECT * FROM found ORDER BY create_time DESC, id DESC LIMIT 20 OFFSET 20) found ON true""",
     "g16_retain_days": "SELECT * FROM op_log WHERE create_time >= timestamp '2024-01-21 00:00:00'",
     "g16_retain_expiry": "SELECT * FROM save_points WHERE expire_time >= timestamp '2024-01-20 00:00:00'",
     "g17_nest_groups": """

@@ -55,9 +55,9 @@ def _render_template(t: Inputs):
 
 def _rules(t: Inputs):
     """Three rules per robot with their keywords; the first has expired, the last never expires."""
-    words = t["silence_words"].groupBy("robot", "rule_no").agg(F.sort_array(F.collect_set("word")).alias("keywords"))
+    words = t["silence_words"].groupBy("workspace", "robot", "rule_no").agg(F.sort_array(F.collect_set("word")).alias("keywords"))
     expire = F.when(F.col("rule_no") == 0, "2024-01-10 00:00:00").when(F.col("rule_no") == 1, "2024-02-10 00:00:00")
-    return words.select("robot", "keywords", expire.cast("timestamp_ntz").alias("expire"))
+    return words.select("workspace", "robot", "keywords", expire.cast("timestamp_ntz").alias("expire"))
 
 
 def _silence(t: Inputs):
@@ -71,7 +71,7 @@ def _deliver(t: Inputs):
 
 def _alarm_outcome(t: Inputs):
     templates = t["part"].select(
-        F.concat(F.lit("tp"), F.col("p_size") % 4).alias("template"),
+        F.concat(F.lit("ws"), F.col("p_size") % 3).alias("workspace"), F.concat(F.lit("tp"), F.col("p_size") % 4).alias("template"),
         F.when(F.col("p_size") % 4 == 3, "DISABLE").otherwise("ENABLE").alias("status"), F.lit("note: ${note}").alias("template_content"),
     ).distinct()
     alarms = t["robot_alarms"].withColumn("params", F.create_map(F.lit("note"), F.col("note")))
@@ -128,7 +128,7 @@ _PERCENT = "((20000 * ({0}) + ({1})) // (2 * ({1}))) / 100.0"
 _SERIES = """
     SELECT flow, time_bucket(to_seconds({0}), ts, timestamp '2000-01-01') AS bucket, cast(sum(rows) AS BIGINT) AS total,
            ((20000 * cast(sum(rows) AS BIGINT) + {0}) // (2 * {0})) / 10000.0 AS rate,
-           ((2 * cast(sum(cast(cost AS DECIMAL(18,2))) * 100 AS BIGINT) + count(*)) // (2 * count(*))) / 100.0 AS avg_cost,
+           ((2 * cast(sum(cast(cost AS DECIMAL(28,8))) * 100000000 AS HUGEINT) + 1000000 * count(*)) // (2000000 * count(*))) / 100.0 AS avg_cost,
            count(*) FILTER (WHERE error) AS errors
     FROM metrics WHERE ts BETWEEN timestamp '2024-01-02' AND timestamp '2024-01-29' AND {1}
     GROUP BY 1, 2"""
@@ -138,7 +138,7 @@ _SAMPLES = "SELECT 'i' || cast(user_id % 12 AS STRING) AS instance, ts, value FR
 # keywords of each robot with the end of their rule
 _WORDS = """
     words AS (
-        SELECT robot, word, CASE rule_no WHEN 0 THEN timestamp '2024-01-10' WHEN 1 THEN timestamp '2024-02-10' END AS expire
+        SELECT workspace, robot, word, CASE rule_no WHEN 0 THEN timestamp '2024-01-10' WHEN 1 THEN timestamp '2024-02-10' END AS expire
         FROM silence_words)"""
 
 _JAVA = (
@@ -210,28 +210,28 @@ ORACLES = {
     "i11_silence": f"""
         WITH {_WORDS},
         hits AS (
-            SELECT DISTINCT alarm_id, word FROM robot_alarms a JOIN words w ON w.robot = a.robot
+            SELECT DISTINCT alarm_id, word FROM robot_alarms a JOIN words w ON w.robot = a.robot AND w.workspace = a.workspace
             AND (w.expire IS NULL OR w.expire >= a.alarm_time) AND contains(a.text, w.word)),
         listed AS (SELECT *, row_number() OVER (PARTITION BY alarm_id ORDER BY word) AS n FROM hits)
         SELECT a.alarm_id, count(l.word) > 0 AS silent, coalesce(string_agg(l.word, '|' ORDER BY l.word), '') AS hits
         FROM robot_alarms a LEFT JOIN listed l ON l.alarm_id = a.alarm_id AND l.n <= 5 GROUP BY a.alarm_id""",
     "i12_deliver": f"""
-        WITH known AS (SELECT a.alarm_id, a.robot, r.mode FROM robot_alarms a JOIN robots r ON r.robot = a.robot)
+        WITH known AS (SELECT a.alarm_id, a.workspace, a.robot, r.mode FROM robot_alarms a JOIN robots r ON r.robot = a.robot AND r.workspace = a.workspace)
         SELECT alarm_id, robot, receiver FROM known, (VALUES ('a'), ('b'), ('c')) x(receiver) WHERE mode = 'BROADCAST'
         UNION ALL
         SELECT alarm_id, robot, substr('abc', cast({_JAVA} % 3 AS INTEGER) + 1, 1) AS receiver FROM known WHERE mode = 'RANDOM'
         UNION ALL
-        SELECT alarm_id, robot, substr('abc', cast(row_number() OVER (PARTITION BY robot ORDER BY alarm_id) % 3 AS INTEGER) + 1, 1)
+        SELECT alarm_id, robot, substr('abc', cast(row_number() OVER (PARTITION BY workspace, robot ORDER BY alarm_id) % 3 AS INTEGER) + 1, 1)
                AS receiver
         FROM known WHERE mode = 'POLLING'""",
     "i13_alarm_outcome": f"""
         WITH {_WORDS},
         templates AS (
-            SELECT DISTINCT 'tp' || cast(p_size % 4 AS STRING) AS template,
+            SELECT DISTINCT 'ws' || cast(p_size % 3 AS STRING) AS workspace, 'tp' || cast(p_size % 4 AS STRING) AS template,
                    CASE WHEN p_size % 4 = 3 THEN 'DISABLE' ELSE 'ENABLE' END AS template_status FROM part),
         listed AS (
             SELECT alarm_id, word, row_number() OVER (PARTITION BY alarm_id ORDER BY word) AS n FROM (
-                SELECT DISTINCT alarm_id, word FROM robot_alarms a JOIN words w ON w.robot = a.robot
+                SELECT DISTINCT alarm_id, word FROM robot_alarms a JOIN words w ON w.robot = a.robot AND w.workspace = a.workspace
                 AND (w.expire IS NULL OR w.expire >= a.alarm_time) AND contains('note: ' || a.note, w.word))),
         silenced AS (
             SELECT alarm_id, '[' || string_agg('"' || replace(word, '"', chr(92) || '"') || '"', ',' ORDER BY word) || ']' AS words
@@ -241,8 +241,8 @@ ORACLES = {
                     ELSE 'SUCCESS' END AS status,
                CASE WHEN t.template IS NULL THEN '模板不存在' WHEN t.template_status <> 'ENABLE' THEN '模板未启用' ELSE s.words END
                AS reason
-        FROM robot_alarms a JOIN robots r ON r.robot = a.robot AND r.status = 'ENABLE' AND r.record_log = 'ENABLE'
-        LEFT JOIN templates t ON t.template = a.template LEFT JOIN silenced s ON s.alarm_id = a.alarm_id""",
+        FROM robot_alarms a JOIN robots r ON r.robot = a.robot AND r.workspace = a.workspace AND r.status = 'ENABLE' AND r.record_log = 'ENABLE'
+        LEFT JOIN templates t ON t.template = a.template AND t.workspace = a.workspace LEFT JOIN silenced s ON s.alarm_id = a.alarm_id""",
     "i14_expand_messages": """
         SELECT message_id, user_id FROM audience_messages, users WHERE scope = 'ALL'
         UNION

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import staging_path
 from ..sources import (
-    assign_pages, include_tables, page_query, parse_change_events, read_shards, read_stream_query, scroll_pages,
+    assign_pages, deep_page_query, include_tables, page_query, parse_change_events, read_shards, read_stream_query, scroll_pages,
     scroll_query, shard_route, snapshot_then_changes, sql_query, write_shards,
 )
 from .fixtures import Inputs
@@ -71,8 +71,15 @@ QUERIES = {
     "a1_sql_query": _sql_query,
     "a2_read_stream_query": _read_stream_query,
     "a3_page_query": lambda t: page_query(t["orders"], [F.desc("o_totalprice"), "o_orderkey"], page=3, size=100),
+    "a3_deep_page": lambda t: deep_page_query(
+        t["lineitem"], [F.desc("l_extendedprice"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], page=41, size=100
+    ),
     "a4_assign_pages": lambda t: assign_pages(t["orders"], [F.desc("o_totalprice"), "o_orderkey"], 500),
     "a5_scroll_query": lambda t: scroll_query(t["orders"], "O_ORDERKEY", 200, after=400),
+    "a5_scroll_nulls": lambda t: scroll_query(t["events"].withColumn("k", F.expr("nullif(event_id, 7)")), "k", 400),
+    "a5_scroll_pages_nulls": lambda t: scroll_pages(
+        t["events"].withColumn("k", F.expr("CASE WHEN event_id % 3 > 0 THEN event_id END")), "k", 300, ["event_id"]
+    ),
     "a5_scroll_pages": lambda t: scroll_pages(t["events"], "event_id", 300),
     "a6_parse_change_events": _parse_change_events,
     "a7_snapshot_then_changes": _snapshot_then_changes,
@@ -102,10 +109,17 @@ ORACLES = {
     "a1_sql_query": SEGMENT_TOTALS.format(minimum=1000.0),
     "a2_read_stream_query": SCAN.format(source="lineitem"),
     "a3_page_query": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200",
+    "a3_deep_page": """
+        SELECT * FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS position FROM lineitem)
+        WHERE position > 4000 AND position <= 4100""",
     "a4_assign_pages": """
         SELECT *, cast(floor((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) / 500) AS BIGINT) + 1 AS page_no
         FROM orders""",
     "a5_scroll_query": "SELECT * FROM orders WHERE o_orderkey > 400 ORDER BY o_orderkey LIMIT 200",
+    "a5_scroll_nulls": "SELECT *, nullif(event_id, 7) AS k FROM events ORDER BY k NULLS FIRST LIMIT 400",
+    "a5_scroll_pages_nulls": """
+        SELECT *, cast(floor((row_number() OVER (ORDER BY k NULLS FIRST, event_id) - 1) / 300) AS BIGINT) + 1 AS page_no
+        FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN event_id END AS k FROM events)""",
     "a5_scroll_pages": """
         SELECT *, cast(floor((row_number() OVER (ORDER BY event_id) - 1) / 300) AS BIGINT) + 1 AS page_no FROM events""",
     "a6_parse_change_events": _PARSED.format(

@@ -51,6 +51,7 @@ QUERIES = {
     "f4_page_with_total": lambda t: page_with_total(t["lineitem"], 1, 10, [
         ("l_shipdate", True), ("l_orderkey", False), ("l_partkey", False), ("l_suppkey", False), ("l_linenumber", False),
     ]),
+    "f4_past_the_end": lambda t: page_with_total(t["customer"], 1_000_000, 10, [("c_custkey", False)]),
     "f5_query_log_stats": _log_stats,
 }
 
@@ -68,11 +69,13 @@ ORACLES = {
     "f4_page_with_total": """
         SELECT *, (SELECT count(*) FROM lineitem) AS total FROM lineitem
         ORDER BY l_shipdate DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 10""",
+    "f4_past_the_end": """
+        SELECT c.*, n AS total FROM (SELECT count(*) AS n FROM customer) LEFT JOIN customer c ON false""",
     "f5_query_log_stats": """
         SELECT template, count(*) AS calls, count(*) FILTER (WHERE status <> 'SUCCESS') AS errors,
                count(*) FILTER (WHERE hit_cache) AS cache_hits,
                ((20000 * count(*) FILTER (WHERE hit_cache) + count(*)) // (2 * count(*))) / 100.0 AS hit_rate,
                cast(sum(number) AS BIGINT) AS rows,
-               ((2 * cast(sum(cast(cost AS DECIMAL(18,2))) * 100 AS BIGINT) + count(*)) // (2 * count(*))) / 100.0 AS avg_cost
+               ((2 * cast(sum(cast(cost AS DECIMAL(28,8))) * 100000000 AS HUGEINT) + 1000000 * count(*)) // (2000000 * count(*))) / 100.0 AS avg_cost
         FROM query_log GROUP BY template""",
 }

@@ -79,6 +79,17 @@ def _stream_changes(t: Inputs):
     return read_current(t.spark, path)
 
 
+def _restart_new_checkpoint(t: Inputs):
+    """Two halves of the changes, the second as a new run whose batches count from 0 again."""
+    path = staging_path(t.spark, "target")
+    commit_version(t["base_state"], path, 0, KEYS, 8)
+    for half in (0, 1):
+        part = t["envelopes"].filter(F.col("seq") < 300 if half == 0 else F.col("seq") >= 300).orderBy("seq").coalesce(1)
+        feed = _stream_of(t, part)
+        run_changes(feed, IMAGE, KEYS, path, staging_path(t.spark, "progress"), keep=2).awaitTermination()
+    return read_current(t.spark, path)
+
+
 def _batches(t: Inputs, df: DataFrame, limit: int | None, **options: str) -> DataFrame:
     path = staging_path(t.spark, "batches")
     feed = _stream_of(t, df, **options)
@@ -127,8 +138,10 @@ QUERIES = {
     "d3_rate_limit": lambda t: _batches(t, t["orders"].repartition(4), 100, **micro_batch("files", 1)),
     "d4_resolve_start": lambda t: resolve_start(t["flow_starts"], t["save_points"]),
     "d5_clean_save_points": lambda t: clean_save_points(t["save_points"], "2024-01-15 12:00:00"),
+    "d6_small_costs": lambda t: component_metrics(t["metrics"].withColumn("cost", F.lit(0.004))).withColumn("cost", F.col("cost").cast("double")),
     "d6_component_metrics": lambda t: component_metrics(t["metrics"]).withColumn("cost", F.col("cost").cast("double")),
     "stream_apply_changes": _stream_changes,
+    "stream_restart_new_checkpoint": _restart_new_checkpoint,
     "stream_flow_series": _stream_flow_series,
 }
 
@@ -214,29 +227,36 @@ ORACLES = {
     "d2_micro_batch": "SELECT * FROM events",
     "d3_rate_limit": "SELECT * FROM orders",
     "d4_resolve_start": """
-        WITH latest AS (SELECT flow, arg_max(value, id) AS v FROM save_points GROUP BY flow),
-        named AS (SELECT flow, name, arg_max(value, id) AS v FROM save_points GROUP BY flow, name),
+        WITH latest AS (SELECT workspace, flow, component, arg_max(value, id) AS v FROM save_points GROUP BY ALL),
+        named AS (SELECT workspace, flow, component, name, arg_max(value, id) AS v FROM save_points GROUP BY ALL),
         found AS (
             SELECT f.*, CASE WHEN f.save_point IS NOT NULL THEN n.v WHEN f.strategy <> 'STOCK_AND_INCREASE' THEN l.v END AS value
-            FROM flow_starts f LEFT JOIN latest l ON l.flow = f.flow
-            LEFT JOIN named n ON n.flow = f.flow AND n.name = f.save_point)
-        SELECT flow, strategy, save_point, value,
+            FROM flow_starts f LEFT JOIN latest l ON l.workspace = f.workspace AND l.flow = f.flow AND l.component = f.component
+            LEFT JOIN named n ON n.workspace = f.workspace AND n.flow = f.flow AND n.component = f.component AND n.name = f.save_point)
+        SELECT workspace, flow, component, strategy, save_point, value,
                CASE WHEN value IS NOT NULL THEN 'RESUME' WHEN save_point IS NOT NULL OR strategy = 'LAST_STORAGE' THEN 'ERROR'
                     ELSE 'SCRATCH' END AS start
         FROM found""",
     "d5_clean_save_points": "SELECT * FROM save_points WHERE expire_time IS NULL OR expire_time >= timestamp '2024-01-15 12:00:00'",
+    "d6_small_costs": """
+        SELECT flow, component, parent, count(*) AS calls, cast(sum(rows) AS BIGINT) AS rows,
+               cast(round(sum(cast(0.004 AS DECIMAL(28,8))), 2) AS DOUBLE) AS cost, cast(0.004 AS DOUBLE) AS max_cost,
+               count(*) FILTER (WHERE error) AS errors
+        FROM metrics GROUP BY flow, component, parent""",
     "d6_component_metrics": """
         SELECT flow, component, parent, count(*) AS calls, cast(sum(rows) AS BIGINT) AS rows,
-               cast(sum(cast(cost AS DECIMAL(18,2))) AS DOUBLE) AS cost, max(cost) AS max_cost,
+               cast(round(sum(cast(cost AS DECIMAL(28,8))), 2) AS DOUBLE) AS cost, max(cost) AS max_cost,
                count(*) FILTER (WHERE error) AS errors
         FROM metrics GROUP BY flow, component, parent""",
+    "stream_restart_new_checkpoint": f"""
+        WITH {_KEPT_CHANGES}, {_LAST.format(changes='kept')} SELECT key, amount, note FROM state WHERE present""",
     "stream_apply_changes": f"""
         WITH {_KEPT_CHANGES}, {_LAST.format(changes='kept')} SELECT key, amount, note FROM state WHERE present""",
     # a day is closed once the newest row is a day past its end
     "stream_flow_series": """
         SELECT flow, date_trunc('day', ts)::TIMESTAMP AS bucket, cast(sum(rows) AS BIGINT) AS total,
                ((20000 * cast(sum(rows) AS BIGINT) + 86400) // (2 * 86400)) / 10000.0 AS rate,
-               ((2 * cast(sum(cast(cost AS DECIMAL(18,2))) * 100 AS BIGINT) + count(*)) // (2 * count(*))) / 100.0 AS avg_cost,
+               ((2 * cast(sum(cast(cost AS DECIMAL(28,8))) * 100000000 AS HUGEINT) + 1000000 * count(*)) // (2000000 * count(*))) / 100.0 AS avg_cost,
                count(*) FILTER (WHERE error) AS errors
         FROM metrics
         WHERE date_trunc('day', ts) + interval '1' day <= (SELECT max(ts) FROM metrics) - interval '1' day

@@ -191,16 +191,14 @@ def merge_into(
 def fan_out(batch: DataFrame, groups: Sequence[Sequence[Callable[[DataFrame], None]]]) -> None:
     """Give one batch to several sinks: groups in order, the sinks of a group at the same time.
 
-    A failing sink fails the batch after its group has ended; later groups do not start.
+    A failing sink fails the batch after its group has ended; later groups do not start. The batch is staged, so all
+    sinks read the same rows, also after a lost executor.
     """
-    kept = batch.persist()
-    try:
-        for sinks in groups:
-            with ThreadPoolExecutor(max_workers=max(len(sinks), 1)) as pool:
-                for done in [pool.submit(sink, kept) for sink in sinks]:
-                    done.result()
-    finally:
-        kept.unpersist()
+    kept = stage(batch, "batch")
+    for sinks in groups:
+        with ThreadPoolExecutor(max_workers=max(len(sinks), 1)) as pool:
+            for done in [pool.submit(sink, kept) for sink in sinks]:
+                done.result()
 
 
 def with_retry(

@@ -1,5 +1,5 @@
 from .changes import include_tables, parse_change_events, snapshot_then_changes
-from .paging import assign_pages, page_query, scroll_pages, scroll_query
+from .paging import assign_pages, deep_page_query, page_query, scroll_pages, scroll_query
 from .tables import (
     TABLES, kafka_options, kafka_receive, load_tables, open_source, read_shards, read_stream_query, register_views,
     shard_route, sql_query, write_shards,

@@ -1,6 +1,6 @@
 from .dedupe import dedupe_messages, dedupe_stream
 from .flows import micro_batch, rate_limit, run_changes
-from .metrics import ProgressLog, component_metrics, observe_rows
+from .metrics import ProgressLog, append_progress, component_metrics, observe_rows
 from .savepoints import clean_save_points, resolve_start, save_point
 
 __all__ = [

@@ -50,17 +50,17 @@ def test_silence(spark, rows):
     alarms = spark.createDataFrame([(1, "r", "disk full on a b c d e f", T0), (2, "r", "ok", T0), (3, "none", "disk", T0)], "id int, robot string, text string, alarm_time timestamp_ntz")
     rules = spark.createDataFrame([("r", ["disk", "full"], None), ("r", ["disk"], None), ("r", ["ok"], datetime(2023, 1, 1)), ("r", list("abcdef"), T0)],
                                   "robot string, keywords array<string>, expire timestamp_ntz")
-    got = {r["id"]: (r["silent"], r["hits"]) for r in m.silence(alarms, rules).collect()}
+    got = {r["id"]: (r["silent"], r["hits"]) for r in m.silence(alarms, rules, ()).collect()}
     assert got == {1: (True, ["a", "b", "c", "d", "disk"]), 2: (False, []), 3: (False, [])}
 
 
 def test_deliver(spark, rows):
     robots = spark.createDataFrame([("b", "BROADCAST", ["x", "y"]), ("p", "POLLING", ["x", "y", "z"]), ("r", "RANDOM", ["x", "y"])], "robot string, mode string, receives array<string>")
     alarms = spark.createDataFrame([(i, k) for k in "bpr" for i in range(4)] + [(1, "gone")], "alarm_id int, robot string")
-    out = m.deliver(alarms, robots)
+    out = m.deliver(alarms, robots, scope=())
     assert rows(out.filter("robot = 'p'"), "alarm_id", "receiver") == [(0, "y"), (1, "z"), (2, "x"), (3, "y")]
     assert out.filter("robot = 'b'").count() == 8 and out.filter("robot = 'r'").count() == 4
-    assert rows(out) == rows(m.deliver(alarms, robots))  # repeatable
+    assert rows(out) == rows(m.deliver(alarms, robots, scope=()))  # repeatable
 
 
 def test_alarm_outcome(spark, rows):
@@ -69,12 +69,12 @@ def test_alarm_outcome(spark, rows):
     robots = spark.createDataFrame([("on", "ENABLE", "ENABLE"), ("off", "DISABLE", "ENABLE"), ("quiet", "ENABLE", "DISABLE"), ("mute", "ENABLE", "ENABLE")], "robot string, status string, record_log string")
     templates = spark.createDataFrame([("t", "value ${k}", "ENABLE"), ("toff", "", "DISABLE")], "template string, template_content string, status string")
     rules = spark.createDataFrame([("mute", ["value v", "y" * 3000], None)], "robot string, keywords array<string>, expire timestamp_ntz")
-    assert rows(m.alarm_outcome(alarms, robots, templates, rules), "alarm_id", "status", "reason") == [
+    assert rows(m.alarm_outcome(alarms, robots, templates, rules, ()), "alarm_id", "status", "reason") == [
         (0, "SUCCESS", None), (3, "FAILED", "模板不存在"), (4, "FAILED", "模板未启用"), (6, "SILENT", '["value v"]'),
     ]
     long = spark.createDataFrame([("mute", ["value " + "v" * 3000], None)], rules.schema)
     texts = spark.createDataFrame([(1, "mute", "t", "w", T0, {"k": "v" * 3000})], alarms.schema)
-    assert len(m.alarm_outcome(texts, robots, templates, long).first()["reason"]) == 2003
+    assert len(m.alarm_outcome(texts, robots, templates, long, ()).first()["reason"]) == 2003
 
 
 def test_expand_messages(spark, rows):
@@ -118,3 +118,26 @@ def test_instance_series(spark):
                                     "instance string, ts timestamp_ntz, value double")
     got = {r["instance"]: tuple(r)[1:] for r in m.instance_series(samples, T0).collect()}
     assert got == {"a": (1.0, ["09:55:00", "09:58:00"], [2.0, 1.0]), "b": (3.0, [], [])}
+
+
+def test_codes_belong_to_their_workspace(spark, rows):
+    alarms = spark.createDataFrame([(1, "a", "r", "disk", T0), (2, "b", "r", "disk", T0), (3, "b", "r", "disk", T0)],
+                                   "alarm_id int, workspace string, robot string, text string, alarm_time timestamp_ntz")
+    rules = spark.createDataFrame([("a", "r", ["disk"], None)], "workspace string, robot string, keywords array<string>, expire timestamp_ntz")
+    assert [r["silent"] for r in m.silence(alarms, rules).orderBy("alarm_id").collect()] == [True, False, False]
+    robots = spark.createDataFrame([("a", "r", "POLLING", ["x", "y"]), ("b", "r", "POLLING", ["x", "y"])], "workspace string, robot string, mode string, receives array<string>")
+    assert rows(m.deliver(alarms, robots), "alarm_id", "receiver") == [(1, "y"), (2, "y"), (3, "x")]
+
+
+def test_pieces_of_a_long_record_keep_its_header(spark):
+    head = "2024-01-01 10:00:00.000 INFO 7 --- [app] [main] [" + "a" * 32 + "] [" + "b" * 32 + "] log.X : first"
+    lines = spark.createDataFrame([("f", i, head if i == 0 else f"line {i}") for i in range(7)], "file string, line_no long, text string")
+    found = m.parse_log_lines(lines, max_lines=3).orderBy("line_no").collect()
+    assert [r["lines"] for r in found] == [3, 3, 1] and {r["flow_code"] for r in found} == {"a" * 32}
+    assert found[1]["message"] == "line 3\nline 4\nline 5"
+
+
+def test_times_of_a_range_are_times(spark):
+    log = spark.createDataFrame([("2024-01-29T09:00:00.000",), ("2024-01-29|09:30:00.000",), ("2024-01-29 11:00:00.000",)], "timestamp string").selectExpr(
+        "timestamp", "'f' file", "1 line_no")
+    assert m.search_run_log(log, {"start": "2024-01-29 08:00:00", "end": "2024-01-29T10:00:00"}).count() == 2

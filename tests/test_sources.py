@@ -4,10 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.sources import (
-    assign_pages, include_tables, kafka_options, open_source, page_query, parse_change_events, read_shards, scroll_pages,
+    assign_pages, deep_page_query, include_tables, kafka_options, open_source, page_query, parse_change_events, read_shards, scroll_pages,
     scroll_query, shard_route, snapshot_then_changes, sql_query, write_shards,
 )
-from sluice.sources import paging
 from sluice.sources.tables import jdbc_options
 
 IMAGE = "id bigint, name string"
@@ -49,16 +48,16 @@ def test_kafka_options():
     assert (batch["minOffsetsPerTrigger"], batch["maxTriggerDelay"]) == ("50", "200ms")
 
 
-def test_pages_agree_with_single_page_queries(spark, rows, monkeypatch):
+def test_pages_agree_with_single_page_queries(spark, rows):
     df = spark.range(103).select(F.col("id"), (F.col("id") % 5).alias("k"))
     paged = assign_pages(df, ["k", F.desc("id")], 10)
     assert paged.agg(F.max("page_no")).first()[0] == 11
     for page in (1, 5, 11):
         single = rows(page_query(df, ["k", F.desc("id")], page, 10))
         assert single == rows(paged.filter(F.col("page_no") == page).drop("page_no"))
-        with monkeypatch.context() as m:
-            m.setattr(paging, "TOP_K_ROWS", 5)  # a deep page takes the other way
-            assert rows(page_query(df, ["k", F.desc("id")], page, 10)) == single
+        deep = deep_page_query(df, ["k", F.desc("id")], page, 10).collect()
+        assert rows(spark.createDataFrame(deep).drop("position")) == single
+        assert [r["position"] for r in deep] == list(range(page * 10 - 9, page * 10 - 9 + len(single)))
     assert page_query(df, ["id"], 12, 10).count() == 0
     with pytest.raises(ValueError):
         page_query(df, ["id"], 0, 10)
@@ -66,10 +65,13 @@ def test_pages_agree_with_single_page_queries(spark, rows, monkeypatch):
 
 def test_scroll(spark, rows):
     df = spark.createDataFrame([(i if i != 4 else None, str(i)) for i in range(9)], "Id int, v string")
-    assert [r["Id"] for r in scroll_query(df, "id", 3).collect()] == [0, 1, 2]
+    assert [r["Id"] for r in scroll_query(df, "id", 3).collect()] == [None, 0, 1]
+    assert [r["Id"] for r in scroll_query(df, "id", 2, after=1, order_by=[("ID", True)]).collect()] == [8, 7]
+    with pytest.raises(ValueError):
+        scroll_query(df, "id", 2, order_by=[("v", False)])
     assert [r["Id"] for r in scroll_query(df, "ID", 3, after=5).collect()] == [6, 7, 8]
     assert scroll_query(df, "id", 3, after=8).count() == 0
-    assert scroll_pages(df, "id", 3).count() == 8  # the null is never reached
+    assert scroll_pages(df, "id", 3).count() == 9  # the null comes first
     with pytest.raises(ValueError):
         scroll_query(df, "other", 3)
 

@@ -7,7 +7,7 @@ import pytest
 from sluice.operators.monitor import alarm_statistics_stream, flow_series_stream
 from sluice.sinks import commit_version, read_current
 from sluice.streaming import (
-    ProgressLog, clean_save_points, component_metrics, dedupe_messages, dedupe_stream, micro_batch, observe_rows, rate_limit,
+    ProgressLog, append_progress, clean_save_points, component_metrics, dedupe_messages, dedupe_stream, micro_batch, observe_rows, rate_limit,
     resolve_start, run_changes, save_point,
 )
 
@@ -137,16 +137,16 @@ def test_resolve_start(spark, rows):
         ("a", "AUTO", None), ("a", "STOCK_AND_INCREASE", None), ("a", "CUSTOM", "p1"), ("a", "CUSTOM", "zz"),
     ], "flow string, strategy string, save_point string")
     for row, wanted in zip(flows.collect(), [("RESUME", "v2"), ("SCRATCH", None), ("RESUME", "v1"), ("ERROR", None)]):
-        got = resolve_start(spark.createDataFrame([row], flows.schema), points).first()
+        got = resolve_start(spark.createDataFrame([row], flows.schema), points, ["flow"]).first()
         assert (got["start"], got["value"]) == wanted
     none = spark.createDataFrame([("b", "LAST_STORAGE", None), ("c", "AUTO", None)], flows.schema)
-    assert rows(resolve_start(none, points), "flow", "start") == [("b", "ERROR"), ("c", "SCRATCH")]
+    assert rows(resolve_start(none, points, ["flow"]), "flow", "start") == [("b", "ERROR"), ("c", "SCRATCH")]
 
 
 def test_save_points(spark, tmp_path):
     path = str(tmp_path / "points")
     for batch in (0, 1):
-        save_point(spark, path, "f", "c", f'{{"offset":{batch}}}', batch, T0 + timedelta(days=batch), 3)
+        save_point(spark, path, "w", "f", "c", f'{{"offset":{batch}}}', batch, T0 + timedelta(days=batch), 3)
     points = spark.read.parquet(path)
     assert points.select("name").distinct().count() == 2
     assert [r["id"] for r in clean_save_points(points, T0 + timedelta(days=3, seconds=1)).collect()] == [1]
@@ -158,7 +158,9 @@ def test_metrics(spark, rows, tmp_path):
     assert rows(component_metrics(metrics), "parent", "calls", "rows", "errors") == [(None, 1, 1, 0), ("p", 2, 11, 1)]
     spark.range(10).write.parquet(str(tmp_path / "src"))
     log = ProgressLog()
+    stored = ProgressLog(append_progress(spark, str(tmp_path / "progress")))
     spark.streams.addListener(log)
+    spark.streams.addListener(stored)
     try:
         stream = observe_rows(spark.readStream.schema("id long").parquet(str(tmp_path / "src")), "reader", "id > 6")
         stream.writeStream.format("noop").queryName("watched").trigger(availableNow=True).start().awaitTermination()
@@ -167,5 +169,26 @@ def test_metrics(spark, rows, tmp_path):
                 break
             time.sleep(0.2)
     finally:
+        time.sleep(2)
         spark.streams.removeListener(log)
+        spark.streams.removeListener(stored)
+    assert spark.read.parquet(str(tmp_path / "progress")).filter("query = 'watched'").count() == len(log.entries)
+    assert not stored.entries
     assert {"rows": 10, "errors": 3} in [e["observed"].get("reader") for e in log.entries]
+
+
+def test_listeners_of_a_flow_start_apart(spark, rows):
+    points = spark.createDataFrame([("w", "f", "one", 1, "p", "v1"), ("w", "f", "two", 2, "p", "v2")],
+                                   "workspace string, flow string, component string, id long, name string, value string")
+    flows = spark.createDataFrame([("w", "f", "one", "AUTO", None), ("w", "f", "two", "AUTO", None), ("x", "f", "two", "AUTO", None)],
+                                  "workspace string, flow string, component string, strategy string, save_point string")
+    assert rows(resolve_start(flows, points), "workspace", "component", "value") == [("w", "one", "v1"), ("w", "two", "v2"), ("x", "two", None)]
+
+
+def test_rate_is_rounded_up():
+    class Writer:
+        def trigger(self, processingTime):
+            self.every = processingTime
+            return self
+
+    assert rate_limit(Writer(), 300, 1000).every == "4 milliseconds"

@@ -80,7 +80,7 @@ def test_map_rows(spark):
 
 
 @pytest.mark.parametrize("text", [
-    "java_method('java.lang.Runtime', 'x')", "`reflect`('a', 'b')", "upper(reflect('a'))", "upper/* */(a)", "(select 1)",
+    "java_method('java.lang.Runtime', 'x')", "`reflect`('a', 'b')", "upper(reflect('a'))", "concat(r'\\', reflect('java.lang.System', 'getProperty', 'java.version'), '')", "(select 1)", "a in (select 1)", "upper(",
     "a; drop table t", "reflect ('x')", "system.builtin.java_method('x')",
 ])
 def test_safe_expr_refuses(spark, text):
