@@ -1,8 +1,9 @@
 """Compare two tables and derive the changes that repair the right one.
 
-Rows of both sides are counted per distinct content. Contents with equal counts agree and drop
-out; what is left is the difference. There is no join, so copies of a key never multiply, and
-counts combine before the shuffle, so a hot key or many equal copies cost little.
+Which keys differ is decided on digests of their rows, added up per key: one narrow shuffle. To
+show the differences rows of both sides are counted per distinct content; contents with equal counts
+agree and drop out. There is no join, so copies of a key never multiply, and counts and sums combine
+before the shuffle, so a hot key or many equal copies cost little.
 """
 
 from __future__ import annotations
@@ -44,13 +45,20 @@ def align_content(
 ) -> DataFrame:
     """Keys that do not agree: LEFT_ONLY, RIGHT_ONLY or DIFFERENT. Null equals null.
 
-    A key held several times agrees if both sides hold the same copies.
+    A key held several times agrees if both sides hold the same copies. Each row is reduced in the scan to its keys and
+    a 128-bit digest of its content; a side's digests are added up per key, which does not depend on their order.
     """
-    counts, _ = _contents(left, right, keys, cols)
-    per_key = counts.groupBy(*keys).agg(
-        F.sum("_l").alias("_l"), F.sum("_r").alias("_r"), F.max(F.col("_l") != F.col("_r")).alias("_differs")
-    )
-    return per_key.filter("_differs").select(
+    compared = [c for c in (cols or left.columns) if c not in keys]
+    types = {c: left.schema[c].dataType for c in compared}
+
+    def digests(df: DataFrame, sign: int) -> DataFrame:
+        parts = [p for c in compared for p in (F.col(c).cast(types[c]), F.col(c).isNull())]
+        return df.select(*keys, F.lit(sign).alias("_side"), *[
+            (F.xxhash64(F.lit(seed), *parts).cast("decimal(20,0)") * sign).alias(f"_d{seed}") for seed in (1, 2)])
+
+    per_key = digests(left, 1).unionByName(digests(right, -1)).groupBy(*keys).agg(
+        F.count_if(F.col("_side") > 0).alias("_l"), F.count_if(F.col("_side") < 0).alias("_r"), F.sum("_d1").alias("_d1"), F.sum("_d2").alias("_d2"))
+    return per_key.filter("_l <> _r OR _d1 <> 0 OR _d2 <> 0").select(
         *keys,
         F.when(F.col("_r") == 0, "LEFT_ONLY").when(F.col("_l") == 0, "RIGHT_ONLY").otherwise("DIFFERENT").alias("status"),
     )
@@ -59,14 +67,17 @@ def align_content(
 def _differences(left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
     """Per unequal key the unmatched image of each side (``_left``, ``_right``, null if absent).
 
-    Equal contents are gone before the second shuffle, which therefore carries differences only.
+    Equal contents are gone before the second shuffle, which therefore carries differences only. A key with several
+    unmatched rows on a side fails the job: the keys do not identify a row there.
     """
     counts, compared = _contents(left, right, keys, cols)
-    image = F.struct(*compared)
-    pairs = counts.filter(F.col("_l") != F.col("_r")).groupBy(*keys).agg(
-        F.max(F.when(F.col("_l") > F.col("_r"), image)).alias("_left"),
-        F.max(F.when(F.col("_r") > F.col("_l"), image)).alias("_right"),
-    )
+    image, more = F.struct(*compared), F.col("_l") - F.col("_r")
+
+    def only(mine: Column, name: str) -> Column:
+        several = F.sum(F.when(mine > 0, mine)) > 1
+        return F.when(several, F.raise_error(F.lit(f"{list(keys)} do not identify a row"))).otherwise(F.max(F.when(mine > 0, image))).alias(name)
+
+    pairs = counts.filter(F.col("_l") != F.col("_r")).groupBy(*keys).agg(only(more, "_left"), only(-more, "_right"))
     return pairs, compared
 
 
@@ -75,8 +86,7 @@ def align_diff_fields(
 ) -> DataFrame:
     """One row per differing field of keys on both sides, values as text.
 
-    ``keys`` identify a row. Should a key have several unmatched copies on a side, its greatest
-    one is compared.
+    ``keys`` identify a row.
     """
     pairs, compared = _differences(left, right, keys, cols)
     fields = F.array(*[

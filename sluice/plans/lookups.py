@@ -8,7 +8,7 @@ from ..functions import number_rows
 from ..operators.graph import dead_ends, graph_roots, parse_design, reachable, successor_groups
 from ..operators.relational import (
     check_references, conditional_counts, contributors, custom_order, describe_source, distinct_join, enrich, exists_any,
-    json_contains, json_values, log_search, member_page, nest_groups, not_in, ordered_group_columns, rank_column,
+    json_contains, json_values, log_search, member_page, nest_groups, not_in, ordered_group_columns,
     record_authority, retain, text_search, top_groups, version_join,
 )
 from ..sources import TABLES
@@ -31,11 +31,9 @@ def _exists_any(t: Inputs):
 
 
 def _custom_order(t: Inputs):
-    """The order as a value: the position each row has after the sort."""
-    then = [F.col("price").desc(), F.col("record_id")]
-    numbered = number_rows(t["records"], [rank_column("status", RANKS, 4), *then])
+    """The order as a value: the position each row has in the sorted output."""
     ordered = custom_order(t["records"], "status", RANKS, [("price", True), ("record_id", False)])
-    return ordered.join(numbered.select("record_id", "position"), "record_id")
+    return number_rows(ordered.withColumn("_place", F.monotonically_increasing_id()), ["_place"]).drop("_place")
 
 
 def _contributors(t: Inputs):

@@ -51,17 +51,33 @@ def _write_table(t: Inputs):
 
 
 def _fan_out(t: Inputs):
-    paths = [staging_path(t.spark, f"sink{i}") for i in range(3)]
-    sinks = [partial(write_table, sink={"format": "parquet", "path": p}) for p in paths]
-    fan_out(t["events"], [[sinks[0], sinks[1]], [sinks[2]]])
-    first, second, third = [t.spark.read.parquet(p).withColumn("sink", F.lit(i)) for i, p in enumerate(paths)]
+    """Rows of three sinks; ``earlier`` are the sinks that had ended when this one started."""
+    paths, ended, seen = [staging_path(t.spark, f"sink{i}") for i in range(3)], set(), {}
+
+    def sink(i: int, batch: DataFrame) -> None:
+        seen[i] = len(ended) if i == 2 else 0
+        write_table(batch, {"format": "parquet", "path": paths[i]})
+        ended.add(i)
+
+    fan_out(t["events"], [[partial(sink, 0), partial(sink, 1)], [partial(sink, 2)]])
+    first, second, third = [
+        t.spark.read.parquet(p).withColumns({"sink": F.lit(i), "earlier": F.lit(seen[i])}) for i, p in enumerate(paths)
+    ]
     return first.unionByName(second).unionByName(third)
 
 
 def _with_retry(t: Inputs):
-    path = staging_path(t.spark, "retried")
-    with_retry(write_table)(t["customer"], {"format": "parquet", "path": path}, "overwrite")
-    return t.spark.read.parquet(path)
+    """A write whose first attempt fails after it has written; ``attempts`` tells how many it took."""
+    path, attempts = staging_path(t.spark, "retried"), []
+
+    def write(df: DataFrame) -> None:
+        attempts.append(len(attempts))
+        write_table(df, {"format": "parquet", "path": path}, "overwrite")
+        if len(attempts) == 1:
+            raise OSError("injected")
+
+    with_retry(write, wait=0.0)(t["customer"])
+    return t.spark.read.parquet(path).withColumn("attempts", F.lit(len(attempts)))
 
 
 def _stream_of(t: Inputs, df: DataFrame, **options: str) -> DataFrame:
@@ -102,7 +118,8 @@ def _batches(t: Inputs, df: DataFrame, limit: int | None, **options: str) -> Dat
         query.stop()
     else:
         writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path).drop("batch_id")
+    rows = t.spark.read.parquet(path)
+    return rows.drop("batch_id").withColumn("batches", F.lit(rows.select("batch_id").distinct().count()))
 
 
 def _stream_flow_series(t: Inputs):
@@ -202,7 +219,7 @@ ORACLES = {
         FROM base_state b FULL JOIN inserted i ON b.key = i.key
         LEFT JOIN valued v ON v.key = coalesce(b.key, i.key) LEFT JOIN noted n ON n.key = coalesce(b.key, i.key)""",
     "c6_write_table": "SELECT * FROM orders, (VALUES (0), (1)) b(batch_id)",
-    "c7_fan_out": "SELECT * FROM events, (VALUES (0), (1), (2)) s(sink)",
+    "c7_fan_out": "SELECT * FROM events, (VALUES (0, 0), (1, 0), (2, 2)) s(sink, earlier)",
     "c8_kafka_send": """
         SELECT 'events' AS topic, cast(user_id AS STRING) AS key,
                '{"event_id":' || cast(event_id AS STRING) || ',"user_id":' || cast(user_id AS STRING) || ',"event_type":"'
@@ -214,7 +231,7 @@ ORACLES = {
                      '{"o_orderkey":' || cast(o_orderkey AS STRING) || ',"o_orderstatus":"' || o_orderstatus || '"}' AS j
               FROM orders)
         GROUP BY page""",
-    "c9_with_retry": "SELECT * FROM customer",
+    "c9_with_retry": "SELECT *, 2 AS attempts FROM customer",
     "d1_dedupe_messages": """
         WITH RECURSIVE accepted AS (
             SELECT scope, id, min(arrival) AS arrival FROM messages GROUP BY scope, id
@@ -224,8 +241,8 @@ ORACLES = {
             GROUP BY m.scope, m.id, a.arrival)
         SELECT DISTINCT m.id, m.scope, m.arrival, m.n FROM messages m
         JOIN accepted a ON m.scope = a.scope AND m.id = a.id AND m.arrival = a.arrival""",
-    "d2_micro_batch": "SELECT * FROM events",
-    "d3_rate_limit": "SELECT * FROM orders",
+    "d2_micro_batch": "SELECT *, 2 AS batches FROM events",
+    "d3_rate_limit": "SELECT *, 4 AS batches FROM orders",
     "d4_resolve_start": """
         WITH latest AS (SELECT workspace, flow, component, arg_max(value, id) AS v FROM save_points GROUP BY ALL),
         named AS (SELECT workspace, flow, component, name, arg_max(value, id) AS v FROM save_points GROUP BY ALL),

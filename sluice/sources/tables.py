@@ -115,11 +115,9 @@ def shard_route(df: DataFrame, key: str, n: int = 10, prefix: str | None = None)
     return routed.withColumn("shard_table", F.concat(F.lit(prefix), "shard")) if prefix else routed
 
 
-def write_shards(df: DataFrame, path: str, key: str, n: int = 10, files_per_shard: int = 1) -> None:
-    """Write a table as ``n`` shard folders; rows of a shard are spread over ``files_per_shard`` writers."""
-    routed = shard_route(df, key, n)
-    spread = F.pmod(F.xxhash64(key), F.lit(files_per_shard))
-    routed.repartition(n * files_per_shard, "shard", spread).write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, key: str, n: int = 10) -> None:
+    """Write a table as ``n`` shard folders; a shard has as many writers as its size asks for."""
+    shard_route(df, key, n).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, parts: str | Sequence[str | DataFrame]) -> DataFrame:

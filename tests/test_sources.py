@@ -124,7 +124,7 @@ def test_include_tables(spark, rows):
 def test_shards_round_trip_and_prune(spark, rows, plan, tmp_path):
     df = spark.range(200).select(F.concat(F.lit("k"), "id").alias("k"), "id")
     path = str(tmp_path / "shards")
-    write_shards(df, path, "k", 10, files_per_shard=2)
+    write_shards(df, path, "k", 10)
     back = read_shards(spark, path)
     assert rows(back, "k", "id") == rows(df)
     routed = shard_route(df, "k", 10, "t_")
