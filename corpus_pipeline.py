@@ -27,9 +27,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays (five-word shingles, similarity 0.8)."""
+    """One document of each near-duplicate class stays (five-word shingles, similarity 0.8); of a repeated row one copy."""
     dropped = near_duplicates(docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return _without(docs, dropped)
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    twice = stage(twice, "repeated")
+    rest = _without(docs, dropped)
+    if twice.isEmpty():
+        return rest
+    return rest.join(twice, "doc_id", "left_anti").select(COLUMNS).unionByName(
+        rest.join(twice, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
