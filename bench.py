@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -60,14 +61,15 @@ def line_envelopes(spark: SparkSession) -> DataFrame:
 IMAGE = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double"
 
 
-def stream_flow(spark: SparkSession, envelopes: DataFrame) -> None:
-    """Change envelopes from files, parsed and applied to a table, with checkpoint and commit."""
+def stream_flow(spark: SparkSession, envelopes: DataFrame, files_per_batch: int | None = None) -> None:
+    """Change envelopes from files, parsed and applied to a table of key buckets, with checkpoint and commit."""
     path = staging_path(spark, "bench-target")
     base = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select(*LINE_KEYS, "l_quantity", "l_extendedprice")
-    commit_version(base.dropDuplicates(LINE_KEYS), path, 0)
-    feed = spark.readStream.schema(envelopes.schema).parquet(*envelopes.inputFiles()[0].rsplit("/", 1)[:1])
+    commit_version(base.dropDuplicates(LINE_KEYS), path, 0, LINE_KEYS, 16)
+    options = {"maxFilesPerTrigger": str(files_per_batch)} if files_per_batch else {}
+    feed = spark.readStream.schema(envelopes.schema).options(**options).parquet(*envelopes.inputFiles()[0].rsplit("/", 1)[:1])
     began = time.time()
-    run_changes(feed, IMAGE, LINE_KEYS, path, staging_path(spark, "bench-progress")).awaitTermination()
+    run_changes(feed, IMAGE, LINE_KEYS, path, staging_path(spark, "bench-progress"), keep=2).awaitTermination()
     stream_flow.seconds = time.time() - began
     read_current(spark, path)
 
@@ -82,6 +84,7 @@ def main() -> None:
     spark = build_session(
         f"local[{CPUS}]", "bench", spark__sql__shuffle__partitions=CPUS, spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="12g",
+        spark__checkpoint__dir=os.environ.get("BENCH_STAGING") or tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     n_lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
@@ -95,6 +98,9 @@ def main() -> None:
     stream_flow(spark, envelopes)
     stream_flow(spark, envelopes)
     seconds["stream_parse_apply"] = stream_flow.seconds
+    # the same changes over ten micro-batches, each of which pays for its commit
+    stream_flow(spark, stage(envelopes.repartition(10), "bench-envelopes"), 1)
+    seconds["stream_ten_batches"] = stream_flow.seconds
     print(seconds, file=sys.stderr, flush=True)
     for name in REGISTERED:
         seconds[name] = timed(lambda: run(known[name](spark, FOLDER)))
