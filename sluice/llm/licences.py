@@ -45,15 +45,13 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     table = F.broadcast(known_digests(spark, known))  # as many rows as the list
-    names = F.broadcast(table.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("names")))
+    names = F.create_map(*[F.lit(v) for r in table.collect() for v in (r["digest"], r["licence"])])
     lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
     digests = F.array_distinct(F.transform(
         F.filter(F.transform(F.split("lines", "\n"), lambda x: canonical_text(x)), lambda x: x != ""), lambda x: F.md5(x.cast("binary"))))
     rows = lines.select("doc_id", F.md5(canonical_text(F.col("lines")).cast("binary")).alias("digest"), digests.alias("parts"))
-    found = F.array_intersect("parts", F.map_keys("names"))
-    rows = rows.crossJoin(names).select(
-        "doc_id", "digest",
-        F.nullif(F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: F.element_at("names", d)))), ","), F.lit("")).alias("notices"))
+    found = F.transform(F.array_intersect("parts", F.map_keys(names)), lambda d: F.element_at(names, d))
+    rows = rows.select("doc_id", "digest", F.nullif(F.array_join(F.array_sort(F.array_distinct(found)), ","), F.lit("")).alias("notices"))
     return rows.join(table, "digest", "left").select("doc_id", "digest", "licence", "notices")
 
 
