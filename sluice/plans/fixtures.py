@@ -10,7 +10,13 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import TABLES, load_tables
+from ..sources import load_tables
+
+# the given tables
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 _ESCAPED_PROPS = "replace(props, '\"', chr(92) || '\"')"
 _IMAGE = (

@@ -11,8 +11,7 @@ from ..operators.relational import (
     json_contains, json_values, log_search, member_page, nest_groups, not_in, ordered_group_columns,
     record_authority, retain, text_search, top_groups, version_join,
 )
-from ..sources import TABLES
-from .fixtures import Inputs
+from .fixtures import TABLES, Inputs
 
 BRANDS = ["Brand#1", "Brand#12", "Brand#20"]
 RANKS = {"ENABLE": 1, "PAUSE": 2, "TBP": 3}

@@ -7,8 +7,7 @@ that the order of addition cannot show.
 from __future__ import annotations
 
 from ..sources import sql_query
-from ..sources.tables import TABLES
-from .fixtures import Inputs, _uses
+from .fixtures import TABLES, _uses, Inputs
 
 
 def _money(expression: str) -> str:

@@ -1,12 +1,12 @@
 from .changes import include_tables, parse_change_events, snapshot_then_changes
 from .paging import assign_pages, deep_page_query, page_query, scroll_pages, scroll_query
 from .tables import (
-    TABLES, kafka_options, kafka_receive, load_tables, open_source, read_shards, read_stream_query, register_views,
+    kafka_options, kafka_receive, load_tables, open_source, read_shards, read_stream_query, register_views,
     shard_route, sql_query, write_shards,
 )
 
 __all__ = [
-    "TABLES", "assign_pages", "include_tables", "kafka_options", "kafka_receive", "load_tables", "open_source",
+    "assign_pages", "include_tables", "kafka_options", "kafka_receive", "load_tables", "open_source",
     "page_query", "parse_change_events", "read_shards", "read_stream_query", "register_views", "scroll_pages",
     "scroll_query", "shard_route", "snapshot_then_changes", "sql_query", "write_shards",
 ]

@@ -9,15 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import shard_of
 
-TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
-    "pages", "benchmark", "labels", "conversations",
-)
-
 Source = Mapping[str, str] | DataFrame
 
 
-def load_tables(spark: SparkSession, folder: str, names: Sequence[str] = TABLES) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """One Parquet table per name below ``folder``."""
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
