@@ -19,7 +19,7 @@ SPACE = "▁"
 # penalty of a character without a piece, below the worst piece, as in the library's own lattice
 UNKNOWN_PENALTY = 10.0
 # distinct units a Python worker remembers
-CACHED_UNITS = 600_000
+CACHED_UNITS = 150_000
 
 
 def load_pieces(path: str) -> dict:
