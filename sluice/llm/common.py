@@ -15,7 +15,7 @@ __all__ = ["ROW_ID", "arrow_map", "near_rows", "offsets", "read_table", "scratch
 
 ROW_ID = "__row"
 # texts handed to one step of a Python task: a batch is cut so that working arrays stay small
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,8 +41,12 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tup
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` over the columns of ``df``."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` over the columns of ``df``; a task gives its Arrow memory back when it ends, as workers live on."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
 
 
 def offsets(lengths: np.ndarray) -> np.ndarray:

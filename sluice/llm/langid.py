@@ -222,7 +222,7 @@ def cross_entropies(docs: DataFrame, text_col: str, keep: list[str], model: dict
 
 def identify(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    order: int = 4, max_grams: int = 200_000, reject_below: float = 0.5, far: float = 12.0,
+    order: int = 4, max_grams: int = 200_000, reject_below: float = 0.35, far: float = 12.0,
 ) -> DataFrame:
     """(doc_id, lang_pred, score, margin, cross_entropy, rejected) per row of ``docs``.
 
