@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,6 +13,7 @@ from ..session import staging_path
 from ..sinks import commit_version, fan_out, kafka_payload, read_current, with_retry, write_batch, write_table
 from ..streaming import (
     clean_save_points, component_metrics, dedupe_messages, micro_batch, rate_limit, resolve_start, run_changes,
+    save_point,
 )
 from ..operators.monitor import flow_series_stream
 from .fixtures import Inputs
@@ -106,6 +108,22 @@ def _restart_new_checkpoint(t: Inputs):
     return read_current(t.spark, path)
 
 
+def _resume_from_stream(t: Inputs):
+    """Save points written by a stream after each of its batches, and where its listener would start again."""
+    path, points = staging_path(t.spark, "target"), staging_path(t.spark, "points")
+    commit_version(t["base_state"], path, 0, KEYS, 4)
+
+    def note(spark, batch_id: int) -> None:
+        save_point(spark, points, "ws1", "f", "listener", f"batch {batch_id}", batch_id, datetime(2024, 1, 15), 3)
+
+    feed = _stream_of(t, t["envelopes"].repartition(3), **micro_batch("files", 1))
+    run_changes(feed, IMAGE, KEYS, path, staging_path(t.spark, "progress"), after_batch=note).awaitTermination()
+    flows = t.spark.createDataFrame(
+        [("ws1", "f", "listener", "AUTO", None), ("ws1", "f", "other", "LAST_STORAGE", None)],
+        "workspace string, flow string, component string, strategy string, save_point string")
+    return resolve_start(flows, t.spark.read.parquet(points))
+
+
 def _batches(t: Inputs, df: DataFrame, limit: int | None, **options: str) -> DataFrame:
     path = staging_path(t.spark, "batches")
     feed = _stream_of(t, df, **options)
@@ -154,6 +172,7 @@ QUERIES = {
     "d2_micro_batch": lambda t: _batches(t, t["events"].repartition(4), None, **micro_batch("files", 2)),
     "d3_rate_limit": lambda t: _batches(t, t["orders"].repartition(4), 100, **micro_batch("files", 1)),
     "d4_resolve_start": lambda t: resolve_start(t["flow_starts"], t["save_points"]),
+    "d5_save_points": _resume_from_stream,
     "d5_clean_save_points": lambda t: clean_save_points(t["save_points"], "2024-01-15 12:00:00"),
     "d6_small_costs": lambda t: component_metrics(t["metrics"].withColumn("cost", F.lit(0.004))).withColumn("cost", F.col("cost").cast("double")),
     "d6_component_metrics": lambda t: component_metrics(t["metrics"]).withColumn("cost", F.col("cost").cast("double")),
@@ -254,6 +273,9 @@ ORACLES = {
                CASE WHEN value IS NOT NULL THEN 'RESUME' WHEN save_point IS NOT NULL OR strategy = 'LAST_STORAGE' THEN 'ERROR'
                     ELSE 'SCRATCH' END AS start
         FROM found""",
+    "d5_save_points": """
+        SELECT * FROM (VALUES ('ws1', 'f', 'listener', 'AUTO', NULL, 'RESUME', 'batch 2'), ('ws1', 'f', 'other', 'LAST_STORAGE', NULL, 'ERROR', NULL))
+        v(workspace, flow, component, strategy, save_point, start, value)""",
     "d5_clean_save_points": "SELECT * FROM save_points WHERE expire_time IS NULL OR expire_time >= timestamp '2024-01-15 12:00:00'",
     "d6_small_costs": """
         SELECT flow, component, parent, count(*) AS calls, cast(sum(rows) AS BIGINT) AS rows,

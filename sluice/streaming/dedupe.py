@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import stage
 
 HOLD_MINUTES = 3600
+# rounds before the rest is finished by doubling
+PLAIN_ROUNDS = 4
+
+
+def _micros(df: DataFrame, column: str) -> Column:
+    """A time as microseconds; a null time lies before all others."""
+    if isinstance(df.schema[column].dataType, T.TimestampType):
+        number = F.unix_micros(column)
+    else:
+        number = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
+    return F.coalesce(number, F.lit(-(1 << 62)))
 
 
 def dedupe_messages(
@@ -18,31 +29,61 @@ def dedupe_messages(
 ) -> DataFrame:
     """Messages of a table that a listener with this hold time would accept.
 
-    Round by round the first message of each key is accepted and the rows within its hold time drop
-    out. A round is one aggregation that combines before the shuffle, so many copies of one message
-    are no problem; after the first round only keys with later copies remain. There are at most
-    (time span / hold time) + 1 rounds.
+    A few plain rounds come first: the first message of each key is accepted, the rows within its hold time drop out, and
+    keys without later copies are done. A round is one aggregation that combines before the shuffle. Keys that go on are
+    finished by :func:`_chained`, so a key with n accepted messages takes about log2(n) rounds. A null key is a key; a null
+    arrival comes before all others.
     """
     if hold_minutes < 1:
         raise ValueError("the hold time is at least one minute")
-    hold = F.expr(f"interval {int(hold_minutes)} minutes")
-    order = F.struct(arrival, tie_break)
-    accepted, rest = None, df
-    while True:
-        first = stage(
-            rest.groupBy(*keys).agg(
-                F.min_by(F.struct(*df.columns), order).alias("_row"), F.max(arrival).alias("_last")
-            ),
-            "accepted",
-        )
+    hold = int(hold_minutes) * 60_000_000
+    rest = df.select(F.struct(*keys).alias("_key"), _micros(df, arrival).alias("_at"), F.struct(*df.columns).alias("_row"))
+    accepted = None
+    for _ in range(PLAIN_ROUNDS):
+        first = stage(rest.groupBy("_key").agg(
+            F.min_by("_row", F.struct("_at", f"_row.{tie_break}")).alias("_row"), F.min("_at").alias("_first"), F.max("_at").alias("_last")
+        ), "accepted")
         rows = first.select("_row.*")
         accepted = rows if accepted is None else accepted.unionByName(rows)
-        until = first.filter(F.col("_last") >= F.col(f"_row.{arrival}") + hold).select(
-            *keys, (F.col(f"_row.{arrival}") + hold).alias("_until")
-        )
+        until = first.filter(F.col("_last") - F.col("_first") >= hold).select("_key", (F.col("_first") + hold).alias("_until"))
         if until.isEmpty():
             return accepted
-        rest = stage(rest.join(until, list(keys)).filter(F.col(arrival) >= F.col("_until")).select(*df.columns), "rest")
+        rest = stage(rest.join(until, "_key").filter("_at >= _until").select("_key", "_at", "_row"), "rest")
+    return accepted.unionByName(_chained(rest, hold, tie_break))
+
+
+def _chained(rows: DataFrame, hold: int, tie_break: str) -> DataFrame:
+    """Accepted rows of (_key, _at, _row) by following each key's chain in doubling steps.
+
+    After an accepted message comes the first that is at least the hold time later. That one is known for every arrival at once: it
+    lies in the following stretch of hold length or opens the next one that has any. Copies at one moment are combined
+    before the first shuffle; windows span a stretch of a key, or one row per stretch, never all messages of a key.
+    """
+    stretch = lambda c: F.floor(F.col(c) / F.lit(hold).cast("decimal(20,0)")).cast("long")
+    moments = stage(rows.groupBy("_key", "_at").agg(F.min_by("_row", f"_row.{tie_break}").alias("_row")), "moments")
+    times = moments.select("_key", "_at").withColumn("_stretch", stretch("_at"))
+    first = times.groupBy("_key").agg(F.min("_at").alias("_at"), F.max("_at").alias("_last"))
+    long = stage(first.filter(F.col("_last") - F.col("_at") >= hold), "long-keys")  # the others end with their first message
+    times = times.join(long.select("_key"), "_key", "left_semi")
+    probes = times.select("_key", (F.col("_stretch") + 1).alias("_stretch"), F.col("_at").alias("_from"), (F.col("_at") + hold).alias("_when"))
+    events = times.select("_key", "_stretch", F.lit(None).cast("long").alias("_from"), F.col("_at").alias("_when")).unionByName(probes)
+    inside = Window.partitionBy("_key", "_stretch").orderBy("_when").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    later = Window.partitionBy("_key").orderBy("_stretch").rowsBetween(1, Window.unboundedFollowing)
+    heads = events.groupBy("_key", "_stretch").agg(F.min(F.when(F.col("_from").isNull(), F.col("_when"))).alias("_head"))
+    heads = heads.select("_key", "_stretch", F.min("_head").over(later).alias("_later"))
+    found = events.withColumn("_in", F.min(F.when(F.col("_from").isNull(), F.col("_when"))).over(inside)).filter("_from IS NOT NULL")
+    jump = stage(
+        found.join(heads, ["_key", "_stretch"]).select("_key", F.col("_from").alias("_at"), F.coalesce("_in", "_later").alias("_next"))
+        .filter("_next IS NOT NULL"), "jumps")
+    accepted, chain = first.select("_key", "_at"), long.select("_key", "_at")
+    while True:
+        step = stage(chain.join(jump, ["_key", "_at"]).select("_key", F.col("_next").alias("_at")), "accepted")
+        if step.isEmpty():
+            break
+        accepted, chain = accepted.unionByName(step), chain.unionByName(step)
+        onward = jump.select("_key", F.col("_at").alias("_next"), F.col("_next").alias("_far"))
+        jump = stage(jump.join(onward, ["_key", "_next"]).select("_key", "_at", F.col("_far").alias("_next")), "jumps")
+    return moments.join(accepted, ["_key", "_at"], "left_semi").select("_row.*")
 
 
 class _Hold(StatefulProcessor):

@@ -192,3 +192,24 @@ def test_rate_is_rounded_up():
             return self
 
     assert rate_limit(Writer(), 300, 1000).every == "4 milliseconds"
+
+
+def test_dedupe_in_few_rounds(spark, monkeypatch):
+    """Fifty accepted copies of one message, repeated moments and a null key, against a plain loop."""
+    from sluice.streaming import dedupe
+
+    rng = random.Random(3)
+    rows = [(k, T0 + timedelta(seconds=rng.randint(0, 60 * 120)), n) for k in ("a", None) for n in range(400)]
+    rows += [("b", T0, 1), ("b", T0, 0), ("b", T0 + timedelta(minutes=2), 5), ("c", T0, 9)]
+    wanted = []
+    for key in ("a", "b", "c", None):
+        until = None
+        for _, at, n in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]):
+            if until is None or at >= until:
+                wanted.append((key, at, n))
+                until = at + timedelta(minutes=2)
+    writes, plain = [], dedupe.stage
+    monkeypatch.setattr(dedupe, "stage", lambda df, label: writes.append(label) or plain(df, label))
+    got = dedupe_messages(spark.createDataFrame(rows, "k string, at timestamp_ntz, n int"), ["k"], "at", "n", 2).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+    assert sum(w[0] == "a" for w in wanted) > 40 and writes.count("accepted") <= 12
