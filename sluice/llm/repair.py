@@ -55,10 +55,8 @@ class WordEncoder:
         for chunks in split:
             for chunk in set(chunks).difference(self.chunks) if chunks else ():
                 if chunk not in fresh:
-                    fresh[chunk] = WORDS.findall(chunk) if PLAIN.fullmatch(chunk) else []
-        words = list(set(chain.from_iterable(fresh.values())).difference(self.words))
-        for word, encoding in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.words[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+                    fresh[chunk] = self._words(chunk)
+        self._learn(list(set(chain.from_iterable(fresh.values())).difference(self.words)))
         get = self.words.__getitem__
         for chunk, found in fresh.items():
             self.chunks[chunk] = b"".join(map(get, found)) if found else None
@@ -70,6 +68,38 @@ class WordEncoder:
             out.append(b"".join(known))
         return out
 
+    @staticmethod
+    def _words(chunk: str) -> list[str]:
+        """Words of a chunk, none if it has characters that are left to the library."""
+        if not PLAIN.fullmatch(chunk):
+            return []
+        bare = chunk[chunk[0] == " ":]
+        if bare.isalpha():
+            return [chunk]
+        if bare[-1] in ",.;:!?" and bare[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return WORDS.findall(chunk)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Words of letters are encoded many at a time: a space, or a line end between them, keeps them apart."""
+        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        bare = [w for w in words if w.isalpha()]
+        for group, joint in ((spaced, ""), (bare, "\n")):
+            step = 1 + len(joint)
+            for lo in range(0, len(group), 512):
+                part = group[lo:lo + 512]
+                encoding = self.tokenizer.encode(joint.join(part), add_special_tokens=False)
+                found: list[list[int]] = [[] for _ in range(step * len(part))]
+                seats = encoding.word_ids
+                if seats and seats[-1] == step * (len(part) - 1):
+                    for seat, i in zip(seats, encoding.ids):
+                        found[seat].append(i)
+                    for word, ids in zip(part, found[::step]):
+                        self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        rest = [w for w in words if w not in self.words]
+        for word, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.words[word] = struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+
     def _chunks(self, text: str) -> list[str] | None:
         if not text or text[0].isspace() or text[-1].isspace() or any(s in text for s in (*BESIDE, *self.specials)):
             return None
