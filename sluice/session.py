@@ -18,6 +18,8 @@ DEFAULTS = {
 }
 
 _LOCAL_STAGING: dict[str, str] = {}
+# paths handed out per application
+_STAGED: dict[str, list[str]] = {}
 
 
 def build_session(master: str | None = None, app: str = "sluice", **conf: str) -> SparkSession:
@@ -50,8 +52,27 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, noted for :func:`clear_staging`."""
+    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that Spark uses for it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_staging(spark: SparkSession) -> int:
+    """Delete what this application has staged; returns the number of folders.
+
+    Results read staged tables lazily, so this is for after their last action. Folders of other applications are not touched.
+    """
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove_folder(spark, path)
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.upserts import apply_net, net_changes
-from ..session import stage
+from ..session import remove_folder, stage
 
 
 def jdbc_write_options(url: str, table: str, batch_size: int = 1000, **extra: str) -> dict[str, str]:
@@ -113,10 +113,8 @@ def clean_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
     commits = _commits(spark, path).orderBy(F.desc("version")).collect()
     used = {b["version"] for c in commits[:keep] for b in c["buckets"]} | {c["version"] for c in commits[:keep]}
     old = [v for v in {c["version"] for c in commits} - used]
-    jvm = spark.sparkContext._jvm
     for version in old:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/data/version={version}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(spark, f"{path}/data/version={version}")
     return sorted(old)
 
 

@@ -108,3 +108,19 @@ def test_number_rows_null_group_and_empty(spark):
 
 def test_staging_uses_the_folder_of_the_session(spark):
     assert staging_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_clear_staging(spark):
+    import os
+
+    from sluice import session
+
+    other = dict(session._STAGED)
+    session._STAGED.clear()
+    try:
+        staged = session.stage(spark.range(3), "probe")
+        path = staged.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert staged.count() == 3 and os.path.isdir(path)
+        assert session.clear_staging(spark) == 1 and not os.path.exists(path) and session.clear_staging(spark) == 0
+    finally:
+        session._STAGED.update(other)
