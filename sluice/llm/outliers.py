@@ -21,6 +21,8 @@ WINDOW = 8
 DIMS = ("length", "symbols", "lines", "repeats")
 FLOORS = (0.08, 0.05, 0.12, 0.12)
 P = len(DIMS)
+# parts that the rows of a cell are dealt into
+SALTS = 32
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -121,9 +123,15 @@ def _d2() -> Column:
     return sum((gap[i] * gap[j] * F.col("inverse")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
 
 
+def _with_cells(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their cell. The table, a row per cell, is repeated for each salt, so a hot cell is dealt to many tasks."""
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, [*keys, "salt"])
+
+
 def _distance(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with ``d2``, the squared Mahalanobis distance from their cell's estimate."""
-    joined = rows.join(estimates.select(*keys, "mean", "inverse"), keys)
+    joined = _with_cells(rows, estimates.select(*keys, "mean", "inverse"), keys)
     return joined.withColumn("d2", _d2()).drop("mean", "inverse")
 
 
@@ -151,17 +159,17 @@ def quality_outliers(
         "x": F.when(~F.col("base_failed"), F.array(
             F.log(F.col("word_chars") / F.col("n_words")), F.sqrt(F.col("n_symbols") / F.col("word_chars")),
             F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))), F.sqrt(F.col("n_repeat_words") / F.col("n_words"))))})
-    good = base.where("NOT base_failed").select("lang", "source", "x")
+    good = base.where("NOT base_failed").select("lang", "source", "x", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     sizes = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = sizes.where(F.col("n") < min_rows)
     pools = small.groupBy("lang").agg(F.sum("n").alias("pool"))
     named = sizes.join(pools, "lang", "left").select("lang", "source", F.when(F.col("n") >= min_rows, F.concat(F.lit("cell"), "lang", F.lit("/"), "source"))
                                                      .when(F.col("pool") >= min_rows, F.concat(F.lit("lang"), "lang")).otherwise("all").alias("cell"))
     cells = stage(named, "cells")
-    rows = stage(good.join(cells, ["lang", "source"]).select("cell", "x"), "vectors")
+    rows = stage(good.join(cells, ["lang", "source"]).select("cell", "salt", "x"), "vectors")
     ratio = share / chi2_cdf(chi2_quantile(share, P), P + 2)
     medians = rows.groupBy("cell").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(P)]).alias("mean"))
-    spread = rows.join(medians, "cell").groupBy("cell", "mean").agg(F.array(*[
+    spread = _with_cells(rows, medians, ["cell"]).groupBy("cell", "mean").agg(F.array(*[
         F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, 1000) for i in range(P)]).alias("mad"))
     inverse = F.array(*[1 / (F.pow(1.4826 * F.col("mad")[i], F.lit(2)) + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
     robust = spread.select(F.lit(0).alias("start"), "cell", "mean", inverse.alias("inverse"), F.lit(None).cast("double").alias("det"))
@@ -172,7 +180,7 @@ def quality_outliers(
     for _ in range(steps):
         far = _distance(starts, estimate, keys)
         cut = stage(far.groupBy(*keys).agg(F.percentile_approx("d2", share, 1000).alias("cut")), "cut")
-        estimate = stage(_solved(_sums(far.join(cut, keys).where("d2 <= cut"), keys), keys, ratio), "estimate")
+        estimate = stage(_solved(_sums(_with_cells(far, cut, keys).where("d2 <= cut"), keys), keys, ratio), "estimate")
     best = estimate.groupBy("cell").agg(F.min_by(F.struct("mean", "inverse"), F.struct("det", "start")).alias("e")).select("cell", "e.*")
     near = _distance(rows, stage(best, "estimate"), ["cell"]).where(F.col("d2") <= chi2_quantile(0.975, P))
     weighed = 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2)
