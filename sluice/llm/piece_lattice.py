@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush, nsmallest
 from itertools import islice
@@ -19,7 +20,7 @@ SPACE = "▁"
 # penalty of a character without a piece, below the worst piece, as in the library's own lattice
 UNKNOWN_PENALTY = 10.0
 # distinct units a Python worker remembers
-CACHED_UNITS = 150_000
+CACHED_UNITS = 500_000
 
 
 def load_pieces(path: str) -> dict:
@@ -127,6 +128,24 @@ def best_two(unit: str, model: dict) -> tuple[float, list[int], float]:
     return best[n], [i for ids in reversed(tail) for i in ids], second
 
 
+class Seats(dict):
+    """Unit to its seat in the memo; an unknown unit is segmented and gets the next one."""
+
+    def __init__(self, model: dict):
+        super().__init__()
+        self.model = model
+        self.blobs: list[bytes] = []
+        self.score, self.gap = array("d"), array("d")
+
+    def __missing__(self, unit: str) -> int:
+        best, ids, second = best_two(unit, self.model)
+        found = self[unit] = len(self.blobs)
+        self.blobs.append(struct.pack(f"<{len(ids)}I", *ids))
+        self.score.append(best)
+        self.gap.append(best - second)
+        return found
+
+
 class Encoder:
     """Encodes whole texts; what it learns about units is kept for the next text."""
 
@@ -138,20 +157,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.seats: dict[str, int] = {}
-        self.blobs: list[bytes] = []
-        self.score, self.gap = np.zeros(1024), np.zeros(1024)
-
-    def seat(self, unit: str) -> int:
-        found = self.seats.get(unit)
-        if found is None:
-            found = self.seats[unit] = len(self.blobs)
-            if found == len(self.score):
-                self.score, self.gap = np.concatenate([self.score, self.score]), np.concatenate([self.gap, self.gap])
-            best, ids, second = best_two(unit, self.model)
-            self.blobs.append(struct.pack(f"<{len(ids)}I", *ids))
-            self.score[found], self.gap[found] = best, best - second
-        return found
+        self.seats = Seats(self.model)
+        self.losses: dict[str, list[float]] = {}
 
     def encode(self, text: str) -> tuple[bytes, list[float]]:
         """(ids of the best segmentation as little-endian 32-bit integers, scores of the N best segmentations)."""
@@ -160,10 +167,11 @@ class Encoder:
         if len(self.seats) > CACHED_UNITS:
             self.clear()
         units = self.units.findall(SPACE + text.replace(" ", SPACE))
-        seats = np.fromiter(map(self.seat, units), dtype=np.int64, count=len(units))
-        blobs = self.blobs
-        best = float(self.score[seats].sum())
-        return b"".join([blobs[i] for i in seats.tolist()]), self._n_best(best, units, self.gap[seats])
+        seats = list(map(self.seats.__getitem__, units))
+        at = np.array(seats)
+        best = float(np.frombuffer(self.seats.score)[at].sum())
+        gaps = np.frombuffer(self.seats.gap)[at]
+        return b"".join(map(self.seats.blobs.__getitem__, seats)), self._n_best(best, units, gaps)
 
     def _n_best(self, best: float, units: list[str], gaps: np.ndarray) -> list[float]:
         """Scores of the N best segmentations of the whole text.
@@ -177,8 +185,11 @@ class Encoder:
         changes = []
         for u in near.tolist():
             if np.isfinite(gaps[u]):
-                first, *others = islice(segmentations(units[u], self.model), more + 1)
-                changes += [(first[0] - s, u) for s, _ in others]
+                losses = self.losses.get(units[u])
+                if losses is None:
+                    first, *others = islice(segmentations(units[u], self.model), more + 1)
+                    losses = self.losses[units[u]] = [first[0] - s for s, _ in others]
+                changes += [(loss, u) for loss in losses]
         changes = nsmallest(more, changes)
         heap = [(0.0, -1, frozenset())]
         heapify(heap)
