@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import exp
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -78,69 +78,134 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str, order: int) -> Da
     return arrow_map(docs.select(lang_col, text_col), run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(grams: DataFrame, order: int, max_grams: int) -> dict | None:
+def _levels(grams: DataFrame, langs: list[str], order: int) -> dict[int, DataFrame]:
+    """(gram, c) for each order: counts per language. Below the highest order a gram counts the grams it ends, and its starts of words."""
+    sums = lambda values: F.array(*[F.sum(v).cast("double") for v in values]).alias("c")
+    full = stage(grams.groupBy("gram").agg(sums([F.when(F.col("lang") == x, F.col("n")).otherwise(0) for x in langs])), "grams")
+    levels = {order: full.where(F.length("gram") == order)}
+    for size in range(order - 1, 0, -1):
+        above = levels[size + 1].select(
+            F.expr("substring(gram, 2)").alias("gram"), F.transform("c", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("c"))
+        both = above.unionByName(full.where(F.length("gram") == size))
+        levels[size] = stage(both.groupBy("gram").agg(sums([F.col("c")[j] for j in range(len(langs))])), "level")
+    return levels
+
+
+def _hashed(table: DataFrame) -> DataFrame:
+    """The table with the hash of each gram instead of the gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gram_hashes(np.frombuffer(g.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64), len(g))[0] for g in batch.column(1).to_pylist()]
+            hashes = np.array(found, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes), batch.column(2), batch.column(3)], names=["size", "hash", "logs", "backs"])
+
+    return arrow_map(table.select("size", "gram", "logs", "backs"), run, "size int, hash long, logs array<double>, backs array<double>")
+
+
+def _packed(table: DataFrame) -> DataFrame:
+    """(size, hashes, logs, backs) as sorted arrays, one row per order and partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        sizes, hashes, logs, backs = (np.concatenate(c) for c in zip(*held))
+        logs, backs = logs.reshape(len(sizes), -1), backs.reshape(len(sizes), -1)
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            at = at[np.argsort(hashes[at])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([size], pa.int32()), *(pa.array([v[at].tobytes()], pa.binary()) for v in (hashes, logs, backs))],
+                names=["size", "hashes", "logs", "backs"])
+
+    return arrow_map(table, run, "size int, hashes binary, logs binary, backs binary")
+
+
+def fit(grams: DataFrame, order: int, step_grams: int) -> dict | None:
     """The models of all languages as sorted hash arrays; None without any training text.
 
     For each order the arrays are the sorted hashes of the grams of all languages, the interpolated log probability of the gram's last
-    character in each language, and each language's log weight of backing off from the gram. The ``max_grams`` most frequent
-    grams are collected, which bounds the driver and the broadcast; rarer ones are left out of the totals too, so
-    probabilities still add up to one, and discounts come from the counts of all grams.
+    character in each language, and each language's log weight of backing off from the gram. No gram is left out: counts, discounts,
+    probabilities and weights are Spark aggregations and joins. The table is broadcast in ranges of hashes, whose number grows with the
+    grams; the driver and a task hold about ``step_grams`` grams of it at once.
     """
-    ones = {(r[0], r[1]): (r[2], r[3]) for r in grams.groupBy("lang", F.length("gram").alias("size")).agg(
-        F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).collect()}
-    top = grams.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(max_grams)
-    table = grams.join(F.broadcast(top.select("gram")), "gram").toPandas()
-    if table.empty:
+    spark = grams.sparkSession
+    langs = sorted(r[0] for r in grams.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(table["lang"].unique())
-    full = {size: part.groupby(["lang", "gram"], sort=False)["n"].sum() for size, part in table.groupby(table["gram"].str.len())}
-    levels: dict[int, pd.Series] = {order: full[order]} if order in full else {}
-    for size in range(order - 1, 0, -1):
-        parts = [full[size]] if size in full else []  # grams that begin a word have nothing before them: plain counts
-        if size + 1 in levels:
-            above = levels[size + 1].reset_index()
-            above["gram"] = above["gram"].str[1:]
-            parts.append(above.groupby(["lang", "gram"], sort=False)["gram"].size().astype(float))
-        levels[size] = pd.concat(parts).groupby(level=[0, 1]).sum()
-    alphabet = levels[1].index.get_level_values(1).nunique() + 1
-    arrays, below = {}, None
-    for size in range(1, order + 1):
-        if size not in levels:
-            break
-        wide = levels[size].unstack(0).reindex(columns=langs).fillna(0.0)
-        counts = wide.to_numpy(dtype=float)
-        contexts = wide.index.str[:-1]
-        code, names = pd.factorize(contexts)
-        totals, types = np.zeros((len(names), len(langs))), np.zeros((len(names), len(langs)))
-        np.add.at(totals, code, counts)
-        np.add.at(types, code, counts > 0)
-        discount = np.empty(len(langs))
-        for j, lang in enumerate(langs):
-            if size == order:
-                n1, n2 = ones.get((lang, size), (0, 0))
-            else:
-                n1, n2 = (counts[:, j] == 1).sum(), (counts[:, j] == 2).sum()
-            discount[j] = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.where(totals[code] > 0, np.maximum(counts - discount, 0) / totals[code], 0.0)
-            weight = np.where(totals > 0, np.minimum(discount * types / totals, 1.0), 1.0)
-        if size == 1:
-            prob = own + weight[code] / alphabet
-            arrays["floor"] = np.log(weight[0] / alphabet)
+    seats = range(len(langs))
+    levels = _levels(grams, langs, order)
+    facts = reduce(DataFrame.unionByName, [levels[k].select(F.lit(k).alias("size"), "c") for k in levels]).groupBy("size").agg(
+        F.count("*").alias("grams"), *[F.array(*[F.sum(f(F.col("c")[j])) for j in seats]).alias(name) for name, f in (
+            ("ones", lambda c: (c == 1).cast("long")), ("twos", lambda c: (c == 2).cast("long")),
+            ("types", lambda c: (c > 0).cast("long")), ("total", lambda c: c))])
+    facts = {r["size"]: r for r in facts.collect()}
+    discounts = {k: [min(0.95, max(0.1, a / (a + 2 * b))) if a else 0.5 for a, b in zip(r["ones"], r["twos"])] for k, r in facts.items()}
+    weight = [min(d * n / t, 1.0) if t else 1.0 for d, n, t in zip(discounts[1], facts[1]["types"], facts[1]["total"])]
+    floor = [w / (facts[1]["grams"] + 1) for w in weight]
+    least = lambda p: F.greatest(p, F.lit(1e-12))
+    own = lambda k, j, total: F.greatest(F.col("c")[j] - discounts[k][j], F.lit(0.0)) / total
+    sizes = sorted(facts)
+    # context of a gram of each order: what its language has seen after it, and the weight of backing off from it
+    contexts = {k: levels[k].groupBy(F.expr(f"substring(gram, 1, {k - 1})").alias("context")).agg(
+        *[F.sum(F.col("c")[j]).alias(f"t{j}") for j in seats], *[F.sum((F.col("c")[j] > 0).cast("long")).alias(f"n{j}") for j in seats]).select(
+        "context", F.array(*[F.col(f"t{j}") for j in seats]).alias("t"),
+        F.array(*[F.when(F.col(f"t{j}") > 0, F.least(discounts[k][j] * F.col(f"n{j}") / F.col(f"t{j}"), F.lit(1.0))).otherwise(1.0) for j in seats]).alias("w"))
+        for k in sizes[1:]}
+    probs = {1: stage(levels[1].select("gram", F.array(*[
+        least((own(1, j, facts[1]["total"][j]) if facts[1]["total"][j] else F.lit(0.0)) + floor[j]) for j in seats]).alias("p")), "probabilities")}
+    for k in sizes[1:]:
+        contexts[k] = stage(contexts[k], "contexts")
+        whole = levels[k].withColumns({"context": F.expr(f"substring(gram, 1, {k - 1})"), "low": F.expr("substring(gram, 2)")})
+        whole = whole.join(contexts[k], "context").join(probs[k - 1].select(F.col("gram").alias("low"), F.col("p").alias("q")), "low")
+        probs[k] = stage(whole.select("gram", F.array(*[least(
+            F.when(F.col("t")[j] > 0, own(k, j, F.col("t")[j])).otherwise(0.0) + F.col("w")[j] * F.col("q")[j]) for j in seats]).alias("p")), "probabilities")
+    nothing = F.array(*[F.lit(0.0)] * len(langs))
+    parts = []
+    for k in sizes:
+        logs = F.transform("p", lambda x: F.log(x)).alias("logs")
+        if k + 1 in contexts:
+            back = contexts[k + 1].select(F.col("context").alias("gram"), F.transform("w", lambda x: F.log(x)).alias("back"))
+            parts.append(probs[k].join(back, "gram", "left").select(F.lit(k).alias("size"), "gram", logs, F.coalesce("back", nothing).alias("backs")))
         else:
-            lower = pd.Series(range(len(below[0])), index=below[0]).reindex(wide.index.str[1:]).to_numpy()
-            low = np.where(np.isnan(lower)[:, None], np.exp(arrays["floor"])[None, :], below[1][np.nan_to_num(lower).astype(int)])
-            prob = own + weight[code] * low
-            # back-off weights belong to the context, a gram of the order below
-            back = pd.DataFrame(weight, index=names).reindex(below[0]).fillna(1.0).to_numpy()
-            arrays[size - 1] = (*arrays[size - 1][:2], np.log(back)[arrays[size - 1][2]])
-        hashes = np.array([gram_hashes(np.frombuffer(g.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64), size)[0] for g in wide.index], dtype=np.uint64)
-        rank = np.argsort(hashes)
-        arrays[size] = (hashes[rank], np.log(np.maximum(prob, 1e-12))[rank], rank)
-        below = (wide.index, np.maximum(prob, 1e-12))
-    last = max(k for k in arrays if isinstance(k, int))
-    arrays[last] = (*arrays[last][:2], np.zeros_like(arrays[last][1]))
-    return {"langs": langs, "order": last, "arrays": arrays}
+            parts.append(probs[k].select(F.lit(k).alias("size"), "gram", logs, nothing.alias("backs")))
+    table = stage(_hashed(reduce(DataFrame.unionByName, parts)), "hashes")
+    tasks = -(-sum(r["grams"] for r in facts.values()) // step_grams)
+    ranges: dict[int, list] = {k: [] for k in range(1, order + 1)}
+    held: list[tuple] = []
+
+    def send() -> None:
+        if held:
+            hashes, logs, backs = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            ranges[held[0][0]].append((int(hashes[0]), int(hashes[-1]), spark.sparkContext.broadcast((hashes, logs, backs))))
+            held.clear()
+
+    # partitions arrive one after the other, in the order of their hashes
+    for size, hashes, logs, backs in _packed(table.repartitionByRange(tasks, "size", "hash")).toLocalIterator():
+        hashes = np.frombuffer(hashes, dtype=np.int64)
+        if held and (held[0][0] != size or sum(len(h[1]) for h in held) + len(hashes) > step_grams):
+            send()
+        held.append((size, hashes, *(np.frombuffer(v).reshape(len(hashes), -1) for v in (logs, backs))))
+    send()
+    return {"langs": langs, "order": order, "floor": np.log(floor), "ranges": ranges}
+
+
+def _looked_up(model: dict, size: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, log probabilities, back-off weights) of each hash; zeros where it is unknown. One range of the table is in memory at a time."""
+    wanted, place = np.unique(keys.view(np.int64), return_inverse=True)
+    known = np.zeros(len(wanted), dtype=bool)
+    logs, backs = (np.zeros((len(wanted), len(model["langs"]))) for _ in range(2))
+    for first, last, part in model["ranges"][size]:
+        lo, hi = np.searchsorted(wanted, first), np.searchsorted(wanted, last, side="right")
+        if lo == hi:
+            continue
+        hashes, own, back = part.value
+        part.__dict__.pop("_value", None)  # the value stays in its file
+        slot = np.minimum(np.searchsorted(hashes, wanted[lo:hi]), len(hashes) - 1)
+        hit = np.flatnonzero(hashes[slot] == wanted[lo:hi])
+        known[lo + hit], logs[lo + hit], backs[lo + hit] = True, own[slot[hit]], back[slot[hit]]
+    return known[place], logs[place], backs[place]
 
 
 def word_scores(model: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,31 +214,27 @@ def word_scores(model: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray
     The longest known gram gives the probability; each longer context that is known but not so continued adds its back-off weight.
     """
     points, cuts = _codes(words)
-    arrays, langs = model["arrays"], len(model["langs"])
-    total = np.repeat(arrays["floor"][None, :], len(points), axis=0)
+    langs = len(model["langs"])
+    total = np.repeat(model["floor"][None, :], len(points), axis=0)
     seat = np.cumsum(points == EDGE)  # which word a position belongs to; an edge opens its word
-    rows_before = None
+    at = np.arange(len(points))
+    before = None
     for size in range(1, model["order"] + 1):
-        hashes, logs, backs = arrays[size]
-        found = np.full(len(points), -1, dtype=np.int64)
+        hit, logs, weights = np.zeros(len(points), dtype=bool), np.zeros_like(total), np.zeros_like(total)
         if len(points) >= size:
-            keys = gram_hashes(points, size)
-            slot = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-            found[size - 1:] = np.where(hashes[slot] == keys, slot, -1)
+            hit[size - 1:], logs[size - 1:], weights[size - 1:] = _looked_up(model, size, gram_hashes(points, size))
         if size > 1:
             # a gram may end on the edge that closes its word, never reach across it
-            at = np.arange(len(points))
             inside = at - (size - 1) >= cuts[np.maximum(seat - 1 - (points == EDGE), 0)]
-            found[~inside] = -1
-            context = np.where(inside & (at > 0), np.roll(rows_before, 1), -1)
-            miss = (found < 0) & (context >= 0)
-            total[miss] += arrays[size - 1][2][context[miss]]
-        hit = found >= 0
-        total[hit] = logs[found[hit]]
-        rows_before = found
+            hit &= inside
+            miss = np.flatnonzero(~hit & inside & (at > 0))
+            total[miss] += before[miss - 1]
+        total[hit] = logs[hit]
+        weights[~hit] = 0.0
         if size > 1:
             # as a context a gram that ends on an edge closes a word and has no continuation
-            rows_before = np.where(points == EDGE, -1, found)
+            weights[points == EDGE] = 0.0
+        before = weights
     total[0] = 0.0
     sums = np.concatenate([np.zeros((1, langs)), np.cumsum(total, axis=0)])
     return sums[cuts[1:] + 1] - sums[cuts[:-1] + 1], np.diff(cuts)
@@ -181,11 +242,10 @@ def word_scores(model: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray
 
 def cross_entropies(docs: DataFrame, text_col: str, keep: list[str], model: dict) -> DataFrame:
     """``keep`` columns, n_chars scored, has_letter, and ``ce``: nats per character in each language, over the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, langs = shared.value, len(shared.value["langs"])
+        langs = len(model["langs"])
         known: dict[str, int] = {}
         scores, sizes = np.zeros((0, langs)), np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -222,7 +282,7 @@ def cross_entropies(docs: DataFrame, text_col: str, keep: list[str], model: dict
 
 def identify(
     docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    order: int = 4, max_grams: int = 200_000, reject_below: float = 0.35, far: float = 12.0,
+    order: int = 4, step_grams: int = 200_000, reject_below: float = 0.35, far: float = 12.0,
 ) -> DataFrame:
     """(doc_id, lang_pred, score, margin, cross_entropy, rejected) per row of ``docs``.
 
@@ -238,7 +298,7 @@ def identify(
     spark = docs.sparkSession
     usable = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     grams = stage(gram_counts(usable, lang_col, text_col, order), "grams")
-    model = fit(grams, order, max_grams)
+    model = fit(grams, order, step_grams)
     if model is None:
         return docs.select(
             F.col(id_col).alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"),

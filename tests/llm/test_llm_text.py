@@ -315,6 +315,23 @@ def test_kneser_ney_by_hand(spark):
         assert abs(sum(prob(context, c) for c in [*levels[1], "?"]) - 1) < 1e-9
 
 
+def test_no_gram_is_left_out(spark):
+    """Small steps give the models of one step, and a rare language of few grams among many keeps its own."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(60)), "aa") for i in range(80)]
+    rows += [(100 + i, " ".join("".join(rng.choice("жщюя") for _ in range(6)) for _ in range(8)), "bb") for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = langid.gram_counts(frame, "lang", "text", 4)
+    small, whole = langid.fit(grams, 4, 900), langid.fit(grams, 4, 1_000_000)
+    assert small["langs"] == whole["langs"] == ["aa", "bb"] and len(small["ranges"][4]) > 5 and len(whole["ranges"][4]) == 1
+    probe = [w.encode() for w in " ".join(rows[i][1] for i in (0, 1, 80, 81)).split()]
+    for got, want in zip(langid.word_scores(small, probe), langid.word_scores(whole, probe)):
+        assert np.allclose(got, want, atol=1e-9)
+    got = langid.identify(frame, F.lit(True), step_grams=900).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
+
+
 # lines, licences, shards
 
 def test_boilerplate(spark):
