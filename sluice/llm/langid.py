@@ -22,6 +22,8 @@ TASK_GRAMS, TASK_WORDS, STEP_WORDS = 300_000, 200_000, 30_000
 BINS, BIN_WIDTH = 40, 50
 # least standard deviation (nats per character) that a text's distance from its language is measured by
 LEAST_SD = 0.25
+# rightly predicted training rows that a size, or else a language, has at least to be a norm of its own
+NORM_ROWS = 30
 
 
 def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +292,8 @@ def identify(
     language is not null. The prediction is the language of the lowest cross-entropy per character over the whole text, ties going
     to the first name; it reads the text alone. ``score`` (0 to 1) is calibrated on the training rows: the share of right
     answers among rows of a like margin (cross-entropy of the second best minus the best), made monotone, and lowered for a
-    text whose cross-entropy lies ``far`` standard deviations above those of its language and length. Rows under
+    text whose cross-entropy lies ``far`` standard deviations above those of its language and length. A length (power of two) with under
+    ``NORM_ROWS`` rightly predicted training rows is measured by its whole language, a language with fewer by all of them. Rows under
     ``reject_below`` are rejected, and so are null texts and texts without a letter, whose lang_pred is und and score 0.
 
     Without training rows every row is und. Repeated rows each get their prediction; an empty table gives no rows.
@@ -321,9 +324,14 @@ def identify(
         prior = 1 / (1 + (len(model["langs"]) - 1) * exp(-i / BIN_WIDTH * 50))
         at_least = max(at_least, (good + 2 * prior) / (n + 2))
         shares.append(at_least)
-    usual = learned.where("known = pred").groupBy("pred", "size").agg(F.avg("best").alias("mean"), F.stddev_pop("best").alias("sd"))
-    out = scored.join(F.broadcast(usual), ["pred", "size"], "left")  # a row per language and power of two
-    z = (F.col("best") - F.col("mean")) / F.greatest(F.col("sd"), F.lit(LEAST_SD))
+    right_ones = learned.where("known = pred")
+    norm = lambda name: [F.count("best").alias(f"{name}_n"), F.avg("best").alias(f"{name}_mean"), F.stddev_pop("best").alias(f"{name}_sd")]
+    out = scored.join(F.broadcast(right_ones.groupBy("pred", "size").agg(*norm("size"))), ["pred", "size"], "left")  # a row per language and power of two
+    out = out.join(F.broadcast(right_ones.groupBy("pred").agg(*norm("lang"))), "pred", "left")
+    every = right_ones.agg(*norm("every")).first()
+    pick = lambda what: (F.when(F.col("size_n") >= NORM_ROWS, F.col(f"size_{what}"))
+                         .when(F.col("lang_n") >= NORM_ROWS, F.col(f"lang_{what}")).otherwise(F.lit(every[f"every_{what}"]).cast("double")))
+    z = (F.col("best") - pick("mean")) / F.greatest(pick("sd"), F.lit(LEAST_SD))
     share = F.element_at(F.array(*[F.lit(float(s)) for s in shares]), bins + 1)
     score = share * F.coalesce(F.when(z > far, F.exp(far - z)), F.lit(1.0))
     out = out.withColumn("score", F.when(F.col("letter"), score).otherwise(0.0))

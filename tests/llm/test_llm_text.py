@@ -332,6 +332,17 @@ def test_no_gram_is_left_out(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
 
 
+def test_texts_of_an_unseen_length_are_rejected_too(spark):
+    rng = random.Random(4)
+    kinds = {"aa": ["ba", "no", "ti", "re"], "bb": ["zu", "ke", "wy", "xo"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(kinds[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, say("ab"[i % 2] * 2, rng.randint(5, 40)), "ab"[i % 2] * 2) for i in range(120)]
+    rows += [(900, "ЖЖЖЖ ЩЩЩЩ ЮЮЮЮ ЯЯЯЯЯ " * 4000, None), (901, "Ж", None), (902, say("aa", 12_000), None), (903, say("bb", 1), None)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 900).collect()}
+    assert got[900]["rejected"] and got[901]["rejected"]
+    assert not any(got[i]["rejected"] for i in [*range(120), 902, 903])
+
+
 # lines, licences, shards
 
 def test_boilerplate(spark):
