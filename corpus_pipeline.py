@@ -44,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, with the scores of its four best segmentations."""
+    """Piece ids of each document, and its four best segmentations with their scores."""
     return encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"))
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, text_batches
+from .common import arrow_map, offsets, text_batches
 
 SPACE = "▁"
 # penalty of a character without a piece, below the worst piece, as in the library's own lattice
@@ -135,12 +135,13 @@ class Seats(dict):
         super().__init__()
         self.model = model
         self.blobs: list[bytes] = []
-        self.score, self.gap = array("d"), array("d")
+        self.score, self.gap, self.size = array("d"), array("d"), array("q")
 
     def __missing__(self, unit: str) -> int:
         best, ids, second = best_two(unit, self.model)
         found = self[unit] = len(self.blobs)
         self.blobs.append(struct.pack(f"<{len(ids)}I", *ids))
+        self.size.append(4 * len(ids))
         self.score.append(best)
         self.gap.append(best - second)
         return found
@@ -158,12 +159,17 @@ class Encoder:
 
     def clear(self) -> None:
         self.seats = Seats(self.model)
-        self.losses: dict[str, list[float]] = {}
+        self.others: dict[str, list[tuple[float, bytes, bool]]] = {}
 
     def encode(self, text: str) -> tuple[bytes, list[float]]:
         """(ids of the best segmentation as little-endian 32-bit integers, scores of the N best segmentations)."""
+        found = self.segmented(text)
+        return found[0][1] if found else b"", [score for score, _, _ in found]
+
+    def segmented(self, text: str) -> list[tuple[float, bytes, bool]]:
+        """The N best segmentations of the whole text, best first: score, ids, and whether they spell what the best one spells."""
         if not text:
-            return b"", []
+            return []
         if len(self.seats) > CACHED_UNITS:
             self.clear()
         units = self.units.findall(SPACE + text.replace(" ", SPACE))
@@ -171,35 +177,51 @@ class Encoder:
         at = np.array(seats)
         best = float(np.frombuffer(self.seats.score)[at].sum())
         gaps = np.frombuffer(self.seats.gap)[at]
-        return b"".join(map(self.seats.blobs.__getitem__, seats)), self._n_best(best, units, gaps)
+        whole = b"".join(map(self.seats.blobs.__getitem__, seats))
+        ends = np.frombuffer(self.seats.size, dtype=np.int64)[at].cumsum()
+        out = []
+        for score, changes in self._n_best(best, units, gaps):
+            parts, done, same = [], 0, True
+            for _, u, ids, spelled in sorted(changes, key=lambda c: c[1]):
+                parts += [whole[done:int(ends[u - 1]) if u else 0], ids]
+                done, same = int(ends[u]), same and spelled
+            out.append((score, b"".join([*parts, whole[done:]]), same))
+        return out
+
+    def _others(self, unit: str) -> list[tuple[float, bytes, bool]]:
+        """What the 2nd to N-th segmentations of a unit lose, their ids, and whether they spell the same."""
+        found = self.others.get(unit)
+        if found is None:
+            first, *others = islice(segmentations(unit, self.model), self.n_best)
+            spelled = self.model["spelled"]
+            spell = lambda ids: b"".join([spelled[i] for i in ids])
+            found = self.others[unit] = [(first[0] - s, struct.pack(f"<{len(ids)}I", *ids), spell(ids) == spell(first[1])) for s, ids in others]
+        return found
 
-    def _n_best(self, best: float, units: list[str], gaps: np.ndarray) -> list[float]:
-        """Scores of the N best segmentations of the whole text.
+    def _n_best(self, best: float, units: list[str], gaps: np.ndarray) -> list[tuple[float, list[tuple[float, int, bytes, bool]]]]:
+        """(score, changed units) of the N best segmentations of the whole text.
 
         A segmentation changes some units from their best; none of the N best holds a change that ranks after N - 1 others.
         """
         more = self.n_best - 1
         if more == 0:
-            return [best]
+            return [(best, [])]
         near = np.argsort(gaps, kind="stable")[:more] if len(gaps) <= more else np.argpartition(gaps, more - 1)[:more]
         changes = []
         for u in near.tolist():
             if np.isfinite(gaps[u]):
-                losses = self.losses.get(units[u])
-                if losses is None:
-                    first, *others = islice(segmentations(units[u], self.model), more + 1)
-                    losses = self.losses[units[u]] = [first[0] - s for s, _ in others]
-                changes += [(loss, u) for loss in losses]
+                changes += [(loss, u, ids, same) for loss, ids, same in self._others(units[u])]
         changes = nsmallest(more, changes)
-        heap = [(0.0, -1, frozenset())]
+        heap: list[tuple[float, int, tuple[int, ...]]] = [(0.0, -1, ())]
         heapify(heap)
-        out: list[float] = []
+        out = []
         while heap and len(out) <= more:
-            loss, last, used = heappop(heap)
-            out.append(best - loss)
+            loss, last, path = heappop(heap)
+            out.append((best - loss, [changes[i] for i in path]))
+            used = {changes[i][1] for i in path}
             for i in range(last + 1, len(changes)):
                 if changes[i][1] not in used:
-                    heappush(heap, (loss + changes[i][0], i, used | {changes[i][1]}))
+                    heappush(heap, (loss + changes[i][0], i, (*path, i)))
         return out
 
 
@@ -210,14 +232,21 @@ def decode(ids: bytes, model: dict) -> str:
     return joined.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _lists(blobs: list[bytes]) -> pa.ListArray:
+    """One list of ids per blob."""
+    ends = offsets(np.array([len(b) // 4 for b in blobs], dtype=np.int64)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32)))
+
+
 def encode_pieces(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", n_best: int = 4, with_ids: bool = True,
 ) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, score, n_best, round_trip[, ids]) per row of ``docs``.
+    """(doc_id, n_pieces, ids_crc32, score, n_best, n_best_pieces, n_best_crc32, round_trip[, ids, segmentations]) per row of ``docs``.
 
-    Encodes each whole text by the best segmentation over the piece lattice, gives the scores of the ``n_best`` best ones, decodes
-    the ids again and says whether that gave the text (a text that holds the escape character itself does not: it comes back as a space).
-    ``ids_crc32`` is over the ids as little-endian 32-bit integers.
+    Encodes each whole text by the best segmentation over the piece lattice (``ids``) and gives the ``n_best`` best ones, the best first
+    (``segmentations``), with the score, number of pieces and crc of each. ``round_trip`` says whether all of them decode to the
+    text (a text that holds the escape character itself does not: it comes back as a space): the best one is decoded, and the others
+    are checked to spell the same. Crcs are over the ids as little-endian 32-bit integers.
 
     Null and empty texts: no pieces, crc 0, score null, no n_best, and round_trip true for empty, null for null. Fewer segmentations
     than ``n_best`` give a shorter list. Repeated rows and ties give equal results. Other columns are not read. The vocabulary is
@@ -226,8 +255,8 @@ def encode_pieces(
     model = load_pieces(model_path)
     # the value stays with a Python worker, and so does the memo in it
     shared = docs.sparkSession.sparkContext.broadcast({"model": model, "memo": {}})
-    schema = "doc_id {}, n_pieces long, ids_crc32 long, score double, n_best array<double>, round_trip boolean".format(
-        docs.schema[id_col].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
+    schema = "doc_id {}, n_pieces long, ids_crc32 long, score double, n_best array<double>, n_best_pieces array<long>, n_best_crc32 array<long>, round_trip boolean".format(
+        docs.schema[id_col].dataType.simpleString()) + (", ids array<int>, segmentations array<array<int>>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value["model"], shared.value["memo"]
@@ -235,21 +264,22 @@ def encode_pieces(
         if encoder is None:
             encoder = memo[n_best] = Encoder(model, n_best)
         for part, texts in text_batches(batches, 1):
-            blobs, scores, same = [], [], []
+            blobs, found, same = [], [], []
             for text in texts:
                 plain = text.decode() if text else ""
-                ids, best = encoder.encode(plain)
-                blobs.append(ids)
-                scores.append(best)
-                same.append(None if text is None else decode(ids, model) == plain)
+                ranked = encoder.segmented(plain)
+                blobs.append(ranked[0][1] if ranked else b"")
+                found.append(ranked)
+                same.append(None if text is None else decode(blobs[-1], model) == plain and all(r[2] for r in ranked))
             columns = [part.column(0), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array([zlib.crc32(b) for b in blobs], pa.int64()),
-                       pa.array([s[0] if s else None for s in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())]
-            names = ["doc_id", "n_pieces", "ids_crc32", "score", "n_best", "round_trip"]
+                       pa.array([r[0][0] if r else None for r in found], pa.float64()), pa.array([[x[0] for x in r] for r in found], pa.list_(pa.float64())),
+                       pa.array([[len(x[1]) // 4 for x in r] for r in found], pa.list_(pa.int64())),
+                       pa.array([[zlib.crc32(x[1]) for x in r] for r in found], pa.list_(pa.int64())), pa.array(same, pa.bool_())]
+            names = ["doc_id", "n_pieces", "ids_crc32", "score", "n_best", "n_best_pieces", "n_best_crc32", "round_trip"]
             if with_ids:
-                ends = np.zeros(len(blobs) + 1, dtype=np.int32)
-                np.cumsum([len(b) // 4 for b in blobs], out=ends[1:])
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32))))
-                names.append("ids")
+                every = [x[1] for r in found for x in r]
+                columns += [_lists(blobs), pa.ListArray.from_arrays(pa.array(offsets(np.array([len(r) for r in found])).astype(np.int32)), _lists(every))]
+                names += ["ids", "segmentations"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, schema)

@@ -36,7 +36,7 @@ def op2_pigeonhole_decontam(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_piece_nbest(spark: SparkSession, folder: str) -> DataFrame:
-    """Best segmentation of every document over the piece lattice, with the scores of the four best."""
+    """The four best segmentations of every document over the piece lattice: score, number of pieces and crc of each."""
     docs = read_table(spark, folder, "documents")
     return encode_pieces(docs, public_tokenizer("piece_bpe_32k.model"), with_ids=False)
 

@@ -243,6 +243,22 @@ def test_encode_and_decode(docs, rows):
         assert r["round_trip"] in (True, None) and r["n_best"] == sorted(r["n_best"], reverse=True)
 
 
+def test_each_of_the_n_best_is_given_as_ids(spark, pieces):
+    texts = ["hello you", "a  b\n c", "thth the naïve ☃ 中", "the quick brown fox jumps over the lazy dog", " ", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in piece_lattice.encode_pieces(frame, public_tokenizers.path("piece_bpe_32k.model")).collect():
+        text, found = texts[r["doc_id"]], r["segmentations"]
+        blobs = [np.array(ids, dtype="<u4").tobytes() for ids in found]
+        assert len(set(blobs)) == len(found) == len(r["n_best"]) and (not text or found[0] == r["ids"])
+        assert not text or len(found) == 4 or text == " "
+        assert r["n_best_pieces"] == [len(ids) for ids in found] and r["n_best_crc32"] == [zlib.crc32(b) for b in blobs]
+        score_of = {i: pieces["scores"][p] for p, i in pieces["ids"].items()}
+        for ids, blob, score in zip(found, blobs, r["n_best"]):
+            assert piece_lattice.decode(blob, pieces) == text
+            if all(i in score_of for i in ids):
+                assert abs(sum(score_of[i] for i in ids) - score) < 1e-6
+
+
 # languages
 
 def test_language_models(spark):
