@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licences, linefreq
+from . import filter_audit, licences, linefreq, vafile
 from .bottomk import near_duplicates
 from .common import read_table
 from .decontam import contaminated
+from .disclosure import find_personal
+from .filter_audit import audit_filters
 from .langid import held_out, identify
 from .licences import licence_scan
 from .linefreq import drop_boilerplate
@@ -16,6 +18,7 @@ from .outliers import quality_outliers
 from .piece_lattice import encode_pieces
 from .repair import token_blocks
 from .slots import shard_by_slots
+from .vafile import cluster
 
 
 def public_tokenizer(name: str) -> str:
@@ -83,8 +86,25 @@ def op10_licence_digests(spark: SparkSession, folder: str) -> DataFrame:
     return licence_scan(read_table(spark, folder, "documents"))
 
 
+def op11_va_file_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster and exact distance of every embedding after three rounds."""
+    return cluster(read_table(spark, folder, "embeddings"))
+
+
+def op12_disclosure_control(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document, and the terms that give it away."""
+    return find_personal(read_table(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from each source in each of their 120 orders."""
+    return audit_filters(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES = {fn.__name__: fn for fn in (
     op1_repair_tokens, op2_pigeonhole_decontam, op3_piece_nbest, op4_bottomk_dedup, op5_kneser_ney_langid,
     op6_virtual_slots, op7_link_trust, op8_mcd_outliers, op9_site_boilerplate, op10_licence_digests,
+    op11_va_file_clusters, op12_disclosure_control, op13_filter_audit,
 )}
-ORACLES: dict[str, str] = {"op9_site_boilerplate": linefreq.ORACLE, "op10_licence_digests": licences.oracle()}
+ORACLES: dict[str, str] = {"op9_site_boilerplate": linefreq.ORACLE, "op10_licence_digests": licences.oracle(), "op11_va_file_clusters": vafile.oracle(),
+                           "op13_filter_audit": filter_audit.ORACLE}
