@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
@@ -17,8 +15,8 @@ DESIGN = (
 NODE_TYPES = (
     "job", "filter", "map", "eventDebezium", "queryMySQL", "writeMySQL", "kafkaSend", "kafkaReceive", "printLog",
 )
-# levels after which the visited nodes are put into one table
-LEVELS_PER_TABLE = 16
+# rows that doubled jumps may take, in those of edges and reached nodes
+GROWTH = 4
 NEEDS_SUCCESSOR = ("job", "queryMySQL", "kafkaReceive", "eventDebezium")
 
 
@@ -58,30 +56,39 @@ def successor_groups(edges: DataFrame) -> DataFrame:
     )
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """Nodes reached from each root with their smallest depth (the root itself is depth 0).
+def reachable(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Nodes reached from each root with their smallest depth (the root itself is depth 0), up to ``max_depth`` if given.
 
-    One frontier join per level; nodes already visited are dropped, so cycles end and every walk does, at whatever
-    depth. Levels are staged, which cuts the lineage; the roots come from the staged links too.
+    Path doubling: jumps of exactly ``length`` edges extend everything reached so far at once, then jumps are joined with themselves, so
+    a walk of any depth takes a logarithmic number of rounds. Cycles end: a round that reaches no new node is the last, as nodes of every depth below
+    what is covered are known. Jumps are only doubled where that makes no more than ``GROWTH`` times the rows of edges and
+    reached nodes (counted by node before the join); beyond, as behind a node with many edges in and out, the same jumps are taken again.
+    Each round's tables are staged, which cuts the lineage.
     """
     links = stage(edges.select("design", F.col("source").alias("node"), F.col("target").alias("next")).distinct(), "links")
     roots = graph_roots(links.select("design", F.col("node").alias("source"), F.col("next").alias("target")))
-    visited = frontier = stage(
-        roots.select("design", F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")), "reach"
-    )
-    for depth in count(1):
-        step = (
-            frontier.select("design", "root", "node").join(links, ["design", "node"])
-            .select("design", "root", F.col("next").alias("node")).distinct()
-            .join(visited.select("design", "root", "node"), ["design", "root", "node"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = stage(step, "reach")
-        if frontier.isEmpty():
-            return visited
-        visited = visited.unionByName(frontier)
-        if depth % LEVELS_PER_TABLE == 0:
-            visited = stage(visited, "reach")
+    visited = stage(roots.select("design", F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")), "reach")
+    jumps, length, covered, n_links, n_visited = links, 1, 1, links.count(), visited.count()
+    while max_depth is None or covered <= max_depth:
+        further = visited.join(jumps, ["design", "node"]).select(
+            "design", "root", F.col("next").alias("node"), (F.col("depth") + length).alias("depth"))
+        if max_depth is not None:
+            further = further.filter(F.col("depth") <= max_depth)
+        visited = stage(visited.unionByName(further).groupBy("design", "root", "node").agg(F.min("depth").alias("depth")), "reach")
+        before, n_visited = n_visited, visited.count()
+        covered += length
+        if n_visited == before:
+            break
+        ways = jumps.groupBy("design", F.col("next").alias("node")).agg(F.count("*").alias("i")).join(
+            jumps.groupBy("design", "node").agg(F.count("*").alias("o")), ["design", "node"])
+        joined = ways.agg(F.coalesce(F.sum(F.col("i") * F.col("o")), F.lit(0))).first()[0]
+        if joined <= GROWTH * (n_links + n_visited):
+            second = jumps.select("design", F.col("node").alias("next"), F.col("next").alias("_end"))
+            jumps = stage(jumps.join(second, ["design", "next"]).select("design", "node", F.col("_end").alias("next")).distinct(), "jumps")
+            length *= 2
+            if joined == 0:  # no walk is that long
+                break
+    return visited
 
 
 def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -34,6 +34,10 @@ FIXTURES: dict[str, str | dict[str, str]] = {
         FROM events""",
     # half of the changed keys exist
     "base_state": "SELECT c_custkey * 2 AS key, c_acctbal AS amount, c_mktsegment AS note FROM customer",
+    # whole numbers, whose sums have one value in any order
+    "counters": "SELECT key, cast(floor(amount) AS BIGINT) AS n, cast(floor(amount) AS BIGINT) AS peak, note AS first FROM base_state",
+    "counter_changes": """
+        SELECT seq, key, op, cast(floor(amount) AS BIGINT) AS n, cast(floor(amount) AS BIGINT) AS peak, note AS first FROM changes""",
     "envelopes": f"""
         SELECT event_id AS seq,
                CASE event_type WHEN 'signup' THEN 'p.shop.customer' WHEN 'view' THEN 'p.shop.orders'

@@ -128,6 +128,7 @@ QUERIES = {
     "h2_graph_roots": lambda t: graph_roots(_edges(t)),
     "h3_successor_groups": _successors,
     "h4_reachable": lambda t: reachable(_edges(t)),
+    "h4_reachable_depth": lambda t: reachable(_edges(t), 2),
     "h5_dead_ends": _dead_ends,
 }
 
@@ -251,6 +252,13 @@ ORACLES = {
             UNION
             SELECT w.design, w.root, e.target, w.depth + 1 FROM walk w JOIN edges e ON e.design = w.design AND e.source = w.node)
         SELECT design, root, node, min(depth) AS depth FROM walk GROUP BY design, root, node""",
+    "h4_reachable_depth": """
+        WITH RECURSIVE walk AS (
+            SELECT DISTINCT design, source AS root, source AS node, 0 AS depth FROM edges e
+            WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.design = e.design AND x.target = e.source)
+            UNION
+            SELECT w.design, w.root, e.target, w.depth + 1 FROM walk w JOIN edges e ON e.design = w.design AND e.source = w.node WHERE w.depth < 2)
+        SELECT design, root, node, min(depth) AS depth FROM walk GROUP BY design, root, node""",
     "h5_dead_ends": """
         SELECT design, id, type, 'NO_SUCCESSOR' AS problem FROM nodes n
         WHERE type IN ('job', 'queryMySQL', 'kafkaReceive', 'eventDebezium')

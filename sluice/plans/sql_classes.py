@@ -115,6 +115,16 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         busy AS (SELECT * FROM per_customer WHERE n >= 10)
         SELECT c_mktsegment, count(*) AS busy_customers, max(total) AS top_total
         FROM busy JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment""",
+    # each step takes the event whose number among the user's is twice that of the one before
+    "k8_recursive_cte": """
+        WITH RECURSIVE numbered AS (
+            SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+        walk AS (
+            SELECT user_id, event_id, rn, 0 AS step, event_id % 1009 AS code FROM numbered WHERE rn = 1
+            UNION ALL
+            SELECT n.user_id, n.event_id, n.rn, w.step + 1, (w.code * 31 + n.event_id) % 1009
+            FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.rn = w.rn * 2)
+        SELECT user_id, event_id, rn, step, code FROM walk""",
     "k8_in_subquery": """
         SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49 AND l_tax < 0.01)""",
     # functions

@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.align import align_content
+from ..operators.folds import Statement, read_modify_write
 from ..operators.upserts import apply_changes, custom_write, delete_rows, update_rows, upsert
 from ..session import staging_path
 from ..sinks import commit_version, fan_out, kafka_payload, read_current, with_retry, write_batch, write_table
@@ -45,6 +46,15 @@ TEMPLATES = {
 }
 
 
+# values that read the old row: an insert of a known key counts down, an update counts up
+COUNTING = {
+    "INSERT": Statement({"n": "old.n - ${n}"}, insert=True),
+    "UPDATE": {"n": "old.n + ${n}", "peak": "greatest(old.peak, ${Peak})", "first": "coalesce(old.first, ${first})"},
+}
+# each value depends on the one before it and on a condition over the old row
+CHAINED = {"UPDATE": Statement({"n": "(old.n * 3 + ${n}) % 1000003", "peak": "old.n"}, when="old.peak < ${peak}")}
+
+
 def _write_table(t: Inputs):
     path = staging_path(t.spark, "written")
     for batch_id in (0, 1, 1):  # the repeated batch replaces itself
@@ -161,6 +171,8 @@ QUERIES = {
     "c3_delete_rows": lambda t: delete_rows(t["base_state"], change_images(_of_kind(t, "DELETE")), KEYS, "before"),
     "c4_apply_changes": lambda t: apply_changes(t["base_state"], change_images(t["changes"]), KEYS),
     "c5_custom_write": lambda t: custom_write(t["base_state"], t["changes"], TEMPLATES, KEYS),
+    "c5_read_modify_write": lambda t: read_modify_write(t["counters"], t["counter_changes"], COUNTING, KEYS),
+    "c5_ordered_fold": lambda t: read_modify_write(t["counters"], t["counter_changes"], CHAINED, KEYS),
     "c6_write_table": _write_table,
     "c7_fan_out": _fan_out,
     "c8_kafka_send": lambda t: kafka_payload(t["events"].select("event_id", "user_id", "event_type", "value"), "events", "user_id"),
@@ -205,7 +217,29 @@ _SET = """
     (SELECT key, max(seq) AS last_seq, arg_max(op, seq) AS last_op, arg_max(amount, seq) AS last_amount
      FROM changes WHERE op IN ({ops}) GROUP BY key)"""
 
+# a row per key and change, each from the one before; {steps} gives n, peak, first and present after a change
+_REPLAYED = """
+    WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM counter_changes),
+    starts AS (
+        SELECT coalesce(t.key, c.key) AS key, t.n, t.peak, t.first, t.key IS NOT NULL AS present
+        FROM counters t FULL JOIN (SELECT DISTINCT key FROM counter_changes) c ON c.key = t.key),
+    walk AS (
+        SELECT key, cast(0 AS BIGINT) AS rn, n, peak, first, present FROM starts
+        UNION ALL
+        SELECT w.key, c.rn, {steps} FROM walk w JOIN numbered c ON c.key = w.key AND c.rn = w.rn + 1)
+    SELECT key, n, peak, first FROM walk WHERE present AND rn = (SELECT count(*) FROM counter_changes c WHERE c.key = walk.key)"""
+
 ORACLES = {
+    "c5_read_modify_write": _REPLAYED.format(steps="""
+        CASE WHEN c.op = 'INSERT' THEN CASE WHEN w.present THEN w.n - c.n ELSE c.n END WHEN c.op = 'UPDATE' THEN w.n + c.n ELSE w.n END,
+        CASE WHEN c.op = 'INSERT' AND NOT w.present THEN c.peak WHEN c.op = 'UPDATE' THEN greatest(w.peak, c.peak) ELSE w.peak END,
+        CASE WHEN c.op = 'INSERT' AND NOT w.present THEN c.first WHEN c.op = 'UPDATE' THEN coalesce(w.first, c.first) ELSE w.first END,
+        CASE c.op WHEN 'INSERT' THEN true WHEN 'DELETE' THEN false ELSE w.present END"""),
+    "c5_ordered_fold": _REPLAYED.format(steps="""
+        CASE WHEN c.op = 'INSERT' THEN c.n WHEN c.op = 'UPDATE' AND w.peak < c.peak THEN (w.n * 3 + c.n) % 1000003 ELSE w.n END,
+        CASE WHEN c.op = 'INSERT' THEN c.peak WHEN c.op = 'UPDATE' AND w.peak < c.peak THEN w.n ELSE w.peak END,
+        CASE WHEN c.op = 'INSERT' THEN c.first ELSE w.first END,
+        CASE c.op WHEN 'INSERT' THEN true WHEN 'DELETE' THEN false ELSE w.present END"""),
     "flagship": f"""
         WITH {_LAST.format(changes='changes')}
         SELECT coalesce(b.key, s.key) AS key,

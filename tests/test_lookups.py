@@ -180,8 +180,32 @@ def test_json_field_is_a_name(spark, rows):
     assert rows(json_values(df, "j", "a.b")) == [("too",), ("yes",)]
 
 
-def test_long_chains_are_walked_to_their_end(spark):
-    from sluice.operators.graph import reachable
-
-    chain = spark.range(25).selectExpr("1 design", "concat('n', id) source", "concat('n', id + 1) target", "0 ord")
-    assert reachable(chain).selectExpr("max(depth)").first()[0] == 25
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(g, "stage", lambda df, label, real=g.stage: rounds.append(label) or real(df, label))
+    chain = spark.range(2000).selectExpr("1 design", "concat('n', id) source", "concat('n', id + 1) target", "0 ord")
+    assert g.reachable(chain).selectExpr("max(depth)").first()[0] == 2000
+    assert rounds.count("reach") <= 14
+    assert g.reachable(chain, 37).selectExpr("max(depth)", "count(*)").first() == (37, 38)
+
+
+def test_reachable_equals_a_plain_walk(spark, rows):
+    import random
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        pairs = {(rng.randrange(2), rng.randrange(25), rng.randrange(25)) for _ in range(30 + 10 * seed)} | {(2, "r", "h")}
+        pairs |= {(2, f"in{i}", "h") for i in range(8)} | {(2, "h", f"out{i}") for i in range(8)} | {(2, f"out{i}", f"in{i}") for i in range(8)}
+        pairs |= {(3, f"c{i}", f"c{(i + 1) % 9}") for i in range(9)} | {(3, "start", "c4")}
+        wanted = []
+        for design in range(4):
+            own = [(s, t) for d, s, t in pairs if d == design]
+            for root in {s for s, _ in own} - {t for _, t in own}:
+                depth, front = {root: 0}, [root]
+                while front:
+                    front = [t for f in front for s, t in own if s == f and t not in depth and depth.setdefault(t, depth[f] + 1)]
+                wanted += [(design, str(root), str(n), d) for n, d in depth.items()]
+        frame = spark.createDataFrame([(d, str(s), str(t), 0) for d, s, t in pairs], "design int, source string, target string, order int")
+        assert sorted(rows(g.reachable(frame), "design", "root", "node", "depth")) == sorted(wanted)
+        assert sorted(rows(g.reachable(frame, 3), "design", "root", "node", "depth")) == sorted(w for w in wanted if w[3] <= 3)
+        assert rows(g.reachable(frame, 0)) == sorted({w for w in wanted if w[3] == 0}, key=lambda r: tuple(map(str, r)))
