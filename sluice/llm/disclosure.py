@@ -30,8 +30,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 # bits of the table that sifts words before they are emitted
 BITS = 1 << 20
-# words a task remembers the terms of
-KNOWN_WORDS = 200_000
+EDGE_BYTES, DIGITS = EDGE.encode(), frozenset(b"0123456789")
+# state of the checksum after "t:"
+T_CRC = zlib.crc32(b"t:")
 
 
 def luhn(digits: str) -> bool:
@@ -195,21 +196,18 @@ def disclosing_terms(docs: DataFrame, id_col: str, text_col: str, window: int, c
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits, dtype=np.uint64).astype("<u4")
         on = np.unpackbits(table.view(np.uint8), bitorder="little").tobytes()
-        passes = lambda key: on[zlib.crc32(key.encode("utf-8", "replace")) % BITS]
-        known: dict[bytes, tuple] = {}
+        shapes = [(s, on[zlib.crc32(b"s:" + s.encode()) % BITS]) for s in ("word", "number", "code")]
         for _, found in text_batches(batches, 0):
             digests, terms = [], []
             for value in found:
-                hits = set()
-                for word in set((value or b"").split()):
-                    keys = known.get(word)
-                    if keys is None:
-                        if len(known) >= KNOWN_WORDS:
-                            known.clear()
-                        term = term_of(word.decode("utf-8", "replace"))
-                        keys = known[word] = tuple(k for k in ("t:" + term[0], "s:" + shape(term[0])) if passes(k)) if term else ()
-                    if keys:
-                        hits.update(keys)
+                words = {w.strip(EDGE_BYTES) for w in (value or b"").split()}
+                # whole words in lower case as bytes; only those of other scripts are decoded
+                words = {w.lower() if w.isascii() else w.decode("utf-8", "replace").lower().encode() for w in words}
+                hits = [w for w in words if on[zlib.crc32(w, T_CRC) % BITS] and len(w.decode()) > 1]
+                hits = ["t:" + w.decode() for w in hits]
+                if any(wanted for _, wanted in shapes):
+                    forms = {shape(w.decode()) if any(c in DIGITS for c in w) else "word" for w in words if len(w) > 1}
+                    hits += ["s:" + s for s, wanted in shapes if wanted and s in forms]
                 if hits:
                     digests += [hashlib.sha256(value).digest()] * len(hits)
                     terms += hits
