@@ -28,11 +28,11 @@ def scratch_name(label: str) -> str:
     return f"__{label}_{uuid.uuid4().hex[:8]}"
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Each Arrow batch in pieces of about ``STEP_BYTES`` of text, with the texts as UTF-8 bytes (None for null)."""
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Each Arrow batch in pieces of about ``step`` bytes of text, with the texts as UTF-8 bytes (None for null)."""
     for batch in batches:
         sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
-        steps = np.cumsum(sizes) // STEP_BYTES
+        steps = np.cumsum(sizes) // step
         cuts = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             if hi > lo:

@@ -222,11 +222,56 @@ def test_best_two_is_the_start_of_the_search(pieces):
     rng = random.Random(6)
     for _ in range(400):
         unit = "▁" + "".join(rng.choice("theandr☃▁é1") for _ in range(rng.randint(1, 14)))
-        found = [s for s, _ in zip(piece_lattice.segmentations(unit, pieces), range(2))]
+        found = list(piece_lattice.segmentations(unit, pieces, 2))
         best, ids, second = piece_lattice.best_two(unit, pieces)
         assert (best, tuple(ids)) == found[0] and second == (found[1][0] if len(found) > 1 else float("-inf"))
 
 
+def test_units_segmented_together_are_as_each_alone(pieces):
+    rng = random.Random(8)
+    table = piece_lattice.PieceTable(pieces["ids"], pieces["scores"])
+    for size in (1, 2, 5, 9, 21, 40):
+        units = ["".join(rng.choice("▁theandrsoion é☃" if size % 2 else "aa▁bcdeth") for _ in range(size)) for _ in range(200)]
+        known, best, second, lengths, ids = piece_lattice.best_two_of_many(units, table, pieces["longest"])
+        cuts = np.cumsum(lengths).tolist()
+        for i, unit in enumerate(units):
+            assert known[i] == all(c in pieces["scores"] for c in unit)
+            if known[i]:
+                assert (best[i], ids[cuts[i] - lengths[i]:cuts[i]].tolist(), second[i]) == piece_lattice.best_two(unit, pieces)
+
+
+def test_the_search_pursues_what_all_paths_give(pieces):
+    rng = random.Random(12)
+    for _ in range(60):
+        unit = "▁" + "".join(rng.choice("thea☃") for _ in range(rng.randint(1, 9)))
+        found = list(piece_lattice.segmentations(unit, pieces, 6))
+        assert [round(s, 6) for s, _ in found] == [round(s, 6) for s in every_segmentation(unit, pieces)[:6]]
+        assert len({ids for _, ids in found}) == len(found)
+
+
+def test_long_units_are_cut_where_no_piece_crosses(pieces):
+    text = "".join(random.Random(4).choice(["the", "☃", "an", "中"]) for _ in range(900))
+    parts = piece_lattice.apart(text, pieces)
+    assert "".join(parts) == text and len(parts) > 100
+    whole, cut = piece_lattice.best_two(text, pieces), [piece_lattice.best_two(p, pieces) for p in parts]
+    assert whole[1] == [i for c in cut for i in c[1]] and abs(whole[0] - sum(c[0] for c in cut)) < 1e-6
+
+
+def test_a_text_without_a_space_takes_memory_in_proportion(pieces):
+    import tracemalloc
+
+    rng = random.Random(3)
+    peaks = []
+    for n in (20_000, 80_000):
+        text = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        tracemalloc.start()
+        ids, best = piece_lattice.Encoder(pieces, 4).encode(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(best) == 4 and piece_lattice.decode(ids, pieces) == text
+    assert peaks[1] < 6 * peaks[0] < 6 * 60_000_000
+
+
 def test_long_runs_do_not_blow_up(pieces):
     for text in ("a" * 20_000, " " * 20_000, "☃" * 5_000):
         ids, best = piece_lattice.Encoder(pieces, 4).encode(text)
