@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, near_rows, stage, text_batches
+from .common import arrow_map, near_rows, stage, text_batches, text_code
 from .components import components
 
 _MASK = (1 << 64) - 1
@@ -56,11 +56,11 @@ def least_shared(k: int, num: int, den: int, miss: float = 1e-9) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(doc, n, digest, sketch) per row: set size, 128-bit digest of the whole set, its k smallest hashes."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    """(doc, code, n, digest, sketch) per row: hash of the text, set size, 128-bit digest of the whole set, its k smallest hashes."""
+    schema = pa.schema([("doc", pa.int64()), ("code", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_batches(batches, 1):
+        for part, texts in text_batches(batches, 2):
             sizes, digests, kept = [], [], []
             for text in texts:
                 values = shingle_set(text, width)
@@ -70,10 +70,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
             ends = np.zeros(len(kept) + 1, dtype=np.int32)
             np.cumsum([len(v) for v in kept], out=ends[1:])
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run,
-                     "doc long, n long, digest binary, sketch array<long>")
+    return arrow_map(docs.select(F.col(id_col).cast("long"), text_code(text_col), F.col(text_col).cast("string")), run,
+                     "doc long, code long, n long, digest binary, sketch array<long>")
 
 
 def _matrix(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Classes of documents whose word-shingle sets have ``den * |A and B| >= num * |A or B|``, closed over links.
 
-    Returns one row per input row: (doc_id, n_shingles, component_id, kept). Other columns, whatever their names, are not read.
+    Returns one row per input row: (doc_id, n_shingles, component_id, kept, text_code, group). ``text_code`` is the hash that tells texts of
+    one id apart, ``group`` a number of the row's class of links, null without words. Other columns, whatever their names, are not read.
 
     Method: one hash function; each set keeps its k smallest hashes. Equal sets become one class first, so copies never multiply.
     Inverted lists of the retained values generate pairs of classes: values are ranked from rare to frequent and only as many of
@@ -147,13 +148,16 @@ def near_duplicates(
     bound that a linked pair misses with a chance of 1e-9; texts of the survivors are compared in full.
 
     Null or wordless texts: n_shingles 0, component of their own. Rows with a null id are a class member but never its
-    name; without any other member component_id is null and kept false. Repeated rows of one id share their class and are all kept
-    or all dropped. An empty table gives no rows.
+    name; without any other member component_id is null and kept false. Repeated rows of one id and text share their class and are all kept
+    or all dropped. Rows of one id with different texts are documents of their own: each is in the class of its text, and classes
+    that are not linked may have the same smallest id (``group`` differs). An empty table gives no rows.
     """
     spark = docs.sparkSession
     base = stage(sketches(docs, id_col, text_col, width, k), "sketches")
+    # a class has a number of its own, as its smallest id may also be that of another text
     classes = stage(base.where("digest IS NOT NULL AND doc IS NOT NULL").groupBy("digest").agg(
-        F.min("doc").alias("rep"), F.min_by("n", "doc").alias("n"), F.min_by("sketch", "doc").alias("sketch")), "classes")
+        F.min("doc").alias("doc"), F.min_by("code", "doc").alias("code"), F.min_by("n", "doc").alias("n"), F.min_by("sketch", "doc").alias("sketch"))
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
     lists = stage(_prefix_lists(classes, k, num, den), "lists")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -165,7 +169,7 @@ def near_duplicates(
                  .where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"))
         likely = stage(arrow_map(pairs.select("a", "b", "s_a", "s_b"), estimate_filter(k, num, den), "a long, b long"), "likely")
         named = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        texts = stage(_texts_of(docs, id_col, text_col, stage(named, "named")), "texts")
+        texts = stage(_texts_of(docs, id_col, text_col, _named(classes, named)), "texts")
         full = (likely.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("t_a")), "a")
                 .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("t_b")), "b"))
         return arrow_map(full.select("a", "b", "t_a", "t_b"), exact_filter(width, num, den), "a long, b long")
@@ -185,36 +189,45 @@ def near_duplicates(
     right = short.select("value", F.col("rep").alias("b"), F.col("label").alias("l_b"), F.col("n").alias("n_b"))
     rest = left.join(right, "value").where(
         f"a < b AND l_a <> l_b AND {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b").distinct()
-    long_links = _compare_blocks(docs, id_col, text_col, open_lists.where(F.col("members") > SHORT_LIST), width, num, den)
+    long_links = _compare_blocks(docs, id_col, text_col, classes, open_lists.where(F.col("members") > SHORT_LIST), width, num, den)
     rest = stage(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     more = stage(linked(rest).union(long_links), "links")
     if not more.isEmpty():
         labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "labels")
 
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", F.coalesce("label", "rep").alias("component"))
-    out = base.select("doc", "n", "digest").join(named, "digest", "left")
+    # min_by of one id's several texts in a class may differ from run to run, and so may which of them stands for the class; links do not
+    linked_classes = classes.select("digest", "doc", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "group", F.coalesce("label", "rep"))
+    linked_classes = stage(linked_classes.select("digest", "doc", "group"), "grouped")
+    smallest = linked_classes.groupBy("group").agg(F.min("doc").alias("component"))
+    out = base.select("doc", "code", "n", "digest").join(linked_classes.join(smallest, "group").select("digest", "group", "component"), "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component"))
     return out.select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
+        F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"), F.col("code").alias("text_code"), "group")
+
+
+def _named(classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, doc, code): the document whose text stands for each of the given classes."""
+    return stage(near_rows(classes.select("rep", "doc", "code"), "rep", reps, "rep").join(reps, "rep"), "named")
 
 
 def _texts_of(docs: DataFrame, id_col: str, text_col: str, named: DataFrame) -> DataFrame:
-    """(rep, text) of the named documents; with a repeated id the least text."""
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    return near_rows(texts, "rep", named, "rep").join(named, "rep").groupBy("rep").agg(F.min("text").alias("text"))
+    """(rep, text) of the named documents."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    found = near_rows(texts, "doc", named, "doc").withColumn("code", text_code("text"))
+    return found.join(named, ["doc", "code"]).groupBy("rep").agg(F.min("text").alias("text"))
 
 
 def _compare_blocks(
-    docs: DataFrame, id_col: str, text_col: str, members: DataFrame, width: int, num: int, den: int,
+    docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, members: DataFrame, width: int, num: int, den: int,
 ) -> DataFrame:
     """(a, b): links inside long lists, by full sets, without a row per pair.
 
     A list is dealt into blocks of about ``BLOCK`` members, and each pair of blocks is one bounded task that counts all
     its intersections by matrix products. Of what is linked a task returns the ties of each member to the smallest it reaches.
     """
-    texts = _texts_of(docs, id_col, text_col, stage(members.select("rep").distinct(), "named"))
+    texts = _texts_of(docs, id_col, text_col, _named(classes, members.select("rep").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in text_batches(batches, 1):

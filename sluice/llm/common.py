@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import stage, staging_path
 
-__all__ = ["ROW_ID", "arrow_map", "near_rows", "offsets", "read_table", "scratch_name", "stage", "staging_path", "text_batches"]
+__all__ = ["ROW_ID", "arrow_map", "near_rows", "offsets", "read_table", "scratch_name", "stage", "staging_path", "text_batches", "text_code"]
 
 ROW_ID = "__row"
 # texts handed to one step of a Python task: a batch is cut so that working arrays stay small
@@ -40,15 +40,48 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int, step: int = STE
                 yield part, part.column(column).cast(pa.binary()).to_pylist()
 
 
+# Arrow settings that bound what a task holds of long texts: rows and bytes of a batch. A session that sets its own keeps them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of long texts are kept small in this session, unless it has settings of its own (Spark's default is 10,000 rows of any length)."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) in _UNSET[key]:
+            spark.conf.set(key, value)
+
+
+_UNSET = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000",), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "67108864", "67108864b", "64MB", "64m", "-1", "0")}
+
+
+def give_back() -> None:
+    """Workers live on after a task: what it held of Arrow and of the C library's heap goes back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` over the columns of ``df``; a task gives its Arrow memory back when it ends, as workers live on."""
+    """``mapInArrow`` over the columns of ``df`` in small batches; a task gives its memory back when it ends, as workers live on."""
+    bound_batches(df.sparkSession)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(task, schema)
 
 
+def text_code(column: str | Column) -> Column:
+    """64-bit hash of a text (null: of the empty one), which tells apart texts under one id."""
+    return F.xxhash64(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("")))
+
+
 def offsets(lengths: np.ndarray) -> np.ndarray:
     """Start of each run in the concatenation of runs of the given lengths, and the end of the last."""
     out = np.zeros(len(lengths) + 1, dtype=np.int64)

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,30 @@ def test_stages(spark, folder):
     assert kept["decontaminate"] == kept["encode"] == clean
 
 
+def test_no_unique_text_is_lost_under_a_shared_id(spark):
+    rng = random.Random(3)
+    syllables = ["ba", "no", "ti", "re", "lu"]
+    a, b, c = (words(rng, syllables, 60) for _ in range(3))
+    near_c = c.replace(c.split()[30], "other", 1)
+    rows = [(3, b), (5, a), (5, b), (6, None), (6, ""), (6, "  "), (5, c), (5, near_c), (8, near_c), (None, a), (None, words(rng, syllables, 40)), (5, a)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    one_of = [k for k in kept if k in ((5, c), (5, near_c))]
+    assert len(one_of) == 1 and kept.pop(one_of[0]) == 1
+    assert kept == Counter([(3, b), (5, a), (6, None), (6, ""), (6, "  "), rows[10]])
+
+
+def test_a_rejected_text_takes_no_other_text_of_its_id_along(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.limit(1).select(F.lit(7).cast("long").alias("doc_id"), F.lit("12 34 ##").alias("text"), F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    out = corpus_pipeline.language_id(spark, docs.unionByName(odd), folder).where("doc_id = 7").collect()
+    assert len(out) == 1 and out[0].text != "12 34 ##"
+    passage = spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id = 1").first().text
+    odd = odd.withColumn("text", F.lit(passage))
+    out = corpus_pipeline.decontaminate(spark, docs.unionByName(odd), folder).where("doc_id = 7").collect()
+    assert len(out) == 1 and out[0].text != passage
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == [*range(60)]

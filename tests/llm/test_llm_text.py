@@ -96,6 +96,21 @@ def test_near_duplicates(docs, rows, num):
             assert r["component_id"] == want[0][1] and not r["kept"]
 
 
+def test_two_texts_under_one_id_are_two_documents(spark):
+    rng = random.Random(2)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near_a = a.replace(a.split()[30], "other", 1)
+    rows = [(3, b), (5, a), (5, b), (9, near_a), (5, c), (7, c + " x"), (None, a), (5, a), (5, ""), (None, None)]
+    out = bottomk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    codes = {t: spark.createDataFrame([(t,)], "t string").select(bottomk.text_code("t")).first()[0] for t in {t or "" for _, t in rows}}
+    got = Counter((r.doc_id, r.text_code, r.component_id, r.kept) for r in out.collect())
+    assert got == Counter([
+        (3, codes[b], 3, True), (5, codes[a], 5, True), (5, codes[b], 3, False), (9, codes[near_a], 5, False), (5, codes[c], 5, True),
+        (7, codes[c + " x"], 5, False), (None, codes[a], 5, False), (5, codes[a], 5, True), (5, codes[""], 5, True), (None, codes[""], None, False)])
+    groups = {(r.doc_id, r.text_code): r.group for r in out.collect()}
+    assert groups[5, codes[a]] == groups[9, codes[near_a]] != groups[5, codes[c]] == groups[7, codes[c + " x"]]
+
+
 def test_near_duplicates_in_long_lists(spark, monkeypatch):
     """Many near copies around the bound: the blockwise comparison finds the links of the plain loop."""
     rng = random.Random(3)
