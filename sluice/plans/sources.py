@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..session import staging_path
 from ..sources import (
-    assign_pages, deep_page_query, include_tables, page_query, parse_change_events, read_shards, read_stream_query, scroll_pages,
-    scroll_query, shard_route, snapshot_then_changes, sql_query, write_shards,
+    assign_pages, deep_page_query, include_tables, page_query, parse_change_events, publish, read_shards, read_stream_query, scroll_pages,
+    scroll_query, shard_route, snapshot_then_changes, sql_query, topic_receive, write_shards,
 )
 from .fixtures import Inputs
 
@@ -56,6 +56,22 @@ def _snapshot_then_changes(t: Inputs):
     return joined.select("seq", "op", F.col("after.key").alias("key"), F.col("after.amount").alias("amount"))
 
 
+def _kafka_receive(t: Inputs):
+    """Events published to a topic in two writes and received by a listener that is stopped and started again after every batch."""
+    folder, seen, progress = (staging_path(t.spark, label) for label in ("topic", "received", "progress"))
+    events = t["events"]
+    half = events.count() // 2
+    for part in (F.col("event_id") < half, F.col("event_id") >= half):
+        publish(events.where(part), folder, "events", "event_type", "props", ["event_id"], F.col("event_id") % 3, timestamp="ts")
+    while True:
+        feed = topic_receive(t.spark, folder, "error", max_batch=half // 2 + 1, topic="events", group="errors", starting="earliest")
+        query = feed.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(seen)
+        query.awaitTermination()
+        if not any(p["numInputRows"] for p in query.recentProgress):
+            break
+    return t.spark.read.schema(feed.schema).parquet(seen).select("key", "value", "topic", "partition", "offset")
+
+
 def _shard_route(t: Inputs):
     keyed = t["events"].select("event_id", F.concat_ws("-", "event_type", "event_id").alias("id"))
     return shard_route(keyed, "id", 10, "idempotent_")
@@ -84,6 +100,7 @@ QUERIES = {
     "a6_parse_change_events": _parse_change_events,
     "a7_snapshot_then_changes": _snapshot_then_changes,
     "a8_include_tables": _include_tables,
+    "a9_kafka_receive": _kafka_receive,
     "a10_shard_route": _shard_route,
     "a11_read_shards": _read_shards,
 }
@@ -136,6 +153,12 @@ ORACLES = {
     "a8_include_tables": _PARSED.format(
         schema="'shop'", table="'customer'", more="event_type IN ('signup', 'error')",
     ),
+    "a9_kafka_receive": """
+        SELECT * FROM (
+            SELECT event_type AS key, props AS value, 'events' AS topic, cast(event_id % 3 AS INTEGER) AS partition,
+                   row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) - 1 AS "offset"
+            FROM events)
+        WHERE key = 'error'""",
     "a10_shard_route": f"""
         SELECT event_id, id, {_SHARD.format('id', 10)} AS shard,
                'idempotent_' || cast({_SHARD.format('id', 10)} AS STRING) AS shard_table

@@ -4,9 +4,10 @@ from .tables import (
     kafka_options, kafka_receive, load_tables, open_source, read_shards, read_stream_query, register_views,
     shard_route, sql_query, write_shards,
 )
+from .topics import publish, topic_receive
 
 __all__ = [
     "assign_pages", "include_tables", "kafka_options", "kafka_receive", "load_tables", "open_source",
-    "page_query", "parse_change_events", "read_shards", "read_stream_query", "register_views", "scroll_pages",
-    "scroll_query", "shard_route", "snapshot_then_changes", "sql_query", "write_shards",
+    "page_query", "parse_change_events", "publish", "read_shards", "read_stream_query", "register_views", "scroll_pages",
+    "scroll_query", "shard_route", "snapshot_then_changes", "sql_query", "topic_receive", "write_shards",
 ]
