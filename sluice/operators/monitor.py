@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import average_cost, java_hash, number_rows, percent, render_template
+from ..session import stage
 from .templates import dynamic_where
 
 STATUSES = {"success": "SUCCESS", "failed": "FAILED", "silent": "SILENT"}
@@ -182,28 +184,61 @@ def render(alarms: DataFrame, template: str = "template_content", params: str =
     return with_built_ins(alarms, params).withColumn(out, render_template(F.col(template), F.col(params)))
 
 
-def _silence_hits(text: Column, rules: Column, at: Column) -> Column:
-    """Up to five distinct keywords of unexpired rules that occur in the text, sorted."""
-    valid = F.filter(rules, lambda r: r["expire"].isNull() | (r["expire"] >= at))
-    keywords = F.array_distinct(F.flatten(F.transform(valid, lambda r: r["keywords"])))
-    return F.slice(F.array_sort(F.filter(keywords, lambda k: F.contains(text, k))), 1, 5)
+# characters of the piece by which a keyword is looked up, hits kept per alarm, and buckets of the sieve that texts pass first
+GRAM, HITS, BUCKETS = 5, 5, 1 << 20
 
 
-def _rules_per_robot(rules: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """All rules of a robot as one array: they are part of the robot's configuration record."""
-    return rules.groupBy(*scope, "robot").agg(F.collect_list(F.struct("keywords", "expire")).alias("_rules"))
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct runs of ``size`` characters; of size 0 the empty one."""
+    starts = F.when(size == 0, F.array(F.lit(1))).when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
+def keyword_hits(alarms: DataFrame, rules: DataFrame, scope: Sequence[str] = ("workspace",), out: str = "hits") -> DataFrame:
+    """Alarms with the sorted first five distinct keywords of their robot's unexpired rules that occur in the text (none: empty).
+
+    A join by pieces: each keyword is looked up by the rarest run of up to ``GRAM`` characters in it, texts give each run of theirs once, and candidates are then
+    compared in full. So a text is read once whatever the number of keywords, rules ride on no alarm, and a hot robot spreads over
+    its keywords' pieces. Runs whose hash no keyword has (a broadcast set of ``BUCKETS`` integers at most) end in the scan. Equal texts of one robot and
+    time are one text (told apart by their sha256). A null text holds nothing, an empty keyword is in every text.
+    """
+    robot = [*scope, "robot"]
+    keywords = rules.select(*robot, F.explode("keywords").alias("_keyword"), "expire").where("_keyword IS NOT NULL").groupBy(*robot, "_keyword").agg(
+        F.bool_or(F.col("expire").isNull()).alias("_always"), F.max("expire").alias("_until")).withColumn("_size", F.least(F.length("_keyword"), F.lit(GRAM)))
+    pieces = keywords.withColumn("_gram", F.explode(_grams(F.col("_keyword"), F.col("_size"))))
+    shared = pieces.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = pieces.join(shared, "_gram").groupBy(*robot, "_keyword").agg(
+        F.min_by("_gram", F.struct("_n", F.xxhash64("_gram"))).alias("_gram"), F.first("_always").alias("_always"), F.first("_until").alias("_until"), F.first("_size").alias("_size"))
+    rarest = stage(rarest, "keywords")
+    key = F.sha2(F.col("text").cast("binary"), 256)
+    texts = alarms.where("text IS NOT NULL").select(*robot, key.alias("_key"), "alarm_time", "text")
+    sizes = rarest.groupBy(*robot).agg(F.collect_set("_size").alias("_sizes"))  # a row per robot, six sizes at most
+    runs = texts.join(sizes, robot).select(*robot, "_key", "alarm_time", "text", F.explode("_sizes").alias("_size"))
+    runs = runs.select(*robot, "_key", "alarm_time", F.explode(_grams(F.col("text"), F.col("_size"))).alias("_gram"))
+    found = _sifted(runs, "_gram", rarest).join(rarest, [*robot, "_gram"]).where(F.col("_always") | (F.col("_until") >= F.col("alarm_time")))
+    found = stage(found.select(*robot, "_key", F.col("alarm_time").alias("_at"), "_keyword").distinct(), "candidates")
+    same_time = F.col("alarm_time").eqNullSafe(F.col("_at"))  # an alarm without a time meets rules without an end only
+    checked = _sifted(texts, "_key", found).join(found, [*robot, "_key"]).where(same_time & F.contains("text", "_keyword"))
+    hits = checked.groupBy(*[F.col(c).alias(f"_h_{c}") for c in (*robot, "_key", "_at")]).agg(
+        F.slice(F.array_sort(F.collect_set("_keyword")), 1, HITS).alias(out))
+    same = [F.col(c) == F.col(f"_h_{c}") for c in (*robot, "_key")] + [F.col("alarm_time").eqNullSafe(F.col("_h__at"))]
+    joined = alarms.withColumn("_key", key).join(hits, reduce(lambda x, y: x & y, same), "left")
+    return joined.select(*alarms.columns, F.coalesce(out, F.array().cast("array<string>")).alias(out))
+
+
+def _sifted(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose value hashes to a bucket of a wanted one; ends the others in the scan, by a broadcast of ``BUCKETS`` integers at most."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    return df.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket")
 
 
 def silence(alarms: DataFrame, rules: DataFrame, scope: Sequence[str] = ("workspace",)) -> DataFrame:
     """Alarms with ``silent`` and the keywords found.
 
     Alarms: ``workspace, robot, text, alarm_time``; rules: ``workspace, robot, keywords, expire`` (null never expires).
-    A robot's code is known within its ``scope`` only.
-    Keywords are tested inside the row, so an alarm is never multiplied by its rules.
+    A robot's code is known within its ``scope`` only. Keywords are looked up as in :func:`keyword_hits`.
     """
-    joined = alarms.join(_rules_per_robot(rules, scope), [*scope, "robot"], "left").select(*alarms.columns, "_rules")
-    hits = F.coalesce(_silence_hits(F.col("text"), F.col("_rules"), F.col("alarm_time")), F.array().cast("array<string>"))
-    return joined.withColumn("hits", hits).withColumn("silent", F.size("hits") > 0).drop("_rules")
+    return keyword_hits(alarms, rules, scope).withColumn("silent", F.size("hits") > 0)
 
 
 def deliver(
@@ -247,17 +282,12 @@ def alarm_outcome(
     """
     active = robots.filter((F.col("status") == "ENABLE") & (F.col("record_log") == "ENABLE")).select(*scope, "robot")
     known = templates.select(*scope, "template", "template_content", F.col("status").alias("_template_status"), F.lit(True).alias("_known"))
-    joined = (
-        alarms.join(active, [*scope, "robot"]).join(known, [*scope, "template"], "left")
-        .join(_rules_per_robot(rules, scope), [*scope, "robot"], "left")
-    )
-    rendered = render(joined)
-    hits = F.coalesce(_silence_hits(F.col("text"), F.col("_rules"), F.col("alarm_time")), F.array().cast("array<string>"))
+    rendered = render(alarms.join(active, [*scope, "robot"]).join(known, [*scope, "template"], "left"))
     problem = F.when(F.col("_known").isNull(), TEMPLATE_MISSING).when(F.col("_template_status") != "ENABLE", TEMPLATE_OFF)
     silent = F.size("_hits") > 0
     reason = F.coalesce("_problem", F.when(silent, F.to_json("_hits")))
     return (
-        rendered.withColumns({"_hits": hits, "_problem": problem})
+        keyword_hits(rendered, rules, scope, "_hits").withColumn("_problem", problem)
         .withColumn("status", F.when(F.col("_problem").isNotNull(), "FAILED").when(silent, "SILENT").otherwise("SUCCESS"))
         .withColumn("reason", F.when(
             F.length(reason) > REASON_LENGTH, F.concat(F.left(reason, F.lit(REASON_LENGTH)), F.lit("..."))

@@ -1,5 +1,7 @@
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from sluice.operators import monitor as m
 
 T0 = datetime(2024, 1, 1, 10, 0, 0)
@@ -54,6 +56,39 @@ def test_silence(spark, rows):
     assert got == {1: (True, ["a", "b", "c", "d", "disk"]), 2: (False, []), 3: (False, [])}
 
 
+def test_hits_of_many_keywords_equal_a_plain_search(spark):
+    import random
+
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    later, earlier = datetime(2024, 1, 9), datetime(2024, 1, 1)
+    rules = [(rng.choice("xy"), rng.choice(["r1", "r2"]), [text(rng.randint(1, 9)) for _ in range(rng.randint(0, 6))], rng.choice([None, T0, later, earlier])) for _ in range(300)]
+    rules += [("x", "r3", ["", None, "zz"], None), (None, "r1", ["a"], None), ("y", "r1", None, None), ("x", "r2", ["same"], earlier), ("x", "r2", ["same"], later)]
+    alarms = [(i, rng.choice("xy"), rng.choice(["r1", "r2", "r2", "gone"]), text(rng.randint(0, 60)) + rng.choice(["", "same"]), rng.choice([T0, None])) for i in range(200)]
+    alarms += [(900, "x", "r3", "any", T0), (901, "x", "r3", "", T0), (902, "x", "r3", None, T0), (903, None, "r1", "a", T0), (904, "x", "r2", "l" * 50_000 + "same", T0), alarms[3]]
+    got = m.silence(spark.createDataFrame(alarms, "id int, workspace string, robot string, text string, alarm_time timestamp_ntz").repartition(4),
+                    spark.createDataFrame(rules, "workspace string, robot string, keywords array<string>, expire timestamp_ntz"))
+    wanted = []
+    for i, workspace, robot, said, at in alarms:
+        words = {k for w, r, found, until in rules if workspace is not None and (w, r) == (workspace, robot) and (until is None or (at is not None and until >= at)) for k in found or () if k is not None}
+        hits = sorted(k for k in words if said is not None and k in said)[:5]
+        wanted.append((i, hits, bool(hits)))
+    assert sorted((r.id, r.hits, r.silent) for r in got.collect()) == sorted(wanted)
+
+
+def test_rules_ride_on_no_alarm(spark, plan):
+    """100,000 keywords of one robot and a hot robot's alarms: texts meet keywords by rare pieces only."""
+    words = spark.range(100_000).select(F.concat(F.lit("word"), F.lpad(F.hex(F.xxhash64("id")), 16, "0")).alias("w"))
+    rules = words.select(F.lit("x").alias("workspace"), F.lit("r").alias("robot"), F.array("w").alias("keywords"), F.lit(None).cast("timestamp_ntz").alias("expire"))
+    some = words.limit(40).select(F.collect_list("w")).first()[0]
+    alarms = spark.range(400).select("id", F.lit("x").alias("workspace"), F.lit("r").alias("robot"), F.lit(T0).cast("timestamp_ntz").alias("alarm_time"),
+                                     F.concat(F.lit("text about "), F.get(F.array(*map(F.lit, some)), (F.col("id") % 80).cast("int")), F.lit(" here")).alias("said"))
+    alarms = alarms.withColumn("text", F.coalesce("said", F.lit("nothing of the kind"))).drop("said")
+    out = m.silence(alarms, rules)
+    assert out.where("silent").count() == 200 and out.where("size(hits) = 1").count() == 200
+    assert "collect_list" not in plan(out)
+
+
 def test_deliver(spark, rows):
     robots = spark.createDataFrame([("b", "BROADCAST", ["x", "y"]), ("p", "POLLING", ["x", "y", "z"]), ("r", "RANDOM", ["x", "y"])], "robot string, mode string, receives array<string>")
     alarms = spark.createDataFrame([(i, k) for k in "bpr" for i in range(4)] + [(1, "gone")], "alarm_id int, robot string")
