@@ -7,11 +7,9 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -19,21 +17,23 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import arrow_map, offsets, staging_path, text_batches
 
 MAGIC = b"RPR1"
-# the word pattern of the byte-level vocabularies; two regular-expression engines read it alike on the characters below
-WORDS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ɏ]*")
-# white space beside a space
+# white space beside a space, and white space other than line ends and tabs: texts with these go to the library whole
 BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
-# distinct words a worker remembers, buckets of the pair counter, pairs replaced in one round
-CACHED_WORDS, BUCKETS, ROUND_PAIRS = 400_000, 1 << 20, 8192
+RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+# punctuation that is a word of its own after a letter or digit
+CLOSING = frozenset(",.;:!?")
+# distinct chunks a worker remembers, chunks given to the library in one text, buckets of the pair counter, pairs replaced in one round
+CACHED_CHUNKS, JOINED, BUCKETS, ROUND_PAIRS = 400_000, 64, 1 << 20, 8192
+# times a pair is replaced at least: blocks of given texts were smallest at 4 to 6 (rarer rules take more than they save)
+LEAST = 6
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, remembering words and what stands between single spaces.
+    """Ids of whole texts by the tokenizers library, remembering the chunks between single spaces.
 
     Byte-level BPE never merges across the words of its pattern, and a single space between other characters always begins a
-    word, so a text's ids are those of its chunks. Texts with other characters, with further spaces or line ends beside a space, or with the
-    text of a special token go to the library as they are.
+    word, so a text's ids are those of its chunks, and chunks one after another are encoded as a text is. Which ids are a chunk's follows from the
+    bytes that each id stands for. Texts with further white space beside a space, rare white space, or the text of a special token go to the library whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -41,92 +41,80 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.specials = [t["content"] for t in json.loads(tokenizer_json)["added_tokens"]]
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        # the byte-level alphabet has a character for each byte
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.closing = {c: self._whole(c) for c in CLOSING}
+        # ids of a chunk that a space precedes, without the space in the key
+        self.chunks: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        if len(self.chunks) > CACHED_WORDS:
+        if len(self.chunks) > CACHED_CHUNKS:
             self.chunks = {}
         split = [self._chunks(text) for text in texts]
-        fresh: dict[str, list[str]] = {}
-        for chunks in split:
-            for chunk in set(chunks).difference(self.chunks) if chunks else ():
-                if chunk not in fresh:
-                    fresh[chunk] = self._words(chunk)
-        self._learn(list(set(chain.from_iterable(fresh.values())).difference(self.words)))
-        get = self.words.__getitem__
-        for chunk, found in fresh.items():
-            self.chunks[chunk] = b"".join(map(get, found)) if found else None
+        fresh = set().union(*[chunks[1:] for chunks in split if chunks]).difference(self.chunks)
+        closed = [c for c in fresh if c[-1] in CLOSING and len(c) > 1 and c[-2].isalnum()]
+        self._learn(list(fresh.difference(closed).union([c[:-1] for c in closed]).difference(self.chunks)))
+        for c in closed:
+            self.chunks[c] = self.chunks[c[:-1]] + self.closing[c[-1]]
+        get = self.chunks.__getitem__
+        firsts = iter(self.tokenizer.encode_batch_fast([chunks[0] for chunks in split if chunks], add_special_tokens=False))
         out = []
         for text, chunks in zip(texts, split):
-            known = list(map(self.chunks.__getitem__, chunks)) if chunks else [None]
-            if None in known:
-                known = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
-            out.append(b"".join(known))
+            if chunks:
+                out.append(np.array(next(firsts).ids, dtype="<u4").tobytes() + b"".join(map(get, chunks[1:])))
+            else:
+                out.append(self._whole(text))
         return out
 
-    @staticmethod
-    def _words(chunk: str) -> list[str]:
-        """Words of a chunk, none if it has characters that are left to the library."""
-        if not PLAIN.fullmatch(chunk):
-            return []
-        bare = chunk[chunk[0] == " ":]
-        if bare.isalpha():
-            return [chunk]
-        if bare[-1] in ",.;:!?" and bare[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return WORDS.findall(chunk)
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words. Words of letters are encoded many at a time: a space, or a line end between them, keeps them apart."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        bare = [w for w in words if w.isalpha()]
-        for group, joint in ((spaced, ""), (bare, "\n")):
-            step = 1 + len(joint)
-            for lo in range(0, len(group), 512):
-                part = group[lo:lo + 512]
-                encoding = self.tokenizer.encode(joint.join(part), add_special_tokens=False)
-                found: list[list[int]] = [[] for _ in range(step * len(part))]
-                seats = encoding.word_ids
-                if seats and seats[-1] == step * (len(part) - 1):
-                    for seat, i in zip(seats, encoding.ids):
-                        found[seat].append(i)
-                    for word, ids in zip(part, found[::step]):
-                        self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
-        rest = [w for w in words if w not in self.words]
-        for word, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[word] = struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks, many in one text; where the bytes of ids and chunks do not meet, the chunk goes alone."""
+        groups = [chunks[lo:lo + JOINED] for lo in range(0, len(chunks), JOINED)]
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoding.ids, dtype="<u4")
+            reached = np.cumsum(self.width[ids])
+            wanted = np.cumsum([1 + (len(c) if c.isascii() else len(c.encode())) for c in group])
+            ends = np.searchsorted(reached, wanted)
+            if not len(reached) or ends[-1] >= len(reached) or (reached[ends] != wanted).any():
+                for c in group:
+                    self.chunks[c] = self._whole(" " + c)
+                continue
+            raw, cuts = ids.tobytes(), (4 * (ends + 1)).tolist()
+            self.chunks.update(zip(group, [raw[lo:hi] for lo, hi in zip([0, *cuts], cuts)]))
 
     def _chunks(self, text: str) -> list[str] | None:
-        if not text or text[0].isspace() or text[-1].isspace() or any(s in text for s in (*BESIDE, *self.specials)):
+        if not text or text[0].isspace() or text[-1].isspace() or RARE_SPACE.search(text) or any(s in text for s in (*BESIDE, *self.specials)):
             return None
-        first, *rest = text.split(" ")
-        return [first, *(" " + chunk for chunk in rest)]
+        return text.split(" ")
 
 
-def compress(ids: np.ndarray, min_count: int = 6, max_rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(sequence, rules, lengths, rounds): rules are pairs of symbols; a symbol from ``base`` up, the largest id plus one, is a rule.
 
-    A round replaces the most frequent pairs, each ``min_count`` times at least, from left to right without overlap. Pairs are counted in
-    hashed buckets and exactly within the heavy ones. Rounds end when they shorten the sequence by under 2 %.
+    A round replaces up to about ``ROUND_PAIRS`` of the most frequent pairs from left to right without overlap, each ``least`` times at least. Pairs are counted in
+    hashed buckets and exactly within the heavy ones. Rounds end when no pair is left that could be replaced so often.
     ``lengths`` are the ids each rule expands to, and ``rounds`` the number of rules after each round.
     """
     seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 0
     rules, lengths, rounds = np.empty((0, 2), dtype=np.uint32), np.empty(0, dtype=np.int64), []
-    while len(seq) > 1 and len(rounds) < max_rounds:
+    every = False  # after a round of heavy buckets that held no such pair, all buckets are looked at
+    while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
         bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
         weight = np.bincount(bucket, minlength=BUCKETS)
-        heavy = weight >= min_count
-        if heavy.sum() > ROUND_PAIRS:
-            heavy &= weight >= np.partition(weight, -ROUND_PAIRS)[-ROUND_PAIRS]
+        heavy = weight >= least
+        most = max(4, min(ROUND_PAIRS, len(seq) >> 6))  # pairs that share symbols spoil each other, the more the shorter the sequence
+        cut = not every and heavy.sum() > most
+        if cut:
+            heavy &= weight >= np.partition(weight, -most)[-most]
         at = np.flatnonzero(heavy[bucket])
-        if not len(at):
-            break
         # exact counts of the pairs in heavy buckets; a bucket keeps its most frequent pair
         pairs, slot, counts = np.unique((left[at].astype(np.uint64) << np.uint64(32)) | right[at], return_inverse=True, return_counts=True)
         home = np.zeros(len(pairs), dtype=np.uint32)
@@ -136,16 +124,22 @@ def compress(ids: np.ndarray, min_count: int = 6, max_rounds: int = 12) -> tuple
         first[1:] = home[order[1:]] != home[order[:-1]]
         chosen = np.zeros(len(pairs), dtype=bool)
         chosen[order[first]] = True
-        chosen &= counts >= min_count
+        chosen &= counts >= least
         at, slot = at[chosen[slot]], slot[chosen[slot]]
-        if not len(at):
-            break
         # of matches that follow one another every second is taken
         starts = np.ones(len(at), dtype=bool)
         starts[1:] = np.diff(at) > 1
         run = np.flatnonzero(starts)
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
         at, slot = at[place % 2 == 0], slot[place % 2 == 0]
+        often = np.bincount(slot, minlength=len(pairs)) >= least
+        at, slot = at[often[slot]], slot[often[slot]]
+        if not len(at):
+            if not cut:
+                break
+            every = True
+            continue
+        every = False
         used = np.unique(slot)
         number = np.zeros(len(pairs), dtype=np.uint32)
         number[used] = np.arange(len(used), dtype=np.uint32) + np.uint32(base + len(rules))
@@ -160,8 +154,6 @@ def compress(ids: np.ndarray, min_count: int = 6, max_rounds: int = 12) -> tuple
         keep[at + 1] = False
         seq = seq[keep]
         rounds.append(len(rules))
-        if before - len(seq) < 0.02 * before:
-            break
     return seq, rules, lengths, rounds
 
 
@@ -178,9 +170,9 @@ def expand(seq: np.ndarray, rules: np.ndarray, rounds: list[int], base: int) ->
     return seq
 
 
-def pack(ids: np.ndarray, **how) -> bytes:
+def pack(ids: np.ndarray) -> bytes:
     """A block: magic, counts, rounds, then sequence, rules and expansion lengths, as compressed little-endian integers."""
-    seq, rules, lengths, rounds = compress(ids, **how)
+    seq, rules, lengths, rounds = compress(ids)
     base = int(ids.max()) + 1 if len(ids) else 0
     head = struct.pack("<5I", base, len(ids), len(seq), len(rules), len(rounds)) + np.array(rounds, dtype="<u4").tobytes()
     body = seq.astype("<u4").tobytes() + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes()
@@ -254,7 +246,7 @@ def write_token_blocks(
             return row
 
         for piece, texts in text_batches(batches, 1):
-            for name, blob in zip(piece.column(0).to_pylist(), encoder.encode([t.decode() for t in texts])):
+            for name, blob in zip(piece.column(0).to_pylist(), encoder.encode([t.decode("utf-8", "replace") for t in texts])):
                 names.append(name)
                 blobs.append(blob + end)
                 held += len(blob) // 4 + 1

@@ -579,6 +579,59 @@ def test_word_memo_gives_the_library_ids(text):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def byte_encoder():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return repair.WordEncoder(file.read())
+
+
+def test_chunks_together_give_the_library_ids(byte_encoder):
+    rng = random.Random(21)
+    parts = ["the", "it's", "don't,", "a,b", "x.", "'", "''s", "12", "3a!", "ünï", "中文。", "☃☃", "a\nb", "\t", "é?", "½", "ª;", "_", "--", "<|end", "‘q’", "a\r\n", "\u200b", "e\u0301:", "🙂.", "…"]
+    for _ in range(300):
+        texts = [rng.choice([" ", " ", " ", "  ", " \n"]).join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(3)]
+        for text, ids in zip(texts, byte_encoder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == byte_encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def plain_repair(ids, least):
+    """One most frequent pair after another, counted without overlap."""
+    seq, rules = list(ids), []
+    while True:
+        counts, last = Counter(), {}
+        for i, pair in enumerate(zip(seq, seq[1:])):
+            if last.get(pair, -2) < i - 1:
+                counts[pair] += 1
+                last[pair] = i
+        pair, n = max(counts.items(), key=lambda x: x[1], default=(None, 0))
+        if n < least:
+            return seq, rules
+        out, i = [], 0
+        while i < len(seq):
+            match = seq[i:i + 2] == list(pair)
+            out.append(("rule", len(rules)) if match else seq[i])
+            i += 1 + match
+        seq, rules = out, [*rules, pair]
+
+
+@pytest.mark.parametrize("least", [2, 6])
+def test_grammar_goes_on_to_its_end(least):
+    """No pair is left that could be replaced ``least`` times, and the grammar is not much larger than a plain one."""
+    rng = np.random.default_rng(least)
+    words = [rng.integers(0, 30, rng.integers(2, 7)) for _ in range(25)]
+    for ids in (np.concatenate([words[i] for i in rng.integers(0, 25, 250)]), np.tile(rng.integers(0, 50, 40), 12), np.zeros(77, dtype=np.int64), np.tile([1, 1, 2], 60)):
+        seq, rules, lengths, rounds = repair.compress(ids.astype(np.uint32), least)
+        counts, last = Counter(), {}
+        for i, pair in enumerate(zip(seq.tolist(), seq[1:].tolist())):
+            if last.get(pair, -2) < i - 1:
+                counts[pair] += 1
+                last[pair] = i
+        assert max(counts.values(), default=0) < least
+        plain_seq, plain_rules = plain_repair(ids.tolist(), least)
+        assert len(seq) + 2 * len(rules) <= 1.4 * (len(plain_seq) + 2 * len(plain_rules)) + 8
+        assert (repair.expand(seq, rules, rounds, int(ids.max()) + 1) == ids).all()
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     for ids in ([], [5], [1] * 41, [1, 2] * 50, rng.integers(0, 9, 5000), np.tile(rng.integers(0, 50_000, 300), 20)):
