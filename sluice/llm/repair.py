@@ -97,7 +97,7 @@ class WordEncoder:
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(sequence, rules, lengths, rounds): rules are pairs of symbols; a symbol from ``base`` up, the largest id plus one, is a rule.
 
-    A round replaces up to about ``ROUND_PAIRS`` of the most frequent pairs from left to right without overlap, each ``least`` times at least. Pairs are counted in
+    A round replaces up to ``ROUND_PAIRS`` of the most frequent pairs from left to right without overlap, each ``least`` times at least. Pairs are counted in
     hashed buckets and exactly within the heavy ones. Rounds end when no pair is left that could be replaced so often.
     ``lengths`` are the ids each rule expands to, and ``rounds`` the number of rules after each round.
     """
@@ -113,7 +113,8 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         most = max(4, min(ROUND_PAIRS, len(seq) >> 6))  # pairs that share symbols spoil each other, the more the shorter the sequence
         cut = not every and heavy.sum() > most
         if cut:
-            heavy &= weight >= np.partition(weight, -most)[-most]
+            heavy = np.zeros(BUCKETS, dtype=bool)
+            heavy[np.argpartition(weight, -most)[-most:]] = True
         at = np.flatnonzero(heavy[bucket])
         # exact counts of the pairs in heavy buckets; a bucket keeps its most frequent pair
         pairs, slot, counts = np.unique((left[at].astype(np.uint64) << np.uint64(32)) | right[at], return_inverse=True, return_counts=True)

@@ -628,7 +628,7 @@ def test_grammar_goes_on_to_its_end(least):
                 last[pair] = i
         assert max(counts.values(), default=0) < least
         plain_seq, plain_rules = plain_repair(ids.tolist(), least)
-        assert len(seq) + 2 * len(rules) <= 1.4 * (len(plain_seq) + 2 * len(plain_rules)) + 8
+        assert len(seq) + 2 * len(rules) <= 1.4 * (len(plain_seq) + 2 * len(plain_rules)) + 20
         assert (repair.expand(seq, rules, rounds, int(ids.max()) + 1) == ids).all()
 
 
