@@ -94,11 +94,20 @@ class WordEncoder:
         return text.split(" ")
 
 
+def _apart(at: np.ndarray) -> np.ndarray:
+    """Of places that follow one another every second."""
+    starts = np.ones(len(at), dtype=bool)
+    starts[1:] = np.diff(at) > 1
+    run = np.flatnonzero(starts)
+    return (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+
+
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(sequence, rules, lengths, rounds): rules are pairs of symbols; a symbol from ``base`` up, the largest id plus one, is a rule.
 
     A round replaces up to ``ROUND_PAIRS`` of the most frequent pairs from left to right without overlap, each ``least`` times at least. Pairs are counted in
-    hashed buckets and exactly within the heavy ones. Rounds end when no pair is left that could be replaced so often.
+    hashed buckets and exactly within the heavy ones. Rounds end when a
+    round over all pairs replaces none so often; what may be left are pairs that take each other's places.
     ``lengths`` are the ids each rule expands to, and ``rounds`` the number of rules after each round.
     """
     seq = ids.astype(np.uint32)
@@ -116,30 +125,19 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
             heavy = np.zeros(BUCKETS, dtype=bool)
             heavy[np.argpartition(weight, -most)[-most:]] = True
         at = np.flatnonzero(heavy[bucket])
-        # exact counts of the pairs in heavy buckets; a bucket keeps its most frequent pair
+        # exact counts of the pairs in heavy buckets
         pairs, slot, counts = np.unique((left[at].astype(np.uint64) << np.uint64(32)) | right[at], return_inverse=True, return_counts=True)
-        home = np.zeros(len(pairs), dtype=np.uint32)
-        home[slot] = bucket[at]
-        order = np.lexsort((-counts, home))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = home[order[1:]] != home[order[:-1]]
-        chosen = np.zeros(len(pairs), dtype=bool)
-        chosen[order[first]] = True
-        chosen &= counts >= least
+        chosen = counts >= least
         at, slot = at[chosen[slot]], slot[chosen[slot]]
-        # of matches that follow one another every second is taken
-        starts = np.ones(len(at), dtype=bool)
-        starts[1:] = np.diff(at) > 1
-        run = np.flatnonzero(starts)
-        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at, slot = at[place % 2 == 0], slot[place % 2 == 0]
+        apart = _apart(at)
+        at, slot = at[apart], slot[apart]
         often = np.bincount(slot, minlength=len(pairs)) >= least
         at, slot = at[often[slot]], slot[often[slot]]
-        if not len(at):
-            if not cut:
-                break
+        if not len(at) and cut:
             every = True
             continue
+        if not len(at):
+            break
         every = False
         used = np.unique(slot)
         number = np.zeros(len(pairs), dtype=np.uint32)
