@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import stage, staging_path
 
-__all__ = ["ROW_ID", "arrow_map", "near_rows", "offsets", "read_table", "scratch_name", "stage", "staging_path", "text_batches", "text_code"]
+__all__ = ["ROW_ID", "arrow_map", "far_rows", "near_rows", "offsets", "read_table", "scratch_name", "stage", "staging_path", "text_batches", "text_code"]
 
 ROW_ID = "__row"
 # texts handed to one step of a Python task: a batch is cut so that working arrays stay small
@@ -101,6 +101,14 @@ def near_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, bucke
     return df.select("*", of(key)).join(F.broadcast(used), bucket, "left_semi").drop(bucket)
 
 
+def far_rows(df: DataFrame, key: str, listed: DataFrame, listed_key: str, buckets: int = 1 << 20) -> DataFrame:
+    """The other rows of ``df``: those whose key hashes to no bucket of a listed one, so that only :func:`near_rows` have to be compared."""
+    bucket = scratch_name("bucket")
+    of = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int"), F.lit(-1)).alias(bucket)
+    used = listed.select(of(listed_key)).distinct()
+    return df.select("*", of(key)).join(F.broadcast(used), bucket, "left_anti").drop(bucket)
+
+
 def crc32_of_id(column: str | Column) -> Column:
     """Unsigned crc32 of an id written as text."""
     return F.crc32((F.col(column) if isinstance(column, str) else column).cast("string").cast("binary"))

@@ -77,7 +77,7 @@ def op8_mcd_outliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_site_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents without the lines that a tenth of their source repeats."""
+    """Documents without the lines that are on over 1.5 % of the pages of their source."""
     return drop_boilerplate(read_table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 

@@ -430,6 +430,16 @@ def test_boilerplate(spark):
     assert "k" in [r["digest"] for r in linefreq.drop_boilerplate(frame).collect()]
 
 
+def test_boilerplate_on_two_percent_of_a_thousand_pages(spark):
+    rows = [(i, f"page {i}\nmore of {i}" + ("\nfooter" if i % 50 == 0 else "") + ("\nshared by few" if i % 100 == 0 else ""), "site") for i in range(1000)]
+    rows += [(2000 + i, "footer", "site") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for spare in (False, True):
+        got = {r["doc_id"]: r["text"] for r in linefreq.drop_boilerplate(frame, spare_copies=spare).collect()}
+        want = {i: t.replace("\nfooter", "") for i, t, _ in rows}
+        assert got == {i: (t if spare or i < 2000 else "") for i, t in want.items()}
+
+
 def test_licences(spark):
     from sluice.llm.licence_texts import ISC, MIT
 
