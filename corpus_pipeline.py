@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.llm.bottomk import near_duplicates
-from sluice.llm.common import read_table, stage, text_code
+from sluice.llm.common import far_rows, near_rows, read_table, stage, text_code
 from sluice.llm.decontam import contaminated
 from sluice.llm.langid import held_out, identify
 from sluice.llm.linefreq import drop_boilerplate
@@ -31,9 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text.
 
-    No row goes. Null texts stay null and empty ones empty; a null source is a site of its own; repeated rows are pages each.
+    No row goes, and a page of nothing but such lines stays whole, for near_dedup to compare. Null texts stay null and empty ones empty; a null source is a site of its own; repeated rows are pages each.
     """
-    return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return drop_boilerplate(docs, spare_copies=True).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,19 +68,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Documents whose key is not listed. The keys are written first, so Catalyst knows their size."""
-    return _keyed(docs).join(stage(keys, "dropped"), KEY, "left_anti").select(COLUMNS)
+    """Documents whose key is not listed. The keys are written first; most documents are cleared in the scan and only the others joined."""
+    docs, keys = _keyed(docs), stage(keys, "dropped")
+    near = near_rows(docs, KEY, keys, KEY).join(keys, KEY, "left_anti")
+    return far_rows(docs, KEY, keys, KEY).select(COLUMNS).unionByName(near.select(COLUMNS))
 
 
 def _once(docs: DataFrame) -> DataFrame:
     """Of rows with one id and one text the first by its other columns; rows without an id or a word are left as they are."""
     keyed = _keyed(docs.where(F.col("doc_id").isNotNull()))
     twice = stage(keyed.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY), "repeated")
-    if twice.isEmpty():
-        return docs
-    rest = _keyed(docs)
-    of_one = rest.join(twice, KEY, "left_semi").groupBy(KEY).agg(F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("r"), F.first("text").alias("text"))
-    return rest.join(twice, KEY, "left_anti").select(COLUMNS).unionByName(of_one.select("r.doc_id", "text", "r.lang", "r.source", "r.n_chars"))
+    near = near_rows(_keyed(docs), KEY, twice, KEY)
+    of_one = near.join(twice, KEY, "left_semi").groupBy(KEY).agg(F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("r"), F.first("text").alias("text"))
+    return far_rows(_keyed(docs), KEY, twice, KEY).select(COLUMNS).unionByName(near.join(twice, KEY, "left_anti").select(COLUMNS)).unionByName(
+        of_one.select("r.doc_id", "text", "r.lang", "r.source", "r.n_chars"))
 
 
 STAGES = [
