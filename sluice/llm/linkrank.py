@@ -30,10 +30,11 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 
 
 def host_links(pages: DataFrame, url_col: str, html_col: str, affiliation: float = 1.0) -> DataFrame:
-    """(src, dst, w): links between different hosts, counted per pair, and ties between a host and the hosts above it.
+    """(src, dst, w): links between different hosts, counted per pair, and ties between a host and the domains above it.
 
-    Links without a host stay on their page's host and carry nothing between hosts, so they are left out in the scan. A host and a
-    parent domain of two labels or more that is a host of pages too are tied both ways with weight ``affiliation``.
+    Links without a host stay on their page's host and carry nothing between hosts, so they are left out in the scan. A domain of two
+    labels or more is a node of its own where it is a host of pages or two hosts lie below it; hosts and the domains above them are tied both ways with
+    weight ``affiliation``, so that what is known of some hosts of a domain reaches the others.
     """
     host, _ = host_and_path(F.col(url_col))
     found = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(_LINK), 1)).alias("link"))
@@ -43,7 +44,10 @@ def host_links(pages: DataFrame, url_col: str, html_col: str, affiliation: float
     labels = F.split("h", r"\.")
     above = hosts.select("h", F.explode(F.transform(
         F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.array_join(F.slice(labels, i, F.greatest(F.size(labels), F.lit(1))), "."))).alias("up"))
-    ties = above.join(hosts.select(F.col("h").alias("up")), "up", "left_semi").where("h <> up AND instr(up, '.') > 0")
+    above = above.where("h <> up AND instr(up, '.') > 0")
+    # hosts are counted before the shuffle, so a domain of a third of all hosts is a row per task
+    shared = above.groupBy("up").agg(F.count("*").alias("n")).where("n > 1").select("up")
+    ties = above.join(shared.union(hosts.select(F.col("h").alias("up"))).distinct(), "up", "left_semi")
     both = ties.select(F.explode(F.array(F.struct(F.col("h").alias("src"), F.col("up").alias("dst")), F.struct(F.col("up").alias("src"), F.col("h").alias("dst")))).alias("e"))
     both = both.select("e.src", "e.dst", F.lit(float(affiliation)).alias("w"))
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
@@ -66,10 +70,10 @@ def propagate(
     totals = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
     edges = stage(edges.join(totals, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("total")).alias("p")), "host-edges")
     start = seeds.select("kind", "host", (F.col("s") * (1 - damping)).alias("rank"))
-    ranks, done = stage(start, "ranks"), 0
-    if edges.isEmpty():
-        done = max_rounds
-    while done < max_rounds:
+    ranks, done, settled = stage(start, "ranks"), 0, edges.isEmpty()
+    while not settled:
+        if done >= max_rounds:
+            raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
         before = ranks
         for _ in range(rounds_per_write):
             moved = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(
@@ -78,8 +82,7 @@ def propagate(
         ranks = stage(ranks, "ranks")
         done += rounds_per_write
         change = ranks.unionByName(before.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("d"))
-        if (change.agg(F.sum(F.abs("d"))).first()[0] or 0.0) < tolerance:
-            break
+        settled = (change.agg(F.sum(F.abs("d"))).first()[0] or 0.0) < tolerance
     sums = ranks.groupBy("kind").agg(F.sum("rank").alias("total"))
     return ranks.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))  # two kinds
 

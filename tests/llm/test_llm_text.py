@@ -1,6 +1,7 @@
 """Text operators against plain loops on small tables, with nulls, ties, repeats, long texts and clashing columns."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -501,6 +502,30 @@ def test_urls(spark):
     assert got[7]["trust"] > 0 and got[8]["trust"] > 0 and got[9]["distrust"] > 0
 
 
+def test_domains_carry_rank_between_their_hosts(spark):
+    pages = [(1, "http://a.x.com/fr/1", None), (2, "http://b.x.com/en/1", None), (3, "http://c.x.com/de/1", None), (4, "http://d.y.com/en/1", None), (5, "http://e.y.com/de/1", None),
+             (6, "http://f.y.com/de/1", None), (7, "http://alone.z.com/en/1", None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    links = {(r.src, r.dst) for r in linkrank.host_links(frame, "url", "html").collect()}
+    up = {(f"{h}.x.com", "x.com") for h in "abc"} | {(f"{h}.y.com", "y.com") for h in "def"}
+    assert links == up | {(b, a) for a, b in up}  # z.com has one host and is no node; com has one label
+    rules = [("allow", "com/fr/"), ("block", "com/de/")]
+    got = {r.page_id: (r.rule, r.verdict, r.trust > 0, r.distrust > 0) for r in linkrank.url_verdicts(frame, rules).collect()}
+    assert got[2] == (None, "allow", True, True) and got[4] == (None, "block", False, True) and got[7] == (None, "allow", False, False)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="given tables are not here")
+def test_propagation_decides_given_pages(spark):
+    """Some pages without a rule get another verdict than the seeds of their own host alone give."""
+    from sluice.llm import queries
+
+    pages = [r for r in queries.op7_link_trust(spark, "/root/testdata/sf0.001").collect()]
+    seeds = Counter((r.host, r.verdict) for r in pages if r.rule)
+    totals = Counter(r.verdict for r in pages if r.rule)
+    alone = {r.host: "block" if seeds[r.host, "block"] / totals["block"] > seeds[r.host, "allow"] / totals["allow"] else "allow" for r in pages}
+    assert sum(r.verdict != alone[r.host] for r in pages if not r.rule) > 0
+
+
 def test_ranks_by_power_iteration(spark):
     rng = random.Random(4)
     links = {(rng.randrange(12), rng.randrange(12)): float(rng.randint(1, 4)) for _ in range(40)}
