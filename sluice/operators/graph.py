@@ -92,7 +92,7 @@ def reachable(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 
 def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that make a graph useless: a source or listener without successor, or an unknown type."""
+    """What makes a graph useless: a source or listener without successor, a node of unknown type, or (without node) a design without any edge."""
     starts = edges.select("design", F.col("source").alias("id")).distinct()
     lonely = (
         nodes.filter(F.col("type").isin(*NEEDS_SUCCESSOR)).join(starts, ["design", "id"], "left_anti")
@@ -101,4 +101,7 @@ def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     unknown = nodes.filter(~F.coalesce(F.col("type").isin(*NODE_TYPES), F.lit(False))).select(
         "design", "id", "type", F.lit("UNKNOWN_TYPE").alias("problem")
     )
-    return lonely.unionByName(unknown)
+    nothing = F.lit(None).cast("string")
+    loose = nodes.select("design").distinct().join(edges.select("design").distinct(), "design", "left_anti").select(
+        "design", nothing.alias("id"), nothing.alias("type"), F.lit("NO_EDGES").alias("problem"))
+    return lonely.unionByName(unknown).unionByName(loose)

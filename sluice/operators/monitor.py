@@ -135,10 +135,10 @@ def last_errors(errors: DataFrame, n: int = 5, flow: str = "flow", seq: str = "s
 
 
 def clear_trailing(errors: DataFrame, error_type: str, flow: str = "flow", seq: str = "seq", kind: str = "type") -> DataFrame:
-    """Drop the run of newest errors of one type; older ones of that type stay."""
+    """Drop the run of newest errors of one type; older ones of that type stay. Rows without a flow are a flow of their own."""
     other = errors.filter(~F.col(kind).eqNullSafe(error_type))
-    last_other = other.groupBy(flow).agg(F.max(seq).alias("_last"))
-    return errors.join(last_other, flow).filter(F.col(seq) <= F.col("_last")).select(*errors.columns)
+    last_other = other.groupBy(F.col(flow).alias("_flow")).agg(F.max(seq).alias("_last"))
+    return errors.join(last_other, F.col(flow).eqNullSafe(F.col("_flow"))).filter(F.col(seq) <= F.col("_last")).select(*errors.columns)
 
 
 def route_alarms(alarms: DataFrame, scenes: DataFrame) -> DataFrame:

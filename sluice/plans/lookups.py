@@ -78,6 +78,11 @@ def _edges(t: Inputs):
     return t["edges"].withColumnRenamed("ord", "order")
 
 
+def _line_edges(t: Inputs):
+    """Edges between lines only, so that short orders have none."""
+    return dead_ends(t["nodes"], _edges(t).where("source <> 'n0'"))
+
+
 def _design(t: Inputs, part: int):
     return parse_design(t["designs"])[part]
 
@@ -129,6 +134,7 @@ QUERIES = {
     "h3_successor_groups": _successors,
     "h4_reachable": lambda t: reachable(_edges(t)),
     "h4_reachable_depth": lambda t: reachable(_edges(t), 2),
+    "h5_without_edges": _line_edges,
     "h5_dead_ends": _dead_ends,
 }
 
@@ -259,6 +265,15 @@ ORACLES = {
             UNION
             SELECT w.design, w.root, e.target, w.depth + 1 FROM walk w JOIN edges e ON e.design = w.design AND e.source = w.node WHERE w.depth < 2)
         SELECT design, root, node, min(depth) AS depth FROM walk GROUP BY design, root, node""",
+    "h5_without_edges": """
+        SELECT design, id, type, 'NO_SUCCESSOR' AS problem FROM nodes n
+        WHERE type IN ('job', 'queryMySQL', 'kafkaReceive', 'eventDebezium')
+        AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.design = n.design AND e.source = n.id AND e.source <> 'n0')
+        UNION ALL
+        SELECT design, id, type, 'UNKNOWN_TYPE' AS problem FROM nodes WHERE type = 'mystery'
+        UNION ALL
+        SELECT DISTINCT design, NULL, NULL, 'NO_EDGES' FROM nodes n
+        WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.design = n.design AND e.source <> 'n0')""",
     "h5_dead_ends": """
         SELECT design, id, type, 'NO_SUCCESSOR' AS problem FROM nodes n
         WHERE type IN ('job', 'queryMySQL', 'kafkaReceive', 'eventDebezium')

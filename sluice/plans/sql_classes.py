@@ -6,6 +6,7 @@ that the order of addition cannot show.
 
 from __future__ import annotations
 
+from ..functions.tables import register_functions
 from ..sources import sql_query
 from .fixtures import TABLES, _uses, Inputs
 
@@ -127,6 +128,23 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         SELECT user_id, event_id, rn, step, code FROM walk""",
     "k8_in_subquery": """
         SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49 AND l_tax < 0.01)""",
+    # table functions and aggregates of one's own
+    "k12_table_function": (
+        """
+        SELECT user_id, session, started, ended, events
+        FROM sessions(TABLE(SELECT user_id, ts, 24 AS hours FROM events) PARTITION BY user_id ORDER BY ts)""",
+        """
+        SELECT user_id, cast(session AS INTEGER) AS session, min(ts) AS started, max(ts) AS ended, count(*) AS events
+        FROM (SELECT user_id, ts, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS session
+              FROM (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > interval '24' hour, true) AS fresh FROM events))
+        GROUP BY user_id, session"""),
+    "k12_aggregate_function": (
+        "SELECT l_returnflag, l_linestatus, l_linenumber, weighted_median(l_extendedprice, l_quantity) AS median FROM lineitem GROUP BY ALL",
+        """
+        SELECT l_returnflag, l_linestatus, l_linenumber, min(l_extendedprice) AS median
+        FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber ORDER BY l_extendedprice RANGE UNBOUNDED PRECEDING) AS reached,
+                     sum(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber) AS total FROM lineitem)
+        WHERE 2 * reached >= total GROUP BY ALL"""),
     # functions
     "k9_string_functions": (
         """
@@ -208,6 +226,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
 
 def _run(t: Inputs, text: str):
     sources = {name: {"format": "parquet", "path": f"{t.folder}/{name}.parquet"} for name in _uses(text, TABLES)}
+    register_functions(t.spark)
     return sql_query(t.spark, sources, text)
 
 

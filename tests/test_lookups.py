@@ -160,6 +160,8 @@ def test_design_graph(spark, rows):
     groups = g.successor_groups(edges).first()["successors"]
     assert [(x["order"], x["targets"]) for x in groups] == [(0, ["c", "d"]), (2, ["b"])]
     assert rows(g.dead_ends(nodes, edges), "id", "problem") == [("b", "NO_SUCCESSOR"), ("x", "UNKNOWN_TYPE")]
+    bare = nodes.limit(1).withColumn("design", F.lit("bare")).withColumn("type", F.lit("map"))
+    assert rows(g.dead_ends(nodes.union(bare), edges).where("id IS NULL"), "design", "problem") == [("bare", "NO_EDGES")]
 
 
 def test_reachable_with_cycle(spark, rows):

@@ -33,6 +33,8 @@ def test_last_errors_and_clear_trailing(spark, rows, plan):
     assert rows(newest.filter("flow = 'f'"), "seq") == [(3,), (4,), (5,), (6,), (7,)]
     assert "WindowGroupLimit" in plan(newest)
     assert rows(m.clear_trailing(errors, "A"), "flow", "seq") == [("f", i) for i in range(5)]
+    lost = spark.createDataFrame([(None, i, "A" if i == 2 else "B") for i in range(3)], "flow string, seq int, type string")
+    assert rows(m.clear_trailing(errors.union(lost), "A"), "flow", "seq") == [(None, 0), (None, 1)] + [("f", i) for i in range(5)]
 
 
 def test_route_alarms(spark, rows):
