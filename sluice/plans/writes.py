@@ -11,7 +11,7 @@ from ..operators.align import align_content
 from ..operators.folds import Statement, read_modify_write
 from ..operators.upserts import apply_changes, custom_write, delete_rows, update_rows, upsert
 from ..session import staging_path
-from ..sinks import commit_version, fan_out, kafka_payload, read_current, with_retry, write_batch, write_table
+from ..sinks import KeyedTable, fan_out, kafka_payload, with_retry, write_batch, write_table
 from ..streaming import (
     clean_save_points, component_metrics, dedupe_messages, micro_batch, rate_limit, resolve_start, run_changes,
     save_point,
@@ -99,35 +99,37 @@ def _stream_of(t: Inputs, df: DataFrame, **options: str) -> DataFrame:
     return t.spark.readStream.schema(df.schema).options(**options).parquet(path)
 
 
+def _keyed(t: Inputs, buckets: int) -> KeyedTable:
+    """The base state as a keyed table."""
+    table = KeyedTable(staging_path(t.spark, "target"), t["base_state"].schema, tuple(KEYS), buckets)
+    table.replace(t["base_state"])
+    return table
+
+
 def _stream_changes(t: Inputs):
-    path = staging_path(t.spark, "target")
-    commit_version(t["base_state"], path, 0)
-    feed = _stream_of(t, t["envelopes"])
-    run_changes(feed, IMAGE, KEYS, path, staging_path(t.spark, "progress")).awaitTermination()
-    return read_current(t.spark, path)
+    table = _keyed(t, 1)
+    run_changes(_stream_of(t, t["envelopes"]), IMAGE, table, staging_path(t.spark, "progress")).awaitTermination()
+    return table.read(t.spark)
 
 
 def _restart_new_checkpoint(t: Inputs):
     """Two halves of the changes, the second as a new run whose batches count from 0 again."""
-    path = staging_path(t.spark, "target")
-    commit_version(t["base_state"], path, 0, KEYS, 8)
+    table = _keyed(t, 8)
     for half in (0, 1):
         part = t["envelopes"].filter(F.col("seq") < 300 if half == 0 else F.col("seq") >= 300).orderBy("seq").coalesce(1)
-        feed = _stream_of(t, part)
-        run_changes(feed, IMAGE, KEYS, path, staging_path(t.spark, "progress"), keep=2).awaitTermination()
-    return read_current(t.spark, path)
+        run_changes(_stream_of(t, part), IMAGE, table, staging_path(t.spark, "progress")).awaitTermination()
+    return table.read(t.spark)
 
 
 def _resume_from_stream(t: Inputs):
     """Save points written by a stream after each of its batches, and where its listener would start again."""
-    path, points = staging_path(t.spark, "target"), staging_path(t.spark, "points")
-    commit_version(t["base_state"], path, 0, KEYS, 4)
+    table, points = _keyed(t, 4), staging_path(t.spark, "points")
 
     def note(spark, batch_id: int) -> None:
         save_point(spark, points, "ws1", "f", "listener", f"batch {batch_id}", batch_id, datetime(2024, 1, 15), 3)
 
     feed = _stream_of(t, t["envelopes"].repartition(3), **micro_batch("files", 1))
-    run_changes(feed, IMAGE, KEYS, path, staging_path(t.spark, "progress"), after_batch=note).awaitTermination()
+    run_changes(feed, IMAGE, table, staging_path(t.spark, "progress"), after_batch=note).awaitTermination()
     flows = t.spark.createDataFrame(
         [("ws1", "f", "listener", "AUTO", None), ("ws1", "f", "other", "LAST_STORAGE", None)],
         "workspace string, flow string, component string, strategy string, save_point string")

@@ -1,11 +1,7 @@
 from .payloads import kafka_payload, kafka_send
-from .writers import (
-    clean_versions, commit_version, fan_out, jdbc_write_options, merge_batch, merge_into, merge_statement, read_current, with_retry,
-    write_batch, write_table,
-)
+from .writers import KeyedTable, fan_out, jdbc_write_options, merge_into, merge_statement, with_retry, write_batch, write_table
 
 __all__ = [
-    "clean_versions", "commit_version", "fan_out", "jdbc_write_options", "kafka_payload", "kafka_send", "merge_batch", "merge_into",
-    "merge_statement",
-    "read_current", "with_retry", "write_batch", "write_table",
+    "KeyedTable", "fan_out", "jdbc_write_options", "kafka_payload", "kafka_send", "merge_into", "merge_statement", "with_retry", "write_batch",
+    "write_table",
 ]

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import functools
-import json
 import time
 import uuid
 from collections.abc import Callable, Collection, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.upserts import apply_net, net_changes
-from ..session import remove_folder, stage
+from ..session import stage
 
 
 def jdbc_write_options(url: str, table: str, batch_size: int = 1000, **extra: str) -> dict[str, str]:
@@ -43,113 +42,58 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-COMMIT = (
-    "version long, run string, batch_id long, schema string, keys array<string>, n_buckets int, "
-    "buckets array<struct<bucket: int, version: long>>"
-)
+class KeyedTable(NamedTuple):
+    """A Parquet folder whose rows lie in ``buckets`` partitions by the hash of their key; a bucket is the least that a change rewrites.
 
-
-def commit_version(
-    df: DataFrame, path: str, version: int, keys: Sequence[str] = (), n_buckets: int = 1, run: str = "", batch_id: int | None = None,
-) -> None:
-    """Write the whole state of a table beside the old one, then name it current in one small file.
-
-    With ``keys`` the rows lie in ``n_buckets`` folders by the hash of their key, so that :func:`merge_batch` rewrites those it
-    touches only. ``n_buckets`` is for the size of the table: a bucket is what a change of one key rewrites.
+    Spark's dynamic partition overwrite does the writing: a batch replaces the buckets it touches and no others, each when the job commits. A driver
+    that dies in that moment may have replaced some buckets; running the batch again completes it, as net changes put whole rows. A reader
+    may see some buckets before others; where that or a lost driver must not show, use a table format with MERGE and :func:`merge_into`.
     """
-    _write_buckets(df, path, version, keys, n_buckets)
-    _commit(df.sparkSession, path, version, run, batch_id, df.schema, keys, n_buckets, dict.fromkeys(range(n_buckets), version))
-
-
-def _bucket(keys: Sequence[str], n_buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int") if keys else F.lit(0)
-
-
-def _write_buckets(df: DataFrame, path: str, version: int, keys: Sequence[str], n_buckets: int) -> None:
-    rows = df.withColumn("_bucket", _bucket(keys, n_buckets))
-    rows = rows.repartition("_bucket") if keys else rows
-    rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/version={version}")
-
-
-def _commit(
-    spark: SparkSession, path: str, version: int, run: str, batch_id: int | None, schema: StructType, keys: Sequence[str],
-    n_buckets: int, buckets: dict[int, int],
-) -> None:
-    row = (version, run, batch_id, schema.json(), list(keys), n_buckets, sorted(buckets.items()))
-    spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("append").json(f"{path}/commits")
-
-
-def _commits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COMMIT).json(f"{path}/commits")
-
 
-def current_version(spark: SparkSession, path: str) -> int:
-    return _commits(spark, path).agg(F.max("version")).first()[0]
-
-
-def _read_buckets(spark: SparkSession, path: str, commit: Row, only: Collection[int] | None = None) -> DataFrame:
-    """Rows of a commit's buckets. Each version holds the folders of the buckets it rewrote."""
-    wanted = [b for b in commit["buckets"] if only is None or b["bucket"] in only]
-    base = f"{path}/data"
-    schema = StructType.fromJson(json.loads(commit["schema"]))
-    stored = StructType([*schema.fields, StructField("_bucket", IntegerType())])
-    by_version: dict[int, list[int]] = {}
-    for b in wanted:
-        by_version.setdefault(b["version"], []).append(b["bucket"])
-    parts = [
-        spark.read.schema(stored).parquet(f"{base}/version={v}")
-        .filter(F.col("_bucket").isin(buckets)).drop("_bucket") for v, buckets in by_version.items()
-    ]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-
-
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The last committed state; an unfinished write is never seen."""
-    return _read_buckets(spark, path, _commits(spark, path).orderBy(F.desc("version")).first())
-
-
-def clean_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
-    """Remove the version folders that none of the newest ``keep`` commits refers to; returns their numbers."""
-    commits = _commits(spark, path).orderBy(F.desc("version")).collect()
-    used = {b["version"] for c in commits[:keep] for b in c["buckets"]} | {c["version"] for c in commits[:keep]}
-    old = [v for v in {c["version"] for c in commits} - used]
-    for version in old:
-        remove_folder(spark, f"{path}/data/version={version}")
-    return sorted(old)
-
-
-def merge_batch(
-    path: str, changes: DataFrame, keys: Sequence[str], batch_id: int, seq: str = "seq",
-    before: str | None = "before", after: str = "after", run: str = "", keep: int | None = None,
-) -> None:
-    """Apply a batch of ordered changes to a file table written by :func:`commit_version`.
-
-    For use in ``foreachBatch``: ``run`` names the run that numbers the batches (its checkpoint), and a batch that this run has
-    already committed is skipped, so replays after a restart are harmless and a new run's batch 0 is applied. Versions are numbered
-    on their own. Only buckets that hold changed keys are read and written; a batch without changes writes nothing.
-    With ``keep`` versions outside the newest ``keep`` commits are removed.
-    Where the table format has MERGE, run :func:`merge_into` instead.
-    """
-    spark = changes.sparkSession
-    commits = _commits(spark, path)
-    done = commits.filter(F.col("run") == run).agg(F.max("batch_id")).first()[0]
-    if done is not None and done >= batch_id:
-        return
-    last = commits.orderBy(F.desc("version")).first()
-    held, n_buckets = list(last["keys"] or ()), last["n_buckets"]
-    if held and held != list(keys):
-        raise ValueError(f"the table is kept by {held}")
-    like = _read_buckets(spark, path, last, only=())
-    net = stage(net_changes(like, changes, keys, seq, before=before, after=after).withColumn("_bucket", _bucket(held, n_buckets)), "net")
-    touched = {r[0] for r in net.select("_bucket").distinct().collect()}  # at most n_buckets
-    if not touched:
-        return
-    target, version = _read_buckets(spark, path, last, only=touched), last["version"] + 1
-    _write_buckets(apply_net(target, net.drop("_bucket"), keys, lookup=True), path, version, held, n_buckets)
-    buckets = {b["bucket"]: b["version"] for b in last["buckets"]} | dict.fromkeys(touched, version)
-    _commit(spark, path, version, run, batch_id, like.schema, held, n_buckets, buckets)
-    if keep is not None:
-        clean_versions(spark, path, keep)
+    path: str
+    schema: str | StructType
+    keys: tuple[str, ...]
+    buckets: int = 16
+
+    def _stored(self, spark: SparkSession) -> StructType:
+        return StructType([*spark.createDataFrame([], self.schema).schema.fields, StructField("_bucket", IntegerType())])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("_bucket")
+
+    def _write(self, rows: DataFrame, buckets: Collection[int], mode: str) -> None:
+        """``rows`` with their bucket, and a row without a key for each bucket, so that one that loses its last row is replaced too."""
+        marks = rows.sparkSession.createDataFrame([(b,) for b in buckets], "_bucket int")
+        whole = rows.unionByName(marks, allowMissingColumns=True).select(*rows.columns)
+        whole.repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").option("partitionOverwriteMode", mode).parquet(self.path)
+
+    def replace(self, rows: DataFrame) -> None:
+        """Write the whole table."""
+        spark = rows.sparkSession
+        columns = [f.name for f in self._stored(spark).fields[:-1]]
+        self._write(rows.select(*columns, self._bucket()), range(self.buckets), "static")
+
+    def read(self, spark: SparkSession, only: Collection[int] | None = None) -> DataFrame:
+        """The rows, or those of some buckets."""
+        rows = spark.read.schema(self._stored(spark)).parquet(self.path).where(F.col(self.keys[0]).isNotNull())
+        return (rows if only is None else rows.where(F.col("_bucket").isin(list(only)))).drop("_bucket")
+
+    def merge(
+        self, changes: DataFrame, seq: str = "seq", before: str | None = "before", after: str = "after",
+    ) -> int:
+        """Apply an ordered batch of changes; returns the number of buckets written.
+
+        For use in ``foreachBatch``: running a batch again changes nothing. The batch becomes one row per key first and is written, so Catalyst knows
+        its size and sends a small one to the buckets it touches. A batch without changes writes nothing.
+        """
+        spark = changes.sparkSession
+        like = spark.createDataFrame([], self.schema)
+        net = stage(net_changes(like, changes, self.keys, seq, before=before, after=after).withColumn("_bucket", self._bucket()), "net")
+        touched = sorted(r[0] for r in net.select("_bucket").distinct().collect())  # at most the number of buckets
+        if touched:
+            merged = apply_net(self.read(spark, touched), net.drop("_bucket"), self.keys, lookup=True)
+            self._write(merged.select("*", self._bucket()), touched, "dynamic")
+        return len(touched)
 
 
 def merge_statement(target: str, net: str, keys: Sequence[str], columns: Sequence[str]) -> str:

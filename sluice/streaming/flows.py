@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..sinks.writers import merge_batch, with_retry
+from ..sinks.writers import KeyedTable, with_retry
 from ..sources.changes import parse_change_events
 
 
@@ -32,31 +31,26 @@ def rate_limit(writer: DataStreamWriter, limit: int | None, interval_ms: int = 1
     return writer.trigger(processingTime=f"{max(-(-interval_ms // limit), 1)} milliseconds")
 
 
-def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
-    """The id that Spark wrote into a checkpoint when it was made; it stays the same over restarts."""
-    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-
-
 def run_changes(
-    envelopes: DataFrame, image_schema: str, keys: Sequence[str], path: str, checkpoint: str, seq: str = "seq",
+    envelopes: DataFrame, image_schema: str, table: KeyedTable | None, checkpoint: str, seq: str = "seq",
     ops: Sequence[str] = ("CREATE", "UPDATE", "DELETE", "READ"),
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = True,
-    write: Callable[[DataFrame, int], None] | None = None, keep: int | None = None,
+    write: Callable[[DataFrame, int], None] | None = None,
     after_batch: Callable[[SparkSession, int], None] | None = None,
 ) -> StreamingQuery:
-    """Change envelopes of a stream applied to the file table at ``path``, batch by batch.
+    """Change envelopes of a stream applied to a keyed table, batch by batch.
 
-    The checkpoint restarts after the last finished batch and each batch is applied once; a new checkpoint is a new run,
-    whose batches count from the start. Pass ``write`` to put the batches elsewhere, as with
-    :func:`sluice.sinks.merge_into`, and ``after_batch`` to note a finished batch, as with :func:`sluice.streaming.save_point`.
+    The checkpoint restarts after the last finished batch; the batch in which a run died is applied again, which changes nothing. Pass ``write``
+    to put the batches elsewhere, as with :func:`sluice.sinks.merge_into`, and ``after_batch`` to note a finished batch, as with
+    :func:`sluice.streaming.save_point`.
     """
     changes = prepare(parse_change_events(envelopes, image_schema, ops))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(path, batch, keys, batch_id, seq, run=checkpoint_id(batch.sparkSession, checkpoint), keep=keep)
-
     def step(batch: DataFrame, batch_id: int) -> None:
-        (write or merge)(batch, batch_id)
+        if write:
+            write(batch, batch_id)
+        else:
+            table.merge(batch, seq)
         if after_batch:
             after_batch(batch.sparkSession, batch_id)
 

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from sluice.operators.monitor import alarm_statistics_stream, flow_series_stream
-from sluice.sinks import commit_version, read_current
+from sluice.sinks import KeyedTable
 from sluice.streaming import (
     ProgressLog, append_progress, clean_save_points, component_metrics, dedupe_messages, dedupe_stream, micro_batch, observe_rows, rate_limit,
     resolve_start, run_changes, save_point,
@@ -71,23 +71,24 @@ def test_dedupe_stream(spark, tmp_path):
 
 
 def test_run_changes_restarts_from_the_checkpoint(spark, rows, tmp_path):
-    src, table, checkpoint = (str(tmp_path / n) for n in ("src", "table", "cp"))
+    src, path, checkpoint = (str(tmp_path / n) for n in ("src", "table", "cp"))
+    table = KeyedTable(path, "id bigint, v string", ("id",), 4)
     schema = "seq long, topic string, value string"
 
     def feed(*events):
         spark.createDataFrame([(s, "p.s.t", json.dumps(v)) for s, v in events], schema).coalesce(1).write.mode("append").parquet(src)
 
     def run():
-        run_changes(spark.readStream.schema(schema).parquet(src), "id bigint, v string", ["id"], table, checkpoint).awaitTermination()
+        run_changes(spark.readStream.schema(schema).parquet(src), "id bigint, v string", table, checkpoint).awaitTermination()
 
-    commit_version(spark.createDataFrame([(1, "base"), (2, "base")], "id bigint, v string"), table, 0)
+    table.replace(spark.createDataFrame([(1, "base"), (2, "base")], "id bigint, v string"))
     feed((2, {"op": "u", "after": {"id": 1, "v": "second"}}), (1, {"op": "u", "after": {"id": 1, "v": "first"}}), (3, {"ts_ms": 1}))
     run()
-    assert rows(read_current(spark, table)) == [(1, "second"), (2, "base")]
+    assert rows(table.read(spark)) == [(1, "second"), (2, "base")]
     run()  # nothing new
     feed((4, {"op": "d", "before": {"id": 2, "v": "base"}}), (5, {"op": "c", "after": {"id": 3, "v": "new"}}))
     run()
-    assert rows(read_current(spark, table)) == [(1, "second"), (3, "new")]
+    assert rows(table.read(spark)) == [(1, "second"), (3, "new")]
 
 
 def test_windowed_streams_close_windows_by_watermark(spark, rows, tmp_path):

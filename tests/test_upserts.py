@@ -8,8 +8,7 @@ from sluice.operators.upserts import (
     apply_changes, apply_net, custom_write, delete_rows, net_changes, update_rows, upsert,
 )
 from sluice.session import stage
-from sluice.sinks import commit_version, merge_batch, merge_statement, read_current
-from sluice.sinks.writers import current_version
+from sluice.sinks import KeyedTable, merge_statement
 
 TARGET = "id int, a int, b string"
 CHANGE = "seq long, op string, before struct<id: int, a: int, b: string>, after struct<id: int, a: int, b: string>"
@@ -118,19 +117,32 @@ def test_custom_write_without_templates_is_apply_changes(spark, rows):
     assert rows(custom_write(target, changes, {}, ["id"])) == rows(apply_changes(target, changes, ["id"], before=None))
 
 
-def test_merge_batch_is_idempotent(spark, rows, tmp_path):
-    path = str(tmp_path / "table")
-    commit_version(spark.createDataFrame([(1, 10, "x")], TARGET), path, 0)
-    first = spark.createDataFrame([(1, "INSERT", None, (2, 20, "y"))], CHANGE)
-    merge_batch(path, first, ["id"], 0)
-    merge_batch(path, first, ["id"], 0)
-    assert current_version(spark, path) == 1
-    assert rows(read_current(spark, path)) == [(1, 10, "x"), (2, 20, "y")]
-    # a half-written later version without a commit is not seen
-    spark.range(1).write.parquet(f"{path}/data/version=2")
-    assert read_current(spark, path).count() == 2
-    merge_batch(path, spark.createDataFrame([(9, "DELETE", (1, 0, ""), None)], CHANGE), ["id"], 1)
-    assert rows(read_current(spark, path)) == [(2, 20, "y")]
+def test_a_batch_merged_again_changes_nothing(spark, rows, tmp_path):
+    table = KeyedTable(str(tmp_path / "table"), TARGET, ("id",), 2)
+    table.replace(spark.createDataFrame([(1, 10, "x")], TARGET))
+    batch = spark.createDataFrame([(1, "INSERT", None, (2, 20, "y")), (2, "UPDATE", None, (7, 1, "none")), (3, "INSERT", None, (3, 1, "a")), (4, "DELETE", (3, 1, "a"), None)], CHANGE)
+    for _ in range(2):
+        table.merge(batch)
+        assert rows(table.read(spark)) == [(1, 10, "x"), (2, 20, "y")]
+    table.merge(spark.createDataFrame([(9, "DELETE", (1, 0, ""), None)], CHANGE))
+    assert rows(table.read(spark)) == [(2, 20, "y")]
+    table.merge(spark.createDataFrame([(9, "DELETE", (2, 0, ""), None)], CHANGE))
+    assert rows(table.read(spark)) == []
+    table.replace(spark.createDataFrame([], TARGET))
+    table.merge(batch)
+    assert rows(table.read(spark)) == [(2, 20, "y")]
+
+
+def test_merged_batches_equal_a_replay(spark, rows, tmp_path):
+    base = [(i, i, "s") for i in range(0, 30, 2)]
+    table = KeyedTable(str(tmp_path / "t"), TARGET, ("id",), 5)
+    table.replace(spark.createDataFrame(base, TARGET))
+    state = spark.createDataFrame(base, TARGET)
+    for seed in range(3):
+        batch = spark.createDataFrame(random_changes(seed, 40, list(range(30))), CHANGE)
+        table.merge(batch)
+        state = apply_changes(state, batch, ["id"])
+        assert rows(table.read(spark)) == rows(state)
 
 
 def test_merge_statement():
@@ -164,18 +176,20 @@ def test_keys_have_to_be_known_and_single(spark):
 
 
 def test_only_touched_buckets_are_written(spark, rows, tmp_path):
-    path = str(tmp_path / "t")
-    commit_version(spark.range(200).selectExpr("int(id) id", "0 a", "'x' b"), path, 0, ["id"], 8)
+    table = KeyedTable(str(tmp_path / "t"), TARGET, ("id",), 8)
+    table.replace(spark.range(200).selectExpr("int(id) id", "0 a", "'x' b"))
+
+    def files():
+        return {str(p) for p in (tmp_path / "t").glob("_bucket=*/*.parquet")}
+
+    before = files()
     one = spark.createDataFrame([(1, "UPDATE", None, (5, 9, "z"))], CHANGE)
-    merge_batch(path, one, ["id"], 0, run="first")
-    assert len(list((tmp_path / "t/data/version=1").glob("_bucket=*"))) == 1
-    merge_batch(path, one.limit(0), ["id"], 1, run="first")
-    assert not (tmp_path / "t/data/version=2").exists()
-    # a new run counts its batches from 0 again, and none of them is lost
-    merge_batch(path, spark.createDataFrame([(1, "INSERT", None, (900, 1, "n"))], CHANGE), ["id"], 0, run="second")
-    merge_batch(path, spark.createDataFrame([(1, "DELETE", (7, 0, ""), None)], CHANGE), ["id"], 1, run="second", keep=1)
-    found = {r[0]: r[1] for r in rows(read_current(spark, path))}
+    assert table.merge(one) == 1 and len({p.rsplit("/", 2)[1] for p in files() - before}) == 1
+    before = files()
+    assert table.merge(one.limit(0)) == 0 and files() == before
+    table.merge(spark.createDataFrame([(1, "INSERT", None, (900, 1, "n")), (2, "DELETE", (7, 0, ""), None)], CHANGE))
+    found = {r[0]: r[1] for r in rows(table.read(spark))}
     assert len(found) == 200 and found[5] == 9 and found[900] == 1 and 7 not in found
     gone = spark.range(200).selectExpr("id seq", "'DELETE' op", "struct(int(id) id, 0 a, 'x' b) before", "struct(int(id) id, 0 a, 'x' b) after")
-    merge_batch(path, gone, ["id"], 2, run="second")
-    assert rows(read_current(spark, path)) == [(900, 1, "n")]
+    table.merge(gone)
+    assert rows(table.read(spark)) == [(900, 1, "n")]
