@@ -40,18 +40,22 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int, step: int = STE
                 yield part, part.column(column).cast(pa.binary()).to_pylist()
 
 
-# Arrow settings that bound what a task holds of long texts: rows and bytes of a batch. A session that sets its own keeps them.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+# Settings that bound what a task holds of long texts, and the defaults they replace: rows of a scan's batch, rows and bytes of an Arrow batch.
+BATCHES = {
+    "spark.sql.parquet.columnarReaderBatchSize": ("512", ("4096",)),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("500", ("10000",)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("4194304", (None, "67108864b", "67108864", "64MB", "-1")),
+}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches of long texts are kept small in this session, unless it has settings of its own (Spark's default is 10,000 rows of any length)."""
-    for key, value in BATCHES.items():
-        if spark.conf.get(key, None) in _UNSET[key]:
-            spark.conf.set(key, value)
-
+    """Batches of long texts are kept small in this session, unless it has settings of its own (Spark's defaults are thousands of rows of any length).
 
-_UNSET = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000",), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "67108864", "67108864b", "64MB", "64m", "-1", "0")}
+    Buffers for whole batches are single large arrays, in the JVM as in Python; small ones come and go without making the heaps grow.
+    """
+    for key, (value, defaults) in BATCHES.items():
+        if spark.conf.get(key, None) in defaults:
+            spark.conf.set(key, value)
 
 
 def give_back() -> None:
