@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.llm.bottomk import near_duplicates
-from sluice.llm.common import far_rows, near_rows, read_table, stage, text_code
+from sluice.llm.common import bound_batches, far_rows, near_rows, read_table, stage, text_code
 from sluice.llm.decontam import contaminated
 from sluice.llm.langid import held_out, identify
 from sluice.llm.linefreq import drop_boilerplate
@@ -33,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     No row goes, and a page of nothing but such lines stays whole, for near_dedup to compare. Null texts stay null and empty ones empty; a null source is a site of its own; repeated rows are pages each.
     """
+    bound_batches(spark)
     return drop_boilerplate(docs, spare_copies=True).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
