@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..session import staging_path
 from ..sources import (
     assign_pages, deep_page_query, include_tables, page_query, parse_change_events, publish, read_shards, read_stream_query, scroll_pages,
-    scroll_query, shard_route, snapshot_then_changes, sql_query, topic_receive, write_shards,
+    scroll_query, shard_route, snapshot_then_changes, sql_query, topic_receive, write_buckets, write_shards,
 )
 from .fixtures import Inputs
 
@@ -83,6 +85,17 @@ def _read_shards(t: Inputs):
     return read_shards(t.spark, path).withColumn("shard", F.col("shard").cast("int"))
 
 
+def _bucketed_join(t: Inputs):
+    """Orders and lines kept by the same buckets, joined without an exchange, and the lines of one order from one bucket."""
+    run = uuid.uuid4().hex
+    orders = write_buckets(t["orders"].select("o_orderkey", "o_orderpriority"), f"orders_{run}", "o_orderkey", 8)
+    lines = write_buckets(t["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), f"lines_{run}", "l_orderkey", 8)
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    one = lines.where("l_orderkey = 7").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.lit("one bucket").alias("o_orderpriority"), "l_partkey", "l_linenumber", "l_quantity")
+    return joined.unionByName(one)
+
+
 QUERIES = {
     "a1_sql_query": _sql_query,
     "a2_read_stream_query": _read_stream_query,
@@ -101,6 +114,7 @@ QUERIES = {
     "a7_snapshot_then_changes": _snapshot_then_changes,
     "a8_include_tables": _include_tables,
     "a9_kafka_receive": _kafka_receive,
+    "a11_bucketed_join": _bucketed_join,
     "a10_shard_route": _shard_route,
     "a11_read_shards": _read_shards,
 }
@@ -153,6 +167,10 @@ ORACLES = {
     "a8_include_tables": _PARSED.format(
         schema="'shop'", table="'customer'", more="event_type IN ('signup', 'error')",
     ),
+    "a11_bucketed_join": """
+        SELECT o_orderkey, o_orderpriority, l_partkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+        UNION ALL
+        SELECT l_orderkey, 'one bucket', l_partkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7""",
     "a9_kafka_receive": """
         SELECT * FROM (
             SELECT event_type AS key, props AS value, 'events' AS topic, cast(event_id % 3 AS INTEGER) AS partition,

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import shard_of
+from ..session import staging_path
 
 Source = Mapping[str, str] | DataFrame
 
@@ -115,6 +116,19 @@ def write_shards(df: DataFrame, path: str, key: str, n: int = 10) -> None:
     shard_route(df, key, n).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
 
 
+def write_buckets(df: DataFrame, table: str, key: str, n: int = 10, path: str | None = None) -> DataFrame:
+    """Write a table as ``n`` bucket files by the hash of its key, sorted by it, known to the catalog as ``table``; returns it.
+
+    What folders of shards do for scans, buckets do for keys: a condition on the key opens one bucket, and tables with as many buckets of
+    one key type are joined or grouped by it without an exchange. ``path`` (default: the shared folder) keeps the files outside the warehouse. A null
+    key is in a bucket of its hash like any other.
+    """
+    spark = df.sparkSession
+    rows = df.repartition(n, key)  # the hash of buckets, so that a bucket is one file
+    rows.write.bucketBy(n, key).sortBy(key).mode("overwrite").option("path", path or staging_path(spark, "buckets")).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_shards(spark: SparkSession, parts: str | Sequence[str | DataFrame]) -> DataFrame:
     """The logical table over its shards: a partitioned path, or a list of paths or tables."""
     if isinstance(parts, str):

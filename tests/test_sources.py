@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sluice.sources import (
     assign_pages, deep_page_query, include_tables, kafka_options, open_source, page_query, parse_change_events, read_shards, scroll_pages,
-    scroll_query, shard_route, snapshot_then_changes, sql_query, write_shards,
+    scroll_query, shard_route, snapshot_then_changes, sql_query, write_buckets, write_shards,
 )
 from sluice.sources.tables import jdbc_options
 
@@ -133,3 +133,25 @@ def test_shards_round_trip_and_prune(spark, rows, plan, tmp_path):
     assert read_shards(spark, [df, df]).count() == 400
 
 
+
+
+def test_buckets_join_without_exchange_and_open_one_bucket(spark, plan, tmp_path):
+    left = spark.range(1000).selectExpr("id % 97 AS k", "id AS v")
+    right = spark.range(97).selectExpr("id AS k", "id * 2 AS w").union(spark.sql("SELECT cast(null AS BIGINT), 5L"))
+    a = write_buckets(left, "bucket_test_a", "k", 4, str(tmp_path / "a"))
+    b = write_buckets(right, "bucket_test_b", "k", 4, str(tmp_path / "b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, "k")
+        text = plan(joined)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert "Exchange" not in plan(a.groupBy("k").count())
+        scan = a.where("k = 7")._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert scan.optionalBucketSet().get().cardinality() == 1
+        assert len(list((tmp_path / "a").glob("*.parquet"))) == 4
+        assert sorted(map(tuple, joined.collect())) == sorted((i % 97, i, 2 * (i % 97)) for i in range(1000))
+        assert b.where("k IS NULL").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucket_test_a")
+        spark.sql("DROP TABLE bucket_test_b")
