@@ -79,15 +79,17 @@ def reachable(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
         covered += length
         if n_visited == before:
             break
-        ways = jumps.groupBy("design", F.col("next").alias("node")).agg(F.count("*").alias("i")).join(
-            jumps.groupBy("design", "node").agg(F.count("*").alias("o")), ["design", "node"])
+        ends = jumps.select("design", F.explode(F.array(
+            F.struct(F.col("node").alias("n"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+            F.struct(F.col("next").alias("n"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
+        ways = ends.groupBy("design", "e.n").agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"))
         joined = ways.agg(F.coalesce(F.sum(F.col("i") * F.col("o")), F.lit(0))).first()[0]
+        if joined == 0:  # no walk is twice as long, and all shorter ones are taken
+            break
         if joined <= GROWTH * (n_links + n_visited):
             second = jumps.select("design", F.col("node").alias("next"), F.col("next").alias("_end"))
             jumps = stage(jumps.join(second, ["design", "next"]).select("design", "node", F.col("_end").alias("next")).distinct(), "jumps")
             length *= 2
-            if joined == 0:  # no walk is that long
-                break
     return visited
 
 
