@@ -56,7 +56,7 @@ def op5_kneser_ney_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
-    """Shards of near equal bytes by virtual slots; the map's second version."""
+    """Shards of near equal bytes by virtual slots; the map's first version."""
     rows, _ = shard_by_slots(read_table(spark, folder, "documents"))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
