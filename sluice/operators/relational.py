@@ -10,8 +10,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import stage
 from .templates import dynamic_where, page_with_total
 
+# joined rows that a task makes and holds at once
+PAIRS = 1 << 18
+
 
 def distinct_join(
     tables: Mapping[str, DataFrame], joins: Sequence[tuple[str, str, str]], filters: Mapping[str, str], keep: Sequence[str]
@@ -23,19 +27,39 @@ def distinct_join(
     needed neither later nor in the result are dropped and duplicates removed after each step.
     Start with the table that holds the kept codes: its links then shrink to distinct codes
     before the many rows of the last table meet them, and pairs never multiply.
+
+    Both sides of a join are written first, so Catalyst knows their sizes and sends a small one to the other. The joined pairs are counted
+    before the join, and the rows of the new table lie in as many partitions as the pairs ask for: few links with many rows each make no large tasks.
     """
-    def source(name: str) -> DataFrame:
+    def source(name: str, needed: set[str]) -> DataFrame:
         df = tables[name]
-        return df.filter(F.expr(filters[name])) if name in filters else df
+        df = df.filter(F.expr(filters[name])) if name in filters else df
+        return df.select(*[c for c in df.columns if c in needed]).distinct()
 
-    current = source(joins[0][0])
+    def later(i: int) -> set[str]:
+        return {*keep, *[so_far for _, _, so_far in joins[i:]]}
+
+    current = source(joins[0][0], later(1))
     for i, (name, own, so_far) in enumerate(joins[1:], start=1):
-        joined = current.join(source(name), F.col(so_far) == F.col(own))
-        needed = {*keep, *[later[2] for later in joins[i + 1:]]}
-        current = joined.select(*[c for c in joined.columns if c in needed]).distinct()
+        current, rows = stage(current, "joined"), stage(source(name, {own, *later(i + 1)}), "links")
+        placed = _place_pairs(current, so_far, rows, own, [c for c in rows.columns if c in later(i + 1)])
+        joined = current.join(placed, F.col(so_far) == F.col(own))
+        current = joined.select(*[c for c in joined.columns if c in later(i + 1)]).distinct()
     return current.select(*keep).distinct()
 
 
+def _place_pairs(left: DataFrame, key: str, right: DataFrame, right_key: str, kept: Sequence[str]) -> DataFrame:
+    """``right`` in partitions that join to about ``PAIRS`` rows each.
+
+    By the values of ``kept`` columns, so that equal pairs meet where they are made; by whole rows if one value alone has more pairs.
+    """
+    weights = left.groupBy(F.col(key).alias(right_key)).agg(F.count(F.lit(1)).alias("_pairs"))
+    by_value = right.join(weights, right_key).groupBy(*kept).agg(F.sum("_pairs").alias("_pairs"))
+    pairs, most = by_value.agg(F.sum("_pairs"), F.max("_pairs")).first()
+    n = max(-(-(pairs or 0) // PAIRS), left.sparkSession.sparkContext.defaultParallelism)
+    return right.repartition(n, *(kept if kept and (most or 0) <= PAIRS else right.columns))
+
+
 def exists_any(left: DataFrame, links: DataFrame, key: str, code: str, codes: Sequence[str]) -> DataFrame:
     """Each row with a flag: is one of its linked rows in ``codes``."""
     hits = links.filter(F.col(code).isin(list(codes))).select(F.col(key)).distinct().withColumn("_hit", F.lit(True))

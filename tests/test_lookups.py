@@ -49,6 +49,26 @@ def test_distinct_join(spark, rows):
     assert rows(out) == [(1, "A"), (2, "A")]
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_distinct_join_spreads_the_rows_of_few_links(spark, rows, plan, monkeypatch, hot):
+    """Two links, of which one holds nearly all rows; with ``hot`` one kept value has more pairs than a task should make."""
+    monkeypatch.setattr(r, "PAIRS", 200, raising=False)
+    users = spark.range(1000).selectExpr("if(%s, 7, id) AS user" % hot, "concat('r', if(id = 5, 1, 0)) AS role", "id AS other")
+    users = users.unionByName(spark.sql("SELECT 7L AS user, 'r1' AS role, 0L AS other UNION ALL SELECT 8L, NULL, 0L"))
+    codes = spark.range(20).selectExpr("concat('c', id % 4) AS code", "id AS pid")
+    links = spark.range(300 if hot else 20).selectExpr("id %% %s AS perm" % (300 if hot else 20), "concat('r', id % 2) AS lrole")
+    if hot:
+        codes = spark.range(300).selectExpr("concat('c', id) AS code", "id AS pid")
+    tables = {"u": users, "l": links, "p": codes}
+    out = r.distinct_join(tables, [("p", "", ""), ("l", "perm", "pid"), ("u", "role", "lrole")], {}, ["user", "code"])
+    for name, df in tables.items():
+        df.createOrReplaceTempView(f"spread_{name}")
+    wanted = spark.sql("SELECT DISTINCT user, code FROM spread_p JOIN spread_l ON perm = pid JOIN spread_u ON role = lrole")
+    assert rows(out) == rows(wanted)
+    if not hot:  # 2,004 pairs or so; each is made and made distinct in one of eleven tasks
+        assert out.rdd.getNumPartitions() >= 10 and max(len(p) for p in out.rdd.glom().collect()) <= 400
+
+
 def test_exists_any_and_not_in(spark, rows):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     links = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, code string")
