@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import load_tables
+from ..sources import load_tables, place_rows
 
 # the given tables
 TABLES = (
@@ -303,5 +303,6 @@ class Inputs:
     def sql(self, body: str) -> DataFrame:
         text = with_fixtures(body, "spark")
         for name, df in load_tables(self.spark, self.folder, _uses(text, TABLES)).items():
-            df.createOrReplaceTempView(name)
+            # all fixtures of lines join or group them by their order
+            (place_rows(df, "l_orderkey") if name == "lineitem" else df).createOrReplaceTempView(name)
         return self.spark.sql(text)

@@ -12,12 +12,25 @@ from ..session import staging_path
 
 Source = Mapping[str, str] | DataFrame
 
+# rows of a partition that a task sorts or groups at once
+TASK_ROWS = 1 << 18
+
 
 def load_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """One Parquet table per name below ``folder``."""
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
 
+def place_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by the hash of ``keys`` in partitions of about ``TASK_ROWS`` rows, counted first: tables of any size make tasks of one size.
+
+    Joins and groupings by the keys then need no other exchange. Adaptive execution merges partitions by their bytes, and of narrow rows that are later
+    hashed or sorted there are too many in those; it leaves a number that is given as it is.
+    """
+    n = max(-(-df.count() // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def open_source(spark: SparkSession, source: Source) -> DataFrame:
     """A source is a DataFrame or reader options with ``format`` and, for files, ``path``."""
     if isinstance(source, DataFrame):

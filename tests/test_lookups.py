@@ -1,9 +1,12 @@
+import os
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from sluice import plans
 from sluice.operators import graph as g, relational as r, templates as tp
+from sluice.sources import tables
 
 
 def test_template_query(spark):
@@ -231,3 +234,16 @@ def test_reachable_equals_a_plain_walk(spark, rows):
         assert sorted(rows(g.reachable(frame), "design", "root", "node", "depth")) == sorted(wanted)
         assert sorted(rows(g.reachable(frame, 3), "design", "root", "node", "depth")) == sorted(w for w in wanted if w[3] <= 3)
         assert rows(g.reachable(frame, 0)) == sorted({w for w in wanted if w[3] == 0}, key=lambda r: tuple(map(str, r)))
+
+
+def test_graphs_of_orders_take_one_exchange_into_partitions_of_one_size(spark, plan, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("given tables are not here")
+    monkeypatch.setattr(tables, "TASK_ROWS", 100, raising=False)
+    roots = plans.queries()["h2_graph_roots"](spark, folder)
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    text = plan(roots)
+    assert text.count("Exchange\n") == 1 or text.count("\nArguments: hashpartitioning") == 1
+    assert roots.rdd.getNumPartitions() == -(-n // 100)
+    assert tables.place_rows(spark.range(0), "id").count() == 0
