@@ -12,6 +12,7 @@ from ..operators.folds import Statement, read_modify_write
 from ..operators.upserts import apply_changes, custom_write, delete_rows, update_rows, upsert
 from ..session import staging_path
 from ..sinks import KeyedTable, fan_out, kafka_payload, with_retry, write_batch, write_table
+from ..sources.tables import TASK_ROWS
 from ..streaming import (
     clean_save_points, component_metrics, dedupe_messages, micro_batch, rate_limit, resolve_start, run_changes,
     save_point,
@@ -92,10 +93,10 @@ def _with_retry(t: Inputs):
     return t.spark.read.parquet(path).withColumn("attempts", F.lit(len(attempts)))
 
 
-def _stream_of(t: Inputs, df: DataFrame, **options: str) -> DataFrame:
-    """A table as a stream of files."""
+def _stream_of(t: Inputs, df: DataFrame, most: int = 0, **options: str) -> DataFrame:
+    """A table as a stream of files, of ``most`` rows if given."""
     path = staging_path(t.spark, "feed")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", most).parquet(path)
     return t.spark.readStream.schema(df.schema).options(**options).parquet(path)
 
 
@@ -108,7 +109,7 @@ def _keyed(t: Inputs, buckets: int) -> KeyedTable:
 
 def _stream_changes(t: Inputs):
     table = _keyed(t, 1)
-    run_changes(_stream_of(t, t["envelopes"]), IMAGE, table, staging_path(t.spark, "progress")).awaitTermination()
+    run_changes(_stream_of(t, t["envelopes"], TASK_ROWS), IMAGE, table, staging_path(t.spark, "progress")).awaitTermination()
     return table.read(t.spark)
 
 
@@ -116,8 +117,8 @@ def _restart_new_checkpoint(t: Inputs):
     """Two halves of the changes, the second as a new run whose batches count from 0 again."""
     table = _keyed(t, 8)
     for half in (0, 1):
-        part = t["envelopes"].filter(F.col("seq") < 300 if half == 0 else F.col("seq") >= 300).orderBy("seq").coalesce(1)
-        run_changes(_stream_of(t, part), IMAGE, table, staging_path(t.spark, "progress")).awaitTermination()
+        part = t["envelopes"].filter(F.col("seq") < 300 if half == 0 else F.col("seq") >= 300)
+        run_changes(_stream_of(t, part, TASK_ROWS), IMAGE, table, staging_path(t.spark, "progress")).awaitTermination()
     return table.read(t.spark)
 
 

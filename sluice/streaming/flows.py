@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from ..session import bound_scans
 from ..sinks.writers import KeyedTable, with_retry
 from ..sources.changes import parse_change_events
 
@@ -42,8 +43,9 @@ def run_changes(
 
     The checkpoint restarts after the last finished batch; the batch in which a run died is applied again, which changes nothing. Pass ``write``
     to put the batches elsewhere, as with :func:`sluice.sinks.merge_into`, and ``after_batch`` to note a finished batch, as with
-    :func:`sluice.streaming.save_point`.
+    :func:`sluice.streaming.save_point`. A task sorts the images of what it has read, which :func:`sluice.session.bound_scans` keeps small.
     """
+    bound_scans(envelopes.sparkSession)
     changes = prepare(parse_change_events(envelopes, image_schema, ops))
 
     def step(batch: DataFrame, batch_id: int) -> None:

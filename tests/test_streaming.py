@@ -1,10 +1,13 @@
 import json
+import os
 import random
 import time
 from datetime import datetime, timedelta
 
 import pytest
+from sluice import plans
 from sluice.operators.monitor import alarm_statistics_stream, flow_series_stream
+from sluice.plans import writes
 from sluice.sinks import KeyedTable
 from sluice.streaming import (
     ProgressLog, append_progress, clean_save_points, component_metrics, dedupe_messages, dedupe_stream, micro_batch, observe_rows, rate_limit,
@@ -91,6 +94,33 @@ def test_run_changes_restarts_from_the_checkpoint(spark, rows, tmp_path):
     assert rows(table.read(spark)) == [(1, "second"), (3, "new")]
 
 
+def test_restarted_feed_is_written_by_many_tasks(spark, plan, monkeypatch):
+    folder, feeds = "/root/testdata/sf0.001", []
+    if not os.path.isdir(folder):
+        pytest.skip("given tables are not here")
+    feed = writes._stream_of
+    monkeypatch.setattr(writes, "_stream_of", lambda t, df, *given, **options: feeds.append(df) or feed(t, df, *given, **options))
+    plans.queries()["stream_restart_new_checkpoint"](spark, folder)
+    for df in feeds:
+        assert df.rdd.getNumPartitions() > 1 and "Sort" not in plan(df)
+
+
+def test_streams_of_changes_bound_their_scans(spark, tmp_path):
+    key = "spark.sql.files.maxPartitionBytes"
+    schema = "seq long, topic string, value string"
+    table = KeyedTable(str(tmp_path / "table"), "id bigint, v string", ("id",), 4)
+    table.replace(spark.createDataFrame([(1, "base")], "id bigint, v string"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "src"))
+    try:
+        for given, kept in ((None, "32m"), ("64m", "64m")):
+            spark.conf.set(key, given) if given else spark.conf.unset(key)
+            run_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "src")), "id bigint, v string", table,
+                        str(tmp_path / f"cp{kept}")).awaitTermination()
+            assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.unset(key)
+
+
 def test_windowed_streams_close_windows_by_watermark(spark, rows, tmp_path):
     path = str(tmp_path / "src")
     schema = "ts timestamp_ntz, flow int, component string, rows long, cost double, error boolean"
