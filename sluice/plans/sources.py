@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import staging_path
 from ..sources import (
-    assign_pages, deep_page_query, include_tables, page_query, parse_change_events, publish, read_shards, read_stream_query, scroll_pages,
+    assign_pages, bucket_count, deep_page_query, include_tables, page_query, parse_change_events, publish, read_shards, read_stream_query, scroll_pages,
     scroll_query, shard_route, snapshot_then_changes, sql_query, topic_receive, write_buckets, write_shards,
 )
 from .fixtures import Inputs
@@ -87,9 +87,9 @@ def _read_shards(t: Inputs):
 
 def _bucketed_join(t: Inputs):
     """Orders and lines kept by the same buckets, joined without an exchange, and the lines of one order from one bucket."""
-    run = uuid.uuid4().hex
-    orders = write_buckets(t["orders"].select("o_orderkey", "o_orderpriority"), f"orders_{run}", "o_orderkey", 8)
-    lines = write_buckets(t["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), f"lines_{run}", "l_orderkey", 8)
+    run, n = uuid.uuid4().hex, bucket_count(8, t["orders"], t["lineitem"])
+    orders = write_buckets(t["orders"].select("o_orderkey", "o_orderpriority"), f"orders_{run}", "o_orderkey", n)
+    lines = write_buckets(t["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity"), f"lines_{run}", "l_orderkey", n)
     joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
     one = lines.where("l_orderkey = 7").select(
         F.col("l_orderkey").alias("o_orderkey"), F.lit("one bucket").alias("o_orderpriority"), "l_partkey", "l_linenumber", "l_quantity")

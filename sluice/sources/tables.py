@@ -14,6 +14,8 @@ Source = Mapping[str, str] | DataFrame
 
 # rows of a partition that a task sorts or groups at once
 TASK_ROWS = 1 << 18
+# rows of a bucket, which is a file too
+BUCKET_ROWS = 1 << 20
 
 
 def load_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
@@ -129,6 +131,17 @@ def write_shards(df: DataFrame, path: str, key: str, n: int = 10) -> None:
     shard_route(df, key, n).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
 
 
+def bucket_count(least: int, *tables: DataFrame) -> int:
+    """A number of buckets for tables that are joined: ``least``, doubled until a bucket of the largest holds ``BUCKET_ROWS`` rows at most.
+
+    A task sorts and joins whole buckets. Of two numbers one is a multiple of the other, so tables written at different sizes still share buckets.
+    """
+    rows, n = max(df.count() for df in tables), least
+    while n * BUCKET_ROWS < rows:
+        n *= 2
+    return n
+
+
 def write_buckets(df: DataFrame, table: str, key: str, n: int = 10, path: str | None = None) -> DataFrame:
     """Write a table as ``n`` bucket files by the hash of its key, sorted by it, known to the catalog as ``table``; returns it.
 

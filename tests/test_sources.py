@@ -1,14 +1,19 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from sluice import plans
 from sluice.sources import (
-    assign_pages, deep_page_query, include_tables, kafka_options, open_source, page_query, parse_change_events, read_shards, scroll_pages,
+    assign_pages, bucket_count, deep_page_query, include_tables, kafka_options, open_source, page_query, parse_change_events, read_shards, scroll_pages,
     scroll_query, shard_route, snapshot_then_changes, sql_query, write_buckets, write_shards,
 )
+from sluice.sources import tables
 from sluice.sources.tables import jdbc_options
 
+FOLDER = "/root/testdata/sf0.001"
+
 IMAGE = "id bigint, name string"
 
 
@@ -155,3 +160,13 @@ def test_buckets_join_without_exchange_and_open_one_bucket(spark, plan, tmp_path
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE bucket_test_a")
         spark.sql("DROP TABLE bucket_test_b")
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch, rows):
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 100, raising=False)
+    counts = [bucket_count(8, spark.range(5), spark.range(n)) for n in (0, 800, 801, 6000)]
+    assert counts == [8, 8, 16, 64]
+    if os.path.isdir(FOLDER):
+        joined = plans.queries()["a11_bucketed_join"](spark, FOLDER)
+        scans = joined.select("l_partkey").inputFiles()
+        assert len({f.rsplit("_", 1)[1] for f in scans}) > 8  # the bucket's number is in the name of its file
