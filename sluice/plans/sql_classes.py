@@ -7,7 +7,7 @@ that the order of addition cannot show.
 from __future__ import annotations
 
 from ..functions.tables import register_functions
-from ..sources import sql_query
+from ..sources import place_texts, sql_query
 from .fixtures import TABLES, _uses, Inputs
 
 
@@ -224,14 +224,22 @@ TEXTS: dict[str, str | tuple[str, str]] = {
 }
 
 
-def _run(t: Inputs, text: str):
+# texts whose words are grouped within a row's key: the rows are exchanged, not the words
+BY_TEXT = {"k10_explode": ("documents", "doc_id", "text")}
+
+
+def _run(t: Inputs, text: str, placed: tuple[str, str, str] | None = None):
     sources = {name: {"format": "parquet", "path": f"{t.folder}/{name}.parquet"} for name in _uses(text, TABLES)}
+    if placed:
+        name, key, long = placed
+        sources[name] = place_texts(t[name], key, long)
     register_functions(t.spark)
     return sql_query(t.spark, sources, text)
 
 
 QUERIES = {
-    name: (lambda t, text=text if isinstance(text, str) else text[0]: _run(t, text)) for name, text in TEXTS.items()
+    name: (lambda t, text=text if isinstance(text, str) else text[0], placed=BY_TEXT.get(name): _run(t, text, placed))
+    for name, text in TEXTS.items()
 }
 
 ORACLES = {name: text if isinstance(text, str) else text[1] for name, text in TEXTS.items()}

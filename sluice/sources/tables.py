@@ -14,6 +14,8 @@ Source = Mapping[str, str] | DataFrame
 
 # rows of a partition that a task sorts or groups at once
 TASK_ROWS = 1 << 18
+# characters of texts that a task cuts into words
+TASK_CHARS = 1 << 23
 # rows of a bucket, which is a file too
 BUCKET_ROWS = 1 << 20
 
@@ -33,6 +35,16 @@ def place_rows(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def place_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows by the hash of ``key`` in partitions of about ``TASK_CHARS`` characters of ``text``, counted first.
+
+    For texts whose words are grouped with the key: the words then stay where they are, and what is exchanged is the texts.
+    """
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    n = max(-(-chars // TASK_CHARS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
+
+
 def open_source(spark: SparkSession, source: Source) -> DataFrame:
     """A source is a DataFrame or reader options with ``format`` and, for files, ``path``."""
     if isinstance(source, DataFrame):

@@ -170,3 +170,16 @@ def test_buckets_grow_with_the_rows(spark, monkeypatch, rows):
         joined = plans.queries()["a11_bucketed_join"](spark, FOLDER)
         scans = joined.select("l_partkey").inputFiles()
         assert len({f.rsplit("_", 1)[1] for f in scans}) > 8  # the bucket's number is in the name of its file
+
+
+def test_words_stay_with_their_text(spark, plan, monkeypatch):
+    """The texts are exchanged, in partitions by their characters, and their words are not."""
+    if not os.path.isdir(FOLDER):
+        pytest.skip("given tables are not here")
+    monkeypatch.setattr(tables, "TASK_CHARS", 1 << 14, raising=False)
+    words = plans.queries()["k10_explode"](spark, FOLDER)
+    text = plan(words)
+    assert text.count("\nArguments: hashpartitioning") == 1 and text.index("hashpartitioning") > text.index("Generate")
+    chars = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("sum(length(text))").first()[0]
+    assert words.rdd.getNumPartitions() == -(-chars // (1 << 14))
+    assert tables.place_texts(spark.sql("SELECT 1 AS k, cast(null AS string) AS t"), "k", "t").count() == 1
