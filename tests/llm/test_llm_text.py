@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -629,6 +631,59 @@ def test_chunks_together_give_the_library_ids(byte_encoder):
             assert np.frombuffer(ids, "<u4").tolist() == byte_encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_lines_and_signs_give_the_library_ids(byte_encoder):
+    rng = random.Random(22)
+    words = ["the", "Über", "слово", "λόγος", "it's", "12", "x1", "中文", "ª", "ŉ", "Ǆ", "a\u0301", "\u0528\u052f", "!", "'", "<|endoftext|>", "|"]
+    signs = ["", "", ",", ".", "!!", "'", "%%%", ".###", "''s", "_", ")\"", "—", "…"]
+    gaps = [" "] * 12 + ["\n"] * 5 + ["\n\n", "\r\n", "\n ", " \n", "\t", "  ", "\x0b", " \x0b", "\u00a0"]
+    texts = ["".join(rng.choice(words) + rng.choice(signs) + rng.choice(gaps[:rng.choice([12, 17, len(gaps)])]) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
+    texts += [t.strip() for t in texts] + ["a", "", "a b", "a \nb", "a\n!! b", "a b\n12 c"]
+    wanted = [e.ids for e in byte_encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in byte_encoder.encode(texts)] == wanted
+
+
+def test_letters_taken_for_words_are_letters_of_the_pattern(byte_encoder):
+    letters = [c for c in map(chr, range(0x500)) if pc.utf8_is_alpha(pa.array([c]))[0].as_py()]
+    assert len(letters) > 800 and all(len(c.encode()) == 1 or c.encode()[0] < repair.LETTERS_BYTE for c in letters)
+    assert all(len(byte_encoder.tokenizer.pre_tokenizer.pre_tokenize_str(f" a{c}a")) == 1 for c in letters)
+    texts = [f"x {c} a{c}a, {c}{c}\n{c}. é{c}!?" for c in letters]
+    wanted = [e.ids for e in byte_encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in byte_encoder.encode(texts)] == wanted
+
+
+def test_words_with_signs_and_lines_do_not_go_through_the_pattern():
+    """The library's pattern sees the first chunk of a text and little else, though every word is new."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = repair.WordEncoder(file.read())
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abdeéilnorstuüж") for _ in range(12))
+    text = "".join(word() + rng.choice([" ", ", ", ".\n", "!! "]) for _ in range(5000)) + "end"
+    given, library = [], encoder.tokenizer
+
+    class Counted:
+        def encode(self, one, **options):
+            given.append(len(one))
+            return library.encode(one, **options)
+
+        def encode_batch_fast(self, several, **options):
+            given.extend(map(len, several))
+            return library.encode_batch_fast(several, **options)
+
+    encoder.tokenizer = Counted()
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(given) < len(text) // 100
+
+
+def test_memo_keeps_within_its_bound(byte_encoder, monkeypatch):
+    monkeypatch.setattr(repair, "CACHED_CHUNKS", 40)
+    rng = random.Random(24)
+    for _ in range(20):
+        texts = [" ".join(prose(rng, 1) + rng.choice(["", "x", ",", "!!", "\nand", "7"]) + chr(97 + rng.randint(0, 25)) for _ in range(30))]
+        assert np.frombuffer(byte_encoder.encode(texts)[0], "<u4").tolist() == byte_encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids
+        assert max(map(len, (byte_encoder.words, byte_encoder.starts, byte_encoder.signs, byte_encoder.chunks))) <= 40 + 60
+
+
 def plain_repair(ids, least):
     """One most frequent pair after another, counted without overlap."""
     seq, rules = list(ids), []
